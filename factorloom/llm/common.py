@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -35,13 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/factorloom-{spark.sparkContext.applicationId}"
 
 
-_staged: list[str] = []
+_staged: list[tuple[str, str]] = []
+_scopes = ["query"]
+
+
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables staged inside belong to `name`, for release()."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    _staged.append((_scopes[-1], path))
     return path
 
 
@@ -54,13 +66,14 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Removes the staged tables of this application but for the latest `keep`."""
+def release(spark: SparkSession, name: str | None = None) -> None:
+    """Removes the staged tables of a scope, or all of this driver's; nothing may need them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_staged) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop(0))
+    for x in [x for x in _staged if name in (None, x[0])]:
+        path = jvm.org.apache.hadoop.fs.Path(x[1])
         path.getFileSystem(conf).delete(path, True)
+        _staged.remove(x)
 
 
 @atexit.register

@@ -259,8 +259,8 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, keep:
 
     docs: doc_id, text, and the columns of `keep`, which are passed on. A document's set is its distinct n-grams of
     `size` words, A-Z in lower case; all its words as one where they are fewer. Returns doc_id, n_shingles,
-    component_id (the smallest doc_id that links reach; null doc_ids are passed over) and `keep`, a row for each
-    document. Documents without words link with nothing, not even each other: component_id is their own doc_id.
+    component_id (the smallest doc_id that links reach; null doc_ids are passed over), component_key (a name of the
+    component, null without words) and `keep`, a row for each document. Documents without words link with nothing, not even each other: component_id is their own doc_id.
     Repeated rows and copies are of one component. 64-bit hashes stand for words, n-grams and sets; pairs are compared
     on full sets of n-grams.
     """
@@ -268,6 +268,18 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, keep:
     labels = set_components(docs, size, percent)
     named = found.where("n_shingles > 0").join(labels, "set_id", "left").withColumn("__label", F.coalesce("label", "set_id"))
     least = named.groupBy("__label").agg(F.min("doc_id").alias("component_id"))
-    cols = ["doc_id", "n_shingles", "component_id", *keep]
-    out = named.join(least, "__label").select(*cols)
-    return out.unionByName(found.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*cols))
+    cols = ["doc_id", "n_shingles", "component_id", "component_key", *keep]
+    out = named.join(least, "__label").withColumn("component_key", F.col("__label")).select(*cols)
+    empty = found.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component_key", F.lit(None).cast("long"))
+    return out.unionByName(empty.select(*cols))
+
+
+def first_of_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: of the smallest doc_id (null last), the first in the input. Rows without
+    words stay. Rows are told apart by their place in the input, which must read alike each time."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = similar_components(numbered.select("doc_id", "text", "__row"), size, percent, keep=("__row",))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    first = found.where("component_key IS NOT NULL").groupBy("component_key").agg(F.min(place).alias("first")).select(F.col("first.__row").alias("__row"))
+    kept = stage(first.unionByName(found.where("component_key IS NULL").select("__row")), "kept-rows")
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, topk
+from . import binary_output, chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, rindex_dedup, topk
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rindex_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    got = ngram_join.similar_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return got.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_token_output, op3_pack_sequences, op4_exact_top_k, op5_exact_dedup, op6_chat_format, op7_line_dedup, op9_ngram_jaccard, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_token_output, op3_pack_sequences, op4_exact_top_k, op5_exact_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": """
