@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Sequence
 
 import numpy as np
 
-#: What stands before an ASCII white space never belongs to the same pre-token as what follows, unless it is white space
-#: itself; so texts are encoded run by run, and runs that many texts share are encoded once.
-_RUN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Texts are cut where pre-tokens always end, and pieces that many texts share are encoded once: before ASCII white space
+#: that follows anything but white space, and after a run of letters that no further letter can follow.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_RUN = re.compile(rf"[ \t-\r]*(?:[{_LETTERS}]++(?![^\x00-\x7f])|[^ \t-\r{_LETTERS}][^ \t-\r]*|[^ \t-\r]+)|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 #: Runs that a worker remembers, by count and by length; further ones are encoded each time.
-CACHE_RUNS, CACHE_CHARS = 400_000, 40
+CACHE_RUNS, CACHE_CHARS = 700_000, 40
 
 _encoders: dict[str, Encoder] = {}
 
@@ -30,7 +32,10 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(itertools.accumulate(map(len, ids), initial=0))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=ends[-1]).tobytes()
+        return [flat[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         cache = self.cache
