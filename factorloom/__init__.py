@@ -1,0 +1 @@
+"""Factor research and backtests as Spark jobs."""
