@@ -99,7 +99,8 @@ class RunLengthIndex:
             rank = self._ranks(order, key[order])
             width *= 2
         self.order = order
-        bwt = text[order - 1]
+        bwt = text[order - 1].astype(np.int16)
+        bwt[order == 0] = -1  # nothing stands before the text's first byte: a run of its own
         self.heads = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
         self.run_bytes = bwt[self.heads]
         self.head_suffixes = order[self.heads]  # sampled run beginnings ...
@@ -121,15 +122,11 @@ class RunLengthIndex:
             live, x, y = live[inside], x[inside], y[inside]
             differ = self.words[x] ^ self.words[y]
             whole = differ == 0
-            top = np.zeros(len(live), dtype=np.int64)
-            rest = differ[~whole]
-            bits = np.frexp(rest.astype(np.float64))[1]
-            bits -= rest < (np.uint64(1) << (bits - 1).astype(np.uint64))  # rounding up to a power of two
-            top[~whole] = 8 - (bits + 7) // 8
+            top = sum((differ < np.uint64(1 << (8 * k)) for k in range(1, 8)), np.zeros(len(live), dtype=np.int64))
             got[live] += np.where(whole, 8, top)
             live = live[whole]
             live = live[got[live] < most]
-        return got
+        return np.minimum(got, n - np.maximum(a, b))
 
     def matching_statistics(self, most: int = 512) -> np.ndarray:
         """For each suffix the bytes that it shares with the one before it in order.
