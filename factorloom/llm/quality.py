@@ -35,17 +35,15 @@ def word_slots(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(own):
         return own, own, bounds
     inside = ~_SPACE[raw]
-    last = inside.copy()
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    edge = offsets[(offsets > 0) & (offsets < len(raw))] - 1
-    last[edge] = inside[edge]
-    at = np.flatnonzero(last)
+    edge = offsets[(offsets > 0) & (offsets < len(raw))]  # words end with their text
+    first[edge], last[edge - 1] = inside[edge], inside[edge - 1]
+    start, at = np.flatnonzero(first), np.flatnonzero(last)
     code = raw[at].astype(np.uint64)
-    alive = np.ones(len(at), dtype=bool)
     for k in (1, 2, 3):
-        before = np.maximum(at - k, 0)
-        alive &= (at >= k) & inside[before]
-        code = (code << np.uint64(8)) | np.where(alive, raw[before] if k < 3 else 1, 0).astype(np.uint64)
+        code = (code << np.uint64(8)) | np.where(at - k >= start, raw[np.maximum(at - k, 0)] if k < 3 else 1, 0).astype(np.uint64)
     return own, (mix64(code) % np.uint64(SLOTS // 2)).astype(np.int64) + SLOTS // 2, bounds
 
 
