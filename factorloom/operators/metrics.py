@@ -4,36 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: Sessions and rate of the conventions below.
 RISK_FREE = 0.04
-#: A daily series has thousands of rows whatever the panel's size, so its windows may be global.
-_SO_FAR = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-_ORDER = Window.orderBy("date")
+
+
+def _so_far() -> WindowSpec:
+    """Rows up to this one. A daily series has thousands of rows whatever the panel's size, so its windows may be global."""
+    return Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def equity_curve(returns: DataFrame) -> DataFrame:
     """(date, ret, equity): product of 1 + ret up to each date; ret must be above -1."""
-    return returns.select("date", "ret", F.exp(F.sum(F.log1p("ret")).over(_SO_FAR)).alias("equity"))
+    return returns.select("date", "ret", F.exp(F.sum(F.log1p("ret")).over(_so_far())).alias("equity"))
 
 
 def drawdown(curve: DataFrame) -> DataFrame:
     """curve with peak, drawdown (0 or negative fraction)."""
-    return curve.withColumn("peak", F.max("equity").over(_SO_FAR)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+    return curve.withColumn("peak", F.max("equity").over(_so_far())).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 
 def drawdown_duration(curve: DataFrame) -> DataFrame:
     """One row: days, the longest run of sessions below a peak."""
     dd = drawdown(curve).withColumn("under", F.col("drawdown") < -1e-12)
-    island = dd.withColumn("island", F.sum(F.when(~F.col("under"), 1).otherwise(0)).over(_SO_FAR))
+    island = dd.withColumn("island", F.sum(F.when(~F.col("under"), 1).otherwise(0)).over(_so_far()))
     runs = island.where("under").groupBy("island").agg(F.count(F.lit(1)).alias("n"))
     return runs.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("days"))
 
 
 def drawdown_span(curve: DataFrame) -> DataFrame:
     """One row: depth, trough (first date of the deepest drawdown) and the date of the peak before it."""
-    dd = drawdown(curve).withColumn("peak_date", F.max(F.when(F.col("equity") == F.col("peak"), F.col("date"))).over(_SO_FAR))
+    dd = drawdown(curve).withColumn("peak_date", F.max(F.when(F.col("equity") == F.col("peak"), F.col("date"))).over(_so_far()))
     worst = F.min_by(F.struct("drawdown", "date", "peak_date"), F.struct("drawdown", "date"))
     return dd.agg(worst.alias("w")).select(F.col("w.drawdown").alias("depth"), F.col("w.date").alias("trough"), F.col("w.peak_date").alias("peak_date"))
 
@@ -65,7 +67,7 @@ def summary_engine(equity: DataFrame, initial_cash: float, rate: float = RISK_FR
 
     Fewer than two sessions give zeros.
     """
-    rows = equity.select("date", "value", F.col("value").alias("equity"), (F.col("value") / F.lag("value").over(_ORDER) - 1).alias("ret"))
+    rows = equity.select("date", "value", F.col("value").alias("equity"), (F.col("value") / F.lag("value").over(Window.orderBy("date")) - 1).alias("ret"))
     dd = drawdown(rows)
     days = F.datediff(F.max("date"), F.min("date"))
     end = F.max_by("value", "date")
@@ -97,7 +99,7 @@ def alpha_beta(returns: DataFrame, benchmark: DataFrame, rate: float = RISK_FREE
 def benchmark_curve(dates: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(date, bench): the benchmark's last value up to each date over its base, less 1. benchmark: date, value, base."""
     both = dates.select("date").join(benchmark, "date", "full_outer")
-    value = F.last("value", ignorenulls=True).over(_SO_FAR)
+    value = F.last("value", ignorenulls=True).over(_so_far())
     base = F.max("base").over(Window.partitionBy())
     filled = both.select("date", (F.coalesce(value, base) / base - 1).alias("bench"))
     return filled.join(dates.select("date"), "date", "left_semi")
