@@ -1,12 +1,21 @@
-"""Near-duplicate lines by an exact set-similarity join on words (DataFrame functions only)."""
+"""Near-duplicate lines by an exact set-similarity join on words.
+
+Two forms with equal results: removed_lines() of DataFrame functions only, and removed_lines_arrow(), which hashes, sorts and
+filters in numpy inside tasks and is what dedup_lines() uses unless told otherwise (the README has the figures).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import split_words, stage
+from .textblocks import blocks, mix64, word_hashes
 
 #: Words share this many counters of how often they occur in all documents: a table of fixed size, one byte for each.
 COUNTER_BITS = 17
@@ -35,7 +44,7 @@ def line_tokens(line: Column, rarities: bytearray) -> Column:
         rarity = F.ascii(F.substring(table, at, F.lit(1)).cast("string"))
         return F.shiftleft(rarity.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.array_sort(F.array_distinct(F.transform(split_words(line), token)))
+    return F.sort_array(F.array_distinct(F.transform(split_words(line), token)))
 
 
 def bits(x: Column) -> Column:
@@ -101,19 +110,20 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = index_rows(docs, percent).select("token", row.alias("me"))
     lists = Window.partitionBy("token")
     ranked = lists.orderBy("me.doc_id", "me.__row", "me.line_no")
-    rows = rows.select("token", "me", F.first("me").over(ranked).alias("pivot"), F.row_number().over(ranked).alias("nth"), F.count(F.lit(1)).over(lists).alias("df")).where("df > 1")
-    rows = stage(rows, "line-index")
+    rows = rows.select("token", "me", F.first("me").over(ranked).alias("pivot"), F.row_number().over(ranked).alias("nth"), F.count(F.lit(1)).over(lists).alias("df")).where("nth > 1")
     key = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("doc_id", "__row", "line_no")])
     equal = (F.col("me.same") == F.col("pivot.same")) & (F.col("me.n") == F.col("pivot.n"))
+    # A row is kept where the list's earliest line decides it, may decide it, or isn't its only partner.
+    rows = rows.select("token", "me", "nth", equal.alias("equal"), F.when(~equal & may_link("me", "pivot", percent), key("pivot")).alias("pivot"), (F.col("df") > 2).alias("long"))
+    rows = stage(rows.where("equal OR pivot IS NOT NULL OR long"), "line-index")
 
-    later = rows.where("nth > 1")
-    same = later.where(equal).select(F.col("me.__row").alias("__row"), F.col("me.line_no").alias("line_no")).distinct()
+    same = rows.where("equal").select(F.col("me.__row").alias("__row"), F.col("me.line_no").alias("line_no")).distinct()
     same = stage(same, "line-same")
-    pairs = later.where(~equal & may_link("me", "pivot", percent)).select(key("me").alias("late"), key("pivot").alias("early")).distinct()
+    pairs = rows.where("pivot IS NOT NULL").select(key("me").alias("late"), "pivot").withColumnRenamed("pivot", "early").distinct()
     done = stage(same.unionByName(verified(docs, stage(pairs, "line-pairs"), percent)).distinct(), "line-done")
 
-    open_ = rows.where("nth > 2").join(done, (F.col("me.__row") == done["__row"]) & (F.col("me.line_no") == done["line_no"]), "left_anti")
-    rest = rows.where("nth > 1 AND df > 2").select("token", F.col("me").alias("other"), F.col("nth").alias("other_nth"))
+    open_ = rows.where("nth > 2 AND long").join(done, (F.col("me.__row") == done["__row"]) & (F.col("me.line_no") == done["line_no"]), "left_anti")
+    rest = rows.where("long").select("token", F.col("me").alias("other"), F.col("nth").alias("other_nth"))
     more = open_.select("token", "me", "nth").join(rest, "token").where((F.col("other_nth") < F.col("nth")) & may_link("me", "other", percent))
     more = stage(more.select(key("me").alias("late"), key("other").alias("early")).distinct(), "line-more")
     if more.isEmpty():
@@ -121,17 +131,285 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return done.unionByName(verified(docs, more, percent)).distinct()
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+#: Counters of the numpy form, one byte of rarity each; bits of its maps of lines; candidates that a line takes from a list
+#: at first.
+ARROW_COUNTERS, MAP_BITS, FIRST = 1 << 20, 22, 2
+_INDEX = "token long, doc_id long, __row long, line_no int, n int, pos int, p0 long, p1 long, same long"
+_HITS = "__row long, line_no int, early_row long, early_line int, equal boolean, more boolean"
+
+
+def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines begin (and the end), the text of each line, and its number in the text. Empty lines at ends are left out."""
+    feeds = np.flatnonzero(raw == 10)
+    at = np.unique(np.concatenate([offsets, feeds + 1]))
+    text = np.searchsorted(offsets, at[:-1], side="right") - 1
+    return at, text, np.searchsorted(feeds, at[:-1]) - np.searchsorted(feeds, offsets[text])
+
+
+def rarity_table(docs: DataFrame) -> np.ndarray:
+    """A byte for each of ARROW_COUNTERS slots that rises with how often its words occur in all documents."""
+    part = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ARROW_COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for _, _, raw, offsets in blocks(batch.column(0)):
+                total += np.bincount((word_hashes(raw, offsets)[0] % np.uint64(ARROW_COUNTERS)).astype(np.int64), minlength=ARROW_COUNTERS)
+        parts = total.astype("<u4").reshape(-1, part)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, dtype="<u4").astype(np.int64)
+        rare = [np.minimum(4 * np.log2(x + 1.0), 127).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rare, pa.binary())], names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    got = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add_up, schema).collect()  # ARROW_COUNTERS bytes
+    out = np.zeros((ARROW_COUNTERS // part, part), dtype=np.uint8)
+    for k, raw in got:
+        out[k] = np.frombuffer(raw, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _line_sets(raw: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the lines with words: text, line number, set size, first token's place; and all tokens, each line's rarest first."""
+    at, text, number = line_bounds(raw, offsets)
+    hashes, bounds = word_hashes(raw, at)
+    line = np.repeat(np.arange(len(text)), np.diff(bounds))
+    key = (rarity[(hashes % np.uint64(ARROW_COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+    order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line = key[new], line[new]
+    some, first, n = np.unique(line, return_index=True, return_counts=True)
+    return text[some], number[some], n, first, key
+
+
+def _index_arrow(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """The prefix tokens of every line, as _INDEX.
+
+    While a task's documents come in order, a line whose set it has had is settled there: one row with n = 0, under a token
+    of its own, so that the copies of a hot line neither meet in one list nor cost a row for each token.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # ARROW_COUNTERS bytes
+    names = [x.split()[0] for x in _INDEX.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        last, ordered = None, True
+        for batch in batches:
+            for a, b, raw, offsets in blocks(batch.column(0)):
+                text, number, n, first, key = _line_sets(raw, offsets, shared.value)
+                ids = batch.column(1).slice(a, b - a)
+                known = ids.to_numpy(zero_copy_only=False)
+                ordered = ordered and not ids.null_count and bool((np.diff(known) >= 0).all()) and (last is None or known[0] >= last)
+                last = known[-1]
+                if not len(n):
+                    continue
+                bit = np.uint64(1) << (key & np.uint64(63))
+                odd = (key >> np.uint64(6)) & np.uint64(1) == 1
+                parity = [np.bitwise_xor.reduceat(np.where(odd == k, bit, np.uint64(0)), first).view(np.int64) for k in (False, True)]
+                same = mix64(np.add.reduceat(mix64(key), first) + n.astype(np.uint64)).view(np.int64)
+                prefix = n - (-(-percent * n // 100)) + 1
+                settled = np.zeros(len(n), dtype=bool)
+                if ordered:
+                    fresh = np.zeros(len(n), dtype=bool)
+                    fresh[np.unique(same, return_index=True)[1]] = True
+                    settled = ~fresh | np.array([x in seen for x in same.tolist()])
+                    seen.update(same[~settled].tolist())
+                    prefix = np.where(settled, 1, prefix)
+                line = np.repeat(np.arange(len(n)), prefix)
+                pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                own = pa.array(text[line])
+                of_text = [batch.column(i).slice(a, b - a).take(own) for i in (1, 2)]
+                rows = of_text[1].to_numpy()
+                own_token = mix64(rows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number[line].astype(np.uint64))
+                token = np.where(settled[line], own_token, key[first[line] + pos])
+                columns = [token.view(np.int64), *of_text, number[line].astype(np.int32), np.where(settled[line], 0, n[line]).astype(np.int32), pos.astype(np.int32), parity[0][line], parity[1][line], same[line]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+    return docs.select("text", "doc_id", "__row").mapInArrow(run, _INDEX)
+
+
+def _mark(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (mix64(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(1 << MAP_BITS)).astype(np.int64)
+
+
+def _pairs_of_lists(rows: dict[str, np.ndarray], percent: int, most: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In whole lists, in order: places of lines that an earlier one equals; (late, early) that may link, for each late one
+    up to `most`; and the late ones that had more. only: a map of the late lines that matter."""
+    token, n, pos = rows["token"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
+    by_set = np.lexsort((np.arange(len(token)), rows["same"], token))
+    again = np.zeros(len(token), dtype=bool)
+    again[by_set[1:]] = (token[by_set[1:]] == token[by_set[:-1]]) & (rows["same"][by_set[1:]] == rows["same"][by_set[:-1]])
+    again |= n == 0
+    keep = np.flatnonzero(~again)
+    token, n, pos, p0, p1 = token[keep], n[keep], pos[keep], rows["p0"][keep].view(np.uint64), rows["p1"][keep].view(np.uint64)
+    asked = np.ones(len(keep), dtype=bool) if only is None else only[_mark(rows["__row"][keep], rows["line_no"][keep])]
+    got = np.zeros(len(keep), dtype=np.int64)
+    more = np.zeros(len(keep), dtype=bool)
+    late_of, early_of = [], []
+    early = np.arange(len(keep))
+    step = 0
+    while True:
+        step += 1
+        early = early[early + step < len(keep)]
+        early = early[token[early] == token[early + step]]
+        if not len(early):
+            break
+        i = early[asked[early + step]]
+        j = i + step
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        least, greatest = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        fit = (least * 100 >= greatest * percent) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need)
+        i, j, need = i[fit], j[fit], need[fit]
+        fit = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j]) <= n[i] + n[j] - 2 * need
+        i, j = i[fit], j[fit]
+        if most is not None:
+            full = got[j] >= most
+            more[j[full]] = True
+            i, j = i[~full], j[~full]
+            got[j] += 1
+        late_of.append(j)
+        early_of.append(i)
+    cat = lambda x: keep[np.concatenate(x)] if x else np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(again), cat(late_of), cat(early_of), keep[more]
+
+
+def _hits(index: DataFrame, percent: int, most: int | None, only: np.ndarray | None = None) -> DataFrame:
+    """What lists say, as _HITS: lines equal to an earlier one, candidate pairs, and lines that had further candidates.
+
+    Rows come sorted by token; a list that goes on in the next batch is held by its distinct sets.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(only)
+    names = [x.split()[0] for x in _HITS.split(", ")]
+    used = [x.split()[0] for x in _INDEX.split(", ") if not x.startswith("doc_id")]
+
+    def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        again, late, early, more = _pairs_of_lists(rows, percent, most, shared.value)
+        who = np.concatenate([again, late, more])
+        none = lambda k: pa.nulls(k, pa.int64())
+        row_of = pa.concat_arrays([none(len(again)), pa.array(rows["__row"][early]), none(len(more))])
+        line_of = pa.concat_arrays([none(len(again)), pa.array(rows["line_no"][early].astype(np.int64)), none(len(more))]).cast(pa.int32())
+        kind = np.repeat([0, 1, 2], [len(again), len(late), len(more)])
+        return pa.RecordBatch.from_arrays([pa.array(rows["__row"][who]), pa.array(rows["line_no"][who]), row_of, line_of, pa.array(kind == 0), pa.array(kind == 2)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in used}
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in used}
+            if not len(rows["token"]):
+                continue
+            cut = int(np.searchsorted(rows["token"], rows["token"][-1]))  # where the last list begins
+            if cut:
+                yield out({c: x[:cut] for c, x in rows.items()})
+            held = {c: x[cut:] for c, x in rows.items()}
+            if len(held["token"]) > 200_000:  # a very long list: rows that equal an earlier one are settled now
+                first = np.unique(held["same"], return_index=True)[1]
+                again = np.setdiff1d(np.arange(len(held["same"])), first)
+                yield pa.RecordBatch.from_arrays([pa.array(held["__row"][again]), pa.array(held["line_no"][again]), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int32()), pa.array(np.ones(len(again), dtype=bool)), pa.array(np.zeros(len(again), dtype=bool))], names=names)
+                held = {c: x[np.sort(first)] for c, x in held.items()}
+        if held is not None:
+            yield out(held)
+
+    order = ["token", F.col("doc_id").asc_nulls_first(), "__row", "line_no"]
+    return index.repartition("token").sortWithinPartitions(*order).mapInArrow(run, _HITS)
+
+
+def _verified_arrow(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (__row, line_no, early_row, early_line) the late lines whose words link with the early one's.
+
+    A scan picks the lines by a map of fixed size, which a join then makes exact; sets are compared as 64-bit hashes.
+    """
+    ends = pairs.select("__row", "line_no").unionByName(pairs.select(F.col("early_row").alias("__row"), F.col("early_line").alias("line_no"))).distinct()
+    ends = stage(ends, "line-ends")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(1 << MAP_BITS, dtype=bool)
+        for batch in batches:
+            some[_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(some).tobytes()], pa.binary())], names=["map"])
+
+    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    for r in ends.coalesce(8).mapInArrow(mark, "map binary").collect():  # 8 maps of 2**MAP_BITS bits
+        marks |= np.frombuffer(r[0], dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for a, b, raw, offsets in blocks(batch.column(0)):
+                rows = batch.column(1).slice(a, b - a).to_numpy()
+                at, text, number = line_bounds(raw, offsets)
+                wanted = np.flatnonzero(some[_mark(rows[text], number)])
+                hashes, bounds = word_hashes(raw, at)
+                sets = [np.unique(hashes[bounds[k] : bounds[k + 1]]).tobytes() for k in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[text[wanted]]), pa.array(number[wanted].astype(np.int32)), pa.array(sets, pa.binary())], names=["__row", "line_no", "words"])
+
+    found = docs.select("text", "__row").mapInArrow(pick, "__row long, line_no int, words binary").join(ends, ["__row", "line_no"], "left_semi")
+    found = stage(found, "line-words")
+    early = found.select(F.col("__row").alias("early_row"), F.col("line_no").alias("early_line"), F.col("words").alias("early_words"))
+    both = pairs.join(early, ["early_row", "early_line"]).join(found, ["__row", "line_no"]).select("__row", "line_no", "words", "early_words")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]))
+                shared_words = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * shared_words >= percent * (len(both) - shared_words))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["__row", "line_no"])
+
+    return both.mapInArrow(compare, "__row long, line_no int").distinct()
+
+
+def removed_lines_arrow(docs: DataFrame, percent: int = 80, first: int = FIRST) -> DataFrame:
+    """As removed_lines(), with hashing, sorting and filtering in numpy.
+
+    A line takes the nearest `first` earlier candidates of each list, which are verified on words. Lines that had more, and
+    that none of these decides, are then asked again against all candidates of their lists.
+    """
+    rarity = rarity_table(docs)
+    index = _index_arrow(docs, rarity, percent)
+    hits = stage(_hits(index, percent, first), "line-hits")
+    pair = ["__row", "line_no", "early_row", "early_line"]
+    pairs = stage(hits.where("early_row IS NOT NULL").select(*pair).distinct(), "line-pairs")
+    done = hits.where("equal").select("__row", "line_no").unionByName(_verified_arrow(docs, pairs, percent)).distinct()
+    done = stage(done, "line-done")
+    left = stage(hits.where("more").select("__row", "line_no").distinct().join(done, ["__row", "line_no"], "left_anti"), "line-left")
+    if left.isEmpty():
+        return done
+    slot = np.zeros(1 << MAP_BITS, dtype=bool)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())))], names=["slot"])
+
+    for r in left.mapInArrow(slots, "slot long").distinct().collect():  # at most 2**MAP_BITS
+        slot[r[0]] = True
+    rest = _hits(index, percent, None, slot).where("early_row IS NOT NULL").select(*pair).distinct()
+    rest = rest.join(left, ["__row", "line_no"], "left_semi").join(pairs, pair, "left_anti")
+    return done.unionByName(_verified_arrow(docs, stage(rest, "line-pairs"), percent)).distinct()
+
+
+def dedup_lines(docs: DataFrame, percent: int = 80, native: bool = False) -> DataFrame:
     """docs without the lines that resemble an earlier line, with n_lines and n_removed added.
 
     docs: doc_id, text (other columns are kept; ones named n_lines or n_removed are replaced). Kept lines stay as they
     are, joined by line feeds. Null texts stay null, with no lines; empty texts have one line without words. Rows are told
     apart by their place in the input, so docs must be a table that reads alike each time. Repeated rows lose the lines
-    that their first copy keeps.
+    that their first copy keeps. native: by DataFrame functions only.
     """
     docs = docs.drop("n_lines", "n_removed")
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = removed_lines(numbered.select("__row", "doc_id", "text"), percent)
+    gone = (removed_lines if native else removed_lines_arrow)(numbered.select("__row", "doc_id", "text"), percent)
     gone = stage(gone.groupBy("__row").agg(F.collect_list("line_no").alias("__gone")), "line-gone").withColumnRenamed("__row", "__gone_row")
     both = numbered.join(gone, F.col("__row") == F.col("__gone_row"), "left")
     lines = F.split("text", "\n")

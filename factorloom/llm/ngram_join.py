@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,9 @@ from .textblocks import blocks, mix64, shingles, word_hashes
 
 #: Bits of the map of set ids that may be needed: a broadcast of fixed size. It only saves work.
 MAP_BITS = 20
+#: Longs of a set's sketch.
+WORDS = 8
+SKETCH = [f"k{i}" for i in range(WORDS)]
 #: Where the size classes of large sets begin: each half as large again.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -116,15 +119,28 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingles(hashes, bounds, size), a)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of how many elements fall in each of 64 * WORDS slots: sets differ in no fewer elements than sketches in bits."""
+    slots = (mix64(s ^ np.uint64(0xA5A5)) % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=64 * WORDS) & 1).astype(np.uint8).view(np.int64)
+
+
+def may_link(n: Column, m: Column, x: list[Column], y: list[Column], percent: int) -> Column:
+    """Whether sets of n and m elements can link, by sizes and sketches."""
+    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return (F.least(n, m) >= need) & (differ <= n + m - 2 * need)
+
+
 def document_sets(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """The columns of `keep`, n_shingles and set_id of each document."""
-    schema = docs.select(*keep).withColumn("n_shingles", F.lit(0).cast("long")).withColumn("set_id", F.lit(0).cast("long")).schema
+    """The columns of `keep`, n_shingles, set_id and the sketch (SKETCH) of each document."""
+    schema = docs.select(*keep, *[F.lit(0).cast("long").alias(c) for c in ("n_shingles", "set_id", *SKETCH)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(s), set_id(s)) for _, s in _sets(batch.column(0), size)]
-            n, ids = zip(*got, strict=True) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=schema.names)
+            got = [(len(s), set_id(s), *sketch(s).tolist()) for _, s in _sets(batch.column(0), size)]
+            columns = zip(*got, strict=True) if got else [()] * (2 + WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, pa.int64()) for c in columns)], names=schema.names)
 
     return docs.select("text", *keep).mapInArrow(run, schema)
 
@@ -159,6 +175,7 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     marks = np.zeros(1 << MAP_BITS, dtype=bool)
     marks[[r[0] for r in wanted.select(slot).distinct().collect()]] = True  # at most 2**MAP_BITS slots
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    names = ["set_id", "elements"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.unpackbits(shared.value).astype(bool)
@@ -171,17 +188,25 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     seen.add(name)
                     ids.append(name)
                     sets.append(s.tobytes())
-                    held += len(sets[-1])
+                    held += s.nbytes
                     if held > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "elements"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=names)
                         ids, sets, held = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=names)
 
     found = docs.select("text").mapInArrow(run, "set_id long, elements binary").join(wanted, "set_id", "left_semi")
     return found.groupBy("set_id").agg(F.first("elements").alias("elements"))
 
 
+def _named(sets: DataFrame, prefix: str) -> DataFrame:
+    return sets.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("set_id", "n", *SKETCH)])
+
+
+def _fit(x: str, y: str, percent: int) -> Column:
+    return may_link(F.col(f"{x}n"), F.col(f"{y}n"), [F.col(f"{x}{k}") for k in SKETCH], [F.col(f"{y}{k}") for k in SKETCH], percent)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link."""
 
@@ -219,38 +244,61 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def set_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(set_id, label) of the sets that link with a different one.
+#: Rounds in which each list is compared with a few of its sets, at most, and how many.
+ROUNDS, PIVOTS = 2, 3
+
 
-    Sets that share a key are candidates. In each list every set first meets the list's least id, then, of sets still in
-    different components, the greatest; so a group of near copies costs a row for each set and list. What is then still
-    apart, in lists that more than one component shares, is compared pair by pair, but for pairs compared before.
+def set_components(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    """(set_id, label) of the sets that link with a different one; found: document_sets() of docs.
+
+    Sets that share a key are candidates; sizes and sketches rule out nearly all that don't link, and full sets, read
+    for what is left alone, decide. In each round every set of a list that is still in more than one component meets a
+    few sets of it, others each time: a group of near copies costs a few rows for each set and list, not one for each
+    pair. After the rounds, what is still apart in a list is compared pair by pair, but for pairs compared before.
     """
     window = Window.partitionBy("key")
     lists = set_keys(docs, size, percent).withColumn("least", F.min("set_id").over(window)).withColumn("most", F.max("set_id").over(window))
-    lists = stage(lists.where("least <> most").distinct(), "lists")
-    sets = stage(needed_sets(docs, lists.select("set_id").distinct(), size), "sets")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    tested = stage(lists.where("set_id <> least").select(*pair("set_id", "least")).distinct(), "pairs")
-    edges = stage(linked(tested, sets, percent), "edges")
-    labels = components(edges)
-    for last in (False, True):
+    lists = stage(lists.where("least <> most").select("key", "set_id").distinct(), "lists")
+    sketches = found.join(lists.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first(F.struct(F.col("n_shingles").alias("n"), *SKETCH)).alias("s"))
+    sketches = stage(sketches.select("set_id", "s.*"), "sketches")
+    x, y = _named(sketches, "x_"), _named(sketches, "y_")
+    spark = docs.sparkSession
+    nothing = spark.createDataFrame([], "a long, b long")
+    tested = edges = nothing
+    sets = spark.createDataFrame([], "set_id long, elements binary")
+    labels = spark.createDataFrame([], "set_id long, label long")
+    last = False
+    for round_ in range(ROUNDS + 1):
+        last = last or round_ == ROUNDS
         named = lists.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         named = named.withColumn("low", F.min("label").over(window)).withColumn("high", F.max("label").over(window)).where("low <> high")
-        open_ = stage(named.select("key", "set_id", "label", "most"), "open")
+        pivots = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * round_ + k), F.col("set_id")).alias("h"), "set_id", "label")).over(window) for k in range(PIVOTS)]
+        open_ = stage(named.select("key", "set_id", "label", F.array(*pivots).alias("pivots")), "open")
         if open_.isEmpty():
             break
-        other = open_.select("key", F.col("set_id").alias("other"), F.col("label").alias("other_label"))
-        if not last:
-            other = other.join(open_.select("key", F.col("most").alias("other")).distinct(), ["key", "other"], "left_semi")
-        cross = open_.join(other, "key").where((F.col("label") != F.col("other_label")) & ((F.col("set_id") < F.col("other")) if last else F.lit(True)))
-        fresh = cross.select(*pair("set_id", "other")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = stage(fresh, "pairs")
-        found = stage(linked(fresh, sets, percent), "edges")
-        tested, edges = tested.unionByName(fresh), edges.unionByName(found)
-        if not found.isEmpty():
+        if last:
+            one = open_.drop("pivots").join(x, F.col("set_id") == F.col("x_set_id")).drop("x_set_id")
+            two = open_.select("key", F.col("set_id").alias("other"), F.col("label").alias("other_label")).join(y, F.col("other") == F.col("y_set_id")).drop("y_set_id")
+            apart = (F.col("set_id") < F.col("other")) & (F.col("label") != F.col("other_label")) & _fit("x_", "y_", percent)
+            pairs = one.join(two, "key").where(apart).select(F.col("set_id").alias("a"), F.col("other").alias("b"))
+        else:
+            star = open_.select("set_id", "label", F.explode("pivots").alias("pivot")).where("label <> pivot.label")
+            star = star.select("set_id", F.col("pivot.set_id").alias("other")).distinct()
+            near = star.join(x, F.col("set_id") == F.col("x_set_id")).join(y, F.col("other") == F.col("y_set_id")).where(_fit("x_", "y_", percent))
+            pairs = near.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
+        pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        missing = stage(ends.join(sets.select("set_id"), "set_id", "left_anti"), "missing")
+        if not missing.isEmpty():
+            sets = sets.unionByName(stage(needed_sets(docs, missing, size), "sets"))
+        fresh = stage(linked(pairs, sets, percent), "edges")
+        tested, edges = tested.unionByName(pairs), edges.unionByName(fresh)
+        linked_some = not fresh.isEmpty()
+        if linked_some:
             labels = components(edges)
+        if last:
+            break
+        last = not linked_some
     return labels
 
 
@@ -265,7 +313,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, keep:
     on full sets of n-grams.
     """
     found = stage(document_sets(docs, size, ["doc_id", *keep]), "documents")
-    labels = set_components(docs, size, percent)
+    labels = set_components(docs, found, size, percent)
     named = found.where("n_shingles > 0").join(labels, "set_id", "left").withColumn("__label", F.coalesce("label", "set_id"))
     least = named.groupBy("__label").agg(F.min("doc_id").alias("component_id"))
     cols = ["doc_id", "n_shingles", "component_id", "component_key", *keep]

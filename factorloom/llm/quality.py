@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .textblocks import _SPACE, blocks, mix64, word_hashes
 
 #: Words share this many slots (a bounded table of word vectors at any size of the corpus), of this many dimensions.
@@ -71,6 +72,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         places, signs = index_vectors()
         total = np.zeros((SLOTS, DIM))
         for batch in batches:

@@ -15,7 +15,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _RUN = re.compile(rf"[ \t-\r]*(?:[{_LETTERS}]++(?![^\x00-\x7f])|[^ \t-\r{_LETTERS}][^ \t-\r]*|[^ \t-\r]+)|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 #: Runs that a worker remembers, by count and by length; further ones are encoded each time.
-CACHE_RUNS, CACHE_CHARS = 700_000, 40
+CACHE_RUNS, CACHE_CHARS = 500_000, 40
 
 _encoders: dict[str, Encoder] = {}
 
@@ -57,7 +57,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: Sequence[str | None], most_chars: int = 4_000_000, most: int = 1000):
+def forget() -> None:
+    """Gives a worker's encoders back, before it turns to another memory-hungry operator."""
+    _encoders.clear()
+
+
+def slices(texts: Sequence[str | None], most_chars: int = 1_000_000, most: int = 300):
     """Consecutive (from, to) of bounded size, so that a batch of long texts isn't held in full as ids."""
     start = size = 0
     for i, t in enumerate(texts):

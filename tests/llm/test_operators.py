@@ -233,7 +233,9 @@ def near_lines(rows, percent=80):
     return gone
 
 
-def test_line_dedup(spark, hard, empty, tmp_path):
+@pytest.mark.parametrize(("native", "first"), [(True, 0), (False, 2), (False, 0)])
+def test_line_dedup(spark, hard, empty, tmp_path, native, first, monkeypatch):
+    monkeypatch.setattr(line_dedup.removed_lines_arrow, "__defaults__", (80, first))
     base = "one two three four five six seven eight nine ten".split()
     rows = [(i, "\n".join([" ".join(base[: 10 - i % 3]), f"own line {i} alone here", "", "the end"])) for i in range(30)] + [(30, None), (31, ""), (32, "x y\nx y\ny x")]
     rows += [(33 + i, " ".join([*base[:8], f"v{i}", f"u{i % 4}"])) for i in range(20)]
@@ -242,12 +244,12 @@ def test_line_dedup(spark, hard, empty, tmp_path):
     for df in (docs, hard.where("doc_id <> 99 and doc_id < 95")):
         plain = rows_of(df, "doc_id", "text")
         gone = near_lines(plain)
-        for i, t, n, k in rows_of(line_dedup.dedup_lines(df), "doc_id", "text", "n_lines", "n_removed"):
+        for i, t, n, k in rows_of(line_dedup.dedup_lines(df, native=native), "doc_id", "text", "n_lines", "n_removed"):
             before = dict(plain)[i]
             want = None if before is None else "\n".join(x for m, x in enumerate(before.split("\n")) if (i, m) not in gone)
             assert (t, n, k) == (want, 0 if before is None else before.count("\n") + 1, sum(a == i for a, _ in gone))
-    assert line_dedup.dedup_lines(hard).count() == hard.count() and line_dedup.dedup_lines(hard).columns[:6] == hard.columns
-    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(hard, native=native).count() == hard.count() and line_dedup.dedup_lines(hard).columns[:6] == hard.columns
+    assert line_dedup.dedup_lines(empty, native=native).count() == 0
 
 
 def jaccard_components(rows, size, percent):
