@@ -132,10 +132,11 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 #: Counters of the numpy form, one byte of rarity each; bits of its maps of lines; candidates that a line takes from a list
-#: at first.
-ARROW_COUNTERS, MAP_BITS, FIRST = 1 << 20, 22, 2
+#: in each round; what still stands open then is asked against whole lists.
+ARROW_COUNTERS, MAP_BITS, ROUNDS = 1 << 20, 22, (2, 32)
 _INDEX = "token long, doc_id long, __row long, line_no int, n int, pos int, p0 long, p1 long, same long"
-_HITS = "__row long, line_no int, early_row long, early_line int, equal boolean, more boolean"
+_LISTED = "token long, __row long, line_no int, n int, pos int, p0 long, p1 long, same long"
+_HITS = "__row long, line_no int, early_row long, early_line int, kind string, token long, n int, pos int, p0 long, p1 long, same long, nth int"
 
 
 def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,9 +240,25 @@ def _mark(row: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mix64(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(1 << MAP_BITS)).astype(np.int64)
 
 
-def _pairs_of_lists(rows: dict[str, np.ndarray], percent: int, most: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """In whole lists, in order: places of lines that an earlier one equals; (late, early) that may link, for each late one
-    up to `most`; and the late ones that had more. only: a map of the late lines that matter."""
+def line_map(lines: DataFrame) -> np.ndarray:
+    """A map of fixed size, in packed bits, that holds the lines (__row, line_no)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(1 << MAP_BITS, dtype=bool)
+        for batch in batches:
+            some[_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(some).tobytes()], pa.binary())], names=["map"])
+
+    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    for r in lines.select("__row", "line_no").coalesce(8).mapInArrow(mark, "map binary").collect():  # 8 maps of 2**MAP_BITS bits
+        marks |= np.frombuffer(r[0], dtype=np.uint8)
+    return marks
+
+
+def _pairs_of_lists(rows: dict[str, np.ndarray], percent: int, skip: int, most: int | None, only: np.ndarray | None) -> dict[str, np.ndarray]:
+    """In whole lists, in order, places of: lines that an earlier one equals (again); late and early ones that may link, for
+    each late one its nearest candidates from the skip-th to the most-th; late ones that had more; and all distinct sets of
+    lists with such a line (listed, and nth in the list). only: a map of the late lines that matter."""
     token, n, pos = rows["token"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
     by_set = np.lexsort((np.arange(len(token)), rows["same"], token))
     again = np.zeros(len(token), dtype=bool)
@@ -272,33 +289,50 @@ def _pairs_of_lists(rows: dict[str, np.ndarray], percent: int, most: int | None,
         if most is not None:
             full = got[j] >= most
             more[j[full]] = True
+            asked[j[full]] = False
             i, j = i[~full], j[~full]
-            got[j] += 1
-        late_of.append(j)
-        early_of.append(i)
+        got[j] += 1
+        fresh = got[j] > skip
+        late_of.append(j[fresh])
+        early_of.append(i[fresh])
     cat = lambda x: keep[np.concatenate(x)] if x else np.zeros(0, dtype=np.int64)
-    return np.flatnonzero(again), cat(late_of), cat(early_of), keep[more]
+    listed = np.flatnonzero(np.isin(token, np.unique(token[more])))
+    nth = listed - np.searchsorted(token, token[listed])
+    return {"equal": np.flatnonzero(again), "late": cat(late_of), "early": cat(early_of), "more": keep[more], "listed": keep[listed], "nth": nth}
 
 
-def _hits(index: DataFrame, percent: int, most: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """What lists say, as _HITS: lines equal to an earlier one, candidate pairs, and lines that had further candidates.
+def _hits(index: DataFrame, order: list[Column | str], percent: int, skip: int, most: int | None, only: np.ndarray | None = None) -> DataFrame:
+    """What lists say, as _HITS, by kind: lines equal to an earlier one, candidate pairs, lines that had more candidates, and
+    the rows of these lines' lists, but for equal sets.
 
-    Rows come sorted by token; a list that goes on in the next batch is held by its distinct sets.
+    Rows come sorted by token and `order`; a list that goes on in the next batch is held by its distinct sets. only: a
+    line_map() of the late lines that matter.
     """
-    shared = index.sparkSession.sparkContext.broadcast(only)
+    shared = index.sparkSession.sparkContext.broadcast(only)  # 2**MAP_BITS bits
     names = [x.split()[0] for x in _HITS.split(", ")]
-    used = [x.split()[0] for x in _INDEX.split(", ") if not x.startswith("doc_id")]
-
-    def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        again, late, early, more = _pairs_of_lists(rows, percent, most, shared.value)
-        who = np.concatenate([again, late, more])
-        none = lambda k: pa.nulls(k, pa.int64())
-        row_of = pa.concat_arrays([none(len(again)), pa.array(rows["__row"][early]), none(len(more))])
-        line_of = pa.concat_arrays([none(len(again)), pa.array(rows["line_no"][early].astype(np.int64)), none(len(more))]).cast(pa.int32())
-        kind = np.repeat([0, 1, 2], [len(again), len(late), len(more)])
-        return pa.RecordBatch.from_arrays([pa.array(rows["__row"][who]), pa.array(rows["line_no"][who]), row_of, line_of, pa.array(kind == 0), pa.array(kind == 2)], names=names)
+    used = [x.split()[0] for x in _LISTED.split(", ")]
+
+    def out(rows: dict[str, np.ndarray], late_map: np.ndarray | None) -> pa.RecordBatch:
+        got = _pairs_of_lists(rows, percent, skip, most, late_map)
+        kinds = ["equal", "late", "more", "listed"]
+        sizes = [len(got[k]) for k in kinds]
+        who = np.concatenate([got[k] for k in kinds])
+        is_pair = np.repeat([k == "late" for k in kinds], sizes)
+        is_listed = np.repeat([k == "listed" for k in kinds], sizes)
+        early, nth = np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int32)
+        early[is_pair], nth[is_listed] = got["early"], got["nth"]
+        columns = {
+            "__row": pa.array(rows["__row"][who]),
+            "line_no": pa.array(rows["line_no"][who]),
+            "early_row": pa.array(rows["__row"][early], mask=~is_pair),
+            "early_line": pa.array(rows["line_no"][early], mask=~is_pair),
+            "kind": pa.array(np.repeat(kinds, sizes).tolist(), pa.string()),
+            "nth": pa.array(nth, mask=~is_listed),
+        } | {c: pa.array(rows[c][who], mask=~is_listed) for c in ("token", "n", "pos", "p0", "p1", "same")}
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late_map = None if shared.value is None else np.unpackbits(shared.value).astype(bool)
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in used}
@@ -308,18 +342,20 @@ def _hits(index: DataFrame, percent: int, most: int | None, only: np.ndarray | N
                 continue
             cut = int(np.searchsorted(rows["token"], rows["token"][-1]))  # where the last list begins
             if cut:
-                yield out({c: x[:cut] for c, x in rows.items()})
+                yield out({c: x[:cut] for c, x in rows.items()}, late_map)
             held = {c: x[cut:] for c, x in rows.items()}
             if len(held["token"]) > 200_000:  # a very long list: rows that equal an earlier one are settled now
-                first = np.unique(held["same"], return_index=True)[1]
+                first = np.sort(np.unique(held["same"], return_index=True)[1])
                 again = np.setdiff1d(np.arange(len(held["same"])), first)
-                yield pa.RecordBatch.from_arrays([pa.array(held["__row"][again]), pa.array(held["line_no"][again]), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int32()), pa.array(np.ones(len(again), dtype=bool)), pa.array(np.zeros(len(again), dtype=bool))], names=names)
-                held = {c: x[np.sort(first)] for c, x in held.items()}
+                settled = {"__row": pa.array(held["__row"][again]), "line_no": pa.array(held["line_no"][again]), "kind": pa.array(["equal"] * len(again), pa.string())}
+                yield pa.RecordBatch.from_arrays([settled.get(f.name, pa.nulls(len(again), f.type)) for f in hits_schema], names=names)
+                held = {c: x[first] for c, x in held.items()}
         if held is not None:
-            yield out(held)
+            yield out(held, late_map)
 
-    order = ["token", F.col("doc_id").asc_nulls_first(), "__row", "line_no"]
-    return index.repartition("token").sortWithinPartitions(*order).mapInArrow(run, _HITS)
+    kinds_of = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    hits_schema = pa.schema([(c, kinds_of[t]) for c, t in (x.split() for x in _HITS.split(", "))])
+    return index.repartition("token").sortWithinPartitions("token", *order).select(*used).mapInArrow(run, _HITS)
 
 
 def _verified_arrow(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -329,17 +365,7 @@ def _verified_arrow(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFram
     """
     ends = pairs.select("__row", "line_no").unionByName(pairs.select(F.col("early_row").alias("__row"), F.col("early_line").alias("line_no"))).distinct()
     ends = stage(ends, "line-ends")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.zeros(1 << MAP_BITS, dtype=bool)
-        for batch in batches:
-            some[_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(some).tobytes()], pa.binary())], names=["map"])
-
-    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
-    for r in ends.coalesce(8).mapInArrow(mark, "map binary").collect():  # 8 maps of 2**MAP_BITS bits
-        marks |= np.frombuffer(r[0], dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    shared = docs.sparkSession.sparkContext.broadcast(line_map(ends))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.unpackbits(shared.value).astype(bool)
@@ -348,8 +374,10 @@ def _verified_arrow(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFram
                 rows = batch.column(1).slice(a, b - a).to_numpy()
                 at, text, number = line_bounds(raw, offsets)
                 wanted = np.flatnonzero(some[_mark(rows[text], number)])
-                hashes, bounds = word_hashes(raw, at)
-                sets = [np.unique(hashes[bounds[k] : bounds[k + 1]]).tobytes() for k in wanted]
+                parts = [raw[at[k] : at[k + 1]] for k in wanted]
+                ends_at = np.cumsum([0, *map(len, parts)])
+                hashes, bounds = word_hashes(np.concatenate([raw[:0], *parts]), ends_at)
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[text[wanted]]), pa.array(number[wanted].astype(np.int32)), pa.array(sets, pa.binary())], names=["__row", "line_no", "words"])
 
     found = docs.select("text", "__row").mapInArrow(pick, "__row long, line_no int, words binary").join(ends, ["__row", "line_no"], "left_semi")
@@ -370,33 +398,33 @@ def _verified_arrow(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFram
     return both.mapInArrow(compare, "__row long, line_no int").distinct()
 
 
-def removed_lines_arrow(docs: DataFrame, percent: int = 80, first: int = FIRST) -> DataFrame:
+def removed_lines_arrow(docs: DataFrame, percent: int = 80, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """As removed_lines(), with hashing, sorting and filtering in numpy.
 
-    A line takes the nearest `first` earlier candidates of each list, which are verified on words. Lines that had more, and
-    that none of these decides, are then asked again against all candidates of their lists.
+    In each round a line takes the nearest earlier candidates of each list, as many as the round says, which are verified
+    on words. Lines that had more, and that none of these decides, go on to the next round with the lists that they are in;
+    the last one takes all candidates.
     """
-    rarity = rarity_table(docs)
-    index = _index_arrow(docs, rarity, percent)
-    hits = stage(_hits(index, percent, first), "line-hits")
-    pair = ["__row", "line_no", "early_row", "early_line"]
-    pairs = stage(hits.where("early_row IS NOT NULL").select(*pair).distinct(), "line-pairs")
-    done = hits.where("equal").select("__row", "line_no").unionByName(_verified_arrow(docs, pairs, percent)).distinct()
-    done = stage(done, "line-done")
-    left = stage(hits.where("more").select("__row", "line_no").distinct().join(done, ["__row", "line_no"], "left_anti"), "line-left")
-    if left.isEmpty():
-        return done
-    slot = np.zeros(1 << MAP_BITS, dtype=bool)
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())))], names=["slot"])
-
-    for r in left.mapInArrow(slots, "slot long").distinct().collect():  # at most 2**MAP_BITS
-        slot[r[0]] = True
-    rest = _hits(index, percent, None, slot).where("early_row IS NOT NULL").select(*pair).distinct()
-    rest = rest.join(left, ["__row", "line_no"], "left_semi").join(pairs, pair, "left_anti")
-    return done.unionByName(_verified_arrow(docs, stage(rest, "line-pairs"), percent)).distinct()
+    rows = _index_arrow(docs, rarity_table(docs), percent)
+    order = [F.col("doc_id").asc_nulls_first(), "__row", "line_no"]
+    done, only = None, None
+    for skip, most in zip((0, *rounds), (*rounds, None), strict=True):
+        hits = stage(_hits(rows, order, percent, skip, most, only), "line-hits")
+        pairs = hits.where("kind = 'late'").select("__row", "line_no", "early_row", "early_line").distinct()
+        found = _verified_arrow(docs, stage(pairs, "line-pairs"), percent)
+        if done is None:
+            found = found.unionByName(hits.where("kind = 'equal'").select("__row", "line_no"))
+        else:
+            found = found.unionByName(done)
+        done = stage(found.distinct(), "line-done")
+        if most is None:
+            break
+        left = stage(hits.where("kind = 'more'").select("__row", "line_no").distinct().join(done, ["__row", "line_no"], "left_anti"), "line-left")
+        if left.isEmpty():
+            break
+        only = line_map(left)
+        rows, order = hits.where("kind = 'listed'"), ["nth"]
+    return done
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, native: bool = False) -> DataFrame:

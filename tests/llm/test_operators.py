@@ -233,9 +233,9 @@ def near_lines(rows, percent=80):
     return gone
 
 
-@pytest.mark.parametrize(("native", "first"), [(True, 0), (False, 2), (False, 0)])
-def test_line_dedup(spark, hard, empty, tmp_path, native, first, monkeypatch):
-    monkeypatch.setattr(line_dedup.removed_lines_arrow, "__defaults__", (80, first))
+@pytest.mark.parametrize(("native", "rounds"), [(True, ()), (False, (2, 32)), (False, (0, 1)), (False, ())])
+def test_line_dedup(spark, hard, empty, tmp_path, native, rounds, monkeypatch):
+    monkeypatch.setattr(line_dedup.removed_lines_arrow, "__defaults__", (80, rounds))
     base = "one two three four five six seven eight nine ten".split()
     rows = [(i, "\n".join([" ".join(base[: 10 - i % 3]), f"own line {i} alone here", "", "the end"])) for i in range(30)] + [(30, None), (31, ""), (32, "x y\nx y\ny x")]
     rows += [(33 + i, " ".join([*base[:8], f"v{i}", f"u{i % 4}"])) for i in range(20)]
