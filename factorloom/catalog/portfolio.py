@@ -174,6 +174,36 @@ def excess_curve(spark, d):
     return out.select("date", rnd("equity").alias("equity"), rnd("excess").alias("excess"))
 
 
+def _benchmark_all(bars: DataFrame) -> DataFrame:
+    """The benchmark curve of asset 7 over all its bars; gaps are sessions without one."""
+    from factorloom.sources.bars import load_benchmark
+
+    days = sessions(bars).where("date >= '1996-01-01'")
+    return metrics.benchmark_curve(days, load_benchmark(bars.withColumn("ts_code", F.col("asset").cast("string")), "7", "1996-01-01", "2100-01-01"))
+
+
+@query("""WITH b AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / nullif(sum(l_quantity), 0) * (1 + avg(l_tax)) AS value FROM lineitem WHERE l_suppkey = 7 GROUP BY 1),
+ ds AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01'),
+ bs AS (SELECT coalesce(arg_max(value, date) FILTER (date < DATE '1996-01-01'), arg_min(value, date) FILTER (date >= DATE '1996-01-01')) AS base FROM b),
+ al AS (SELECT date, b.value FROM ds LEFT JOIN b USING (date))
+ SELECT date, round(coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), base) / base - 1, 6) + 0.0 AS bench FROM al, bs""")
+def benchmark_ffill_all(spark, d):
+    """All days of one supplier's sales, carried over the days on which only others sold."""
+    day = F.col("l_shipdate").cast("date").alias("date")
+    bars = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("asset"), day).agg((F.sum("l_extendedprice") / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("close"), (1 + F.avg("l_tax")).alias("adj_factor"))
+    return _benchmark_all(bars).select("date", rnd("bench").alias("bench"))
+
+
+@query(f"""{EQ}, b0 AS (SELECT date, close * adj_factor AS value FROM sb WHERE asset = 7), bs AS (SELECT coalesce(arg_max(value, date) FILTER (date < DATE '1996-01-01'), arg_min(value, date) FILTER (date >= DATE '1996-01-01')) AS base FROM b0),
+ al AS (SELECT date, b0.value FROM (SELECT date FROM p_cal WHERE date >= DATE '1996-01-01') LEFT JOIN b0 USING (date)),
+ bc AS (SELECT date, coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), base) / base - 1 AS bench FROM al, bs)
+ SELECT date, round(equity, 6) + 0.0 AS equity, round(equity / (1 + bench), 6) + 0.0 AS excess FROM eq JOIN bc USING (date)""")
+def excess_curve_all(spark, d):
+    """Against all months of the benchmark."""
+    out = metrics.excess_curve(metrics.equity_curve(_backtest(spark, d)), _benchmark_all(sbars(spark, d)))
+    return out.select("date", rnd("equity").alias("equity"), rnd("excess").alias("excess"))
+
+
 def _trades(spark, d) -> DataFrame:
     """Purchases are buys, sign-ups sales, at the event's value."""
     ev = table(spark, d, "events").where("event_type IN ('purchase', 'signup') AND value > 0")
@@ -207,15 +237,14 @@ def trade_stats_roundtrip(spark, d):
 
 @query()
 def replay_equity(spark, d):
-    """Three portfolios replayed order by order over daily bars; a stateful operator, tested against hand-made sessions."""
-    bars = ubars(spark, d).where("open > 0").select("date", "asset", "open", "close")
+    """Three portfolios replayed order by order over daily bars, all that each column ranks highest; a stateful operator, tested against hand-made sessions."""
+    bars = ubars(spark, d).where("open > 0").select("date", "asset", "open", "close", "amount", "volume")
     days = sessions(bars)
     due = bars.join(F.broadcast(days), "date").where("ordinal % 5 = 0")  # a row per session
     from factorloom.operators.cross import top_n
 
-    picks = top_n(due, "close", 8).select("date", "asset", F.lit(0.12).alias("weight"))
-    runs = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "run_id string, shift int")
-    goals = picks.crossJoin(F.broadcast(runs)).where("(asset + shift) % 3 <> 0").select("run_id", "date", "asset", "weight")  # three rows
+    picks = [top_n(due, column, 8).select(F.lit(run).alias("run_id"), "date", "asset", F.lit(0.12).alias("weight")) for run, column in (("a", "close"), ("b", "amount"), ("c", "volume"))]
+    goals = picks[0].unionByName(picks[1]).unionByName(picks[2])
     return replay.replay(bars, goals).where("event = 'equity'").select("run_id", "date", rnd("value", 2).alias("value"))
 
 

@@ -90,6 +90,16 @@ def upsert_merge(spark, d):
     return upsert.merge(old, new, ["k"])
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v, 'old' AS src FROM orders WHERE o_orderstatus IS DISTINCT FROM 'O'), n AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, 'new' AS src FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')
+ SELECT k, v, src FROM n UNION ALL SELECT k, v, src FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = o.k)""")
+def upsert_merge_all(spark, d):
+    """Every order: finished ones are kept, partly done ones replaced, open ones added."""
+    o, status = table(spark, d, "orders"), F.col("o_orderstatus")
+    old = o.where(~status.eqNullSafe("O")).select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit("old").alias("src"))
+    new = o.where(~status.eqNullSafe("F")).select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") * 2).alias("v"), F.lit("new").alias("src"))
+    return upsert.merge(old, new, ["k"])
+
+
 _CODES = "SELECT c_custkey, lpad(((c_custkey * 7919) % 1000000)::VARCHAR, 6, '0') || CASE c_custkey % 5 WHEN 0 THEN '.XSHG' WHEN 1 THEN '.SZ' WHEN 2 THEN '.bj' WHEN 3 THEN '.DCE' ELSE '.SH' END AS code FROM customer"
 
 
@@ -128,6 +138,19 @@ def interval_membership(spark, d):
     return asof.interval_join(points, spans, ["asset"], "day", "in_date", "out_date").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"))
 
 
+@query("""WITH s AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS in_date, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL ELSE CAST(l_shipdate AS DATE) + l_quantity::INTEGER END AS out_date, l_orderkey AS k FROM lineitem),
+ o AS (SELECT o_orderkey, o_custkey % (SELECT max(l_suppkey) FROM lineitem) + 1 AS asset, CAST(o_orderdate AS DATE) AS day FROM orders)
+ SELECT o_orderkey, count(*) AS n, min(k) AS first_k FROM o JOIN s ON s.asset = o.asset AND s.in_date <= o.day AND (s.out_date IS NULL OR s.out_date > o.day) GROUP BY 1""")
+def interval_membership_all(spark, d):
+    """Every order against every line: a line lasts as many days as its quantity, without end where it is open and not returned."""
+    li, day = table(spark, d, "lineitem"), F.col("l_shipdate").cast("date")
+    ends = F.when(F.coalesce((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.lit(False)), None).otherwise(F.date_add(day, F.col("l_quantity").cast("int")))
+    spans = li.select(F.col("l_suppkey").alias("asset"), day.alias("in_date"), ends.alias("out_date"), F.col("l_orderkey").alias("k"))
+    most = li.agg(F.max("l_suppkey").alias("most"))
+    points = table(spark, d, "orders").crossJoin(F.broadcast(most)).select("o_orderkey", (F.col("o_custkey") % F.col("most") + 1).alias("asset"), F.col("o_orderdate").cast("date").alias("day"))  # one row
+    return asof.interval_join(points, spans, ["asset"], "day", "in_date", "out_date").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"))
+
+
 @query(f"""WITH {SB}, b AS (SELECT lpad(asset::VARCHAR, 6, '0') || '.SH' AS ts_code, date AS trade_date, close AS pe, turn * 100 AS pb, volume * 1e4 AS total_mv FROM sb)
  SELECT left(ts_code, 6) || '.XSHG' AS code, round(total_mv / 1e4, 2) + 0.0 AS market_cap, round(pb * 0.73105857863, 6) + 0.0 AS pb_ratio FROM b
  WHERE trade_date = (SELECT max(trade_date) FROM b WHERE trade_date <= DATE '1997-06-20') AND pb > 4.5 AND total_mv >= 1000000 ORDER BY total_mv DESC NULLS LAST, ts_code LIMIT 20""")
