@@ -60,7 +60,7 @@ def mix_to_weights(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
 
     Slot n stands at the n-th golden-ratio point; cumulative targets map it to a source, its rank among the source's
     slots to a block of `block_words` words of the shuffled source, wrapping round for a second pass. A source's slots
-    end at its target. Null sources are a source; null or empty texts have size 0 and are never taken; equal rows are
+    end at its target, rounded down; slots that it lacks until then follow at the end of the schedule, source by source. Null sources are a source; null or empty texts have size 0 and are never taken; equal rows are
     taken on their own. An empty table gives empty tables. The same rows give the same mix.
     """
     spark = docs.sparkSession
@@ -84,6 +84,16 @@ def mix_to_weights(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     drawn = points.join(cells, "cell").where("point >= lo AND point < hi").select("slot", "chunk", "source_rank", "source_size", F.floor("target").cast("long").alias("target"), F.lit(1).alias("one"))
     ranked = running_total(drawn, ["source_rank"], "chunk", ["slot"], "one", "rank")
     n_blocks = F.ceil(F.col("source_size") / block)
+    # The short last block of a pass takes a slot too, and small sources may get few: what is lacking stands at the end.
+    needed = F.expr("target div source_size") * n_blocks + F.ceil(F.expr("target % source_size") / block)
+    counts = drawn.groupBy("source_rank").agg(F.count(F.lit(1)).alias("got"))
+    ends = sources.where("source_size > 0").select("source_rank", "source_size", F.floor("target").cast("long").alias("target")).join(counts, "source_rank", "left")
+    ends = ends.withColumn("got", F.coalesce("got", F.lit(0)).cast("long")).withColumn("lacks", F.greatest(needed - F.col("got"), F.lit(0)).cast("long"))
+    ends = ends.withColumn("upto", F.sum("lacks").over(Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, 0))).where("lacks > 0")
+    ends = ends.withColumn("rank", F.explode(F.expr("sequence(got, got + lacks - 1)")))
+    ends = ends.withColumn("slot", F.lit(n_slots) + F.col("upto") - F.col("lacks") + F.col("rank") - F.col("got") + 1)
+    columns = ["slot", "source_rank", "source_size", "target", "rank"]
+    ranked = ranked.select(*columns).unionByName(ends.select(*columns))
     ranked = ranked.withColumn("epoch", F.floor(F.col("rank") / n_blocks)).withColumn("block", F.col("rank") % n_blocks)
     left = F.col("target") - F.col("epoch") * F.col("source_size") - F.col("block") * block
     ranked = ranked.withColumn("take", F.least(left, block.cast("long"))).where("take > 0")
