@@ -76,15 +76,28 @@ def spans(start: date, end: date, days: int) -> list[Span]:
     return out
 
 
-def fetch(call: Callable[[date, date], list[tuple]], start: date, end: date, cap: int, depth: int = 12) -> Iterator[tuple]:
-    """Rows of a range; a range whose answer reaches the cap is halved, as rows may be missing."""
+def fetch(call: Callable[..., list[tuple]], start: date, end: date, cap: int) -> Iterator[tuple]:
+    """Rows of a range; a range whose answer reaches the cap is halved, as rows may be missing, and a day is read in pages.
+
+    call(start, end) gives an answer, call(start, end, offset) the one after that many rows. Where a page repeats the one
+    before it, the API knows no offset and the day can't be read whole: an error.
+    """
     rows = call(start, end)
-    if len(rows) < cap or start == end or depth == 0:
+    if len(rows) < cap:
         yield from rows
-        return
-    middle = start + (end - start) // 2
-    yield from fetch(call, start, middle, cap, depth - 1)
-    yield from fetch(call, middle + timedelta(days=1), end, cap, depth - 1)
+    elif start < end:
+        middle = start + (end - start) // 2
+        yield from fetch(call, start, middle, cap)
+        yield from fetch(call, middle + timedelta(days=1), end, cap)
+    else:
+        offset = 0
+        while rows:
+            yield from rows
+            offset += len(rows)
+            page = call(start, end, offset)
+            if page == rows:
+                raise ValueError(f"{start}: the answer reaches the cap of {cap} rows, and the API doesn't page by offset")
+            rows = page
 
 
 class ApiTableReader(DataSourceReader):
@@ -99,9 +112,10 @@ class ApiTableReader(DataSourceReader):
         o, names = self.options, self.schema.fieldNames()
         limiter = RateLimiter(int(o.get("calls_per_minute", "200")))
 
-        def call(start: date, end: date) -> list[tuple]:
+        def call(start: date, end: date, offset: int = 0) -> list[tuple]:
             limiter.acquire()
-            body = {"api_name": o["api"], "token": o.get("token", ""), "fields": ",".join(names), "params": {"start_date": f"{start:%Y%m%d}", "end_date": f"{end:%Y%m%d}"}}
+            more = {"offset": offset} if offset else {}
+            body = {"api_name": o["api"], "token": o.get("token", ""), "fields": ",".join(names), "params": {"start_date": f"{start:%Y%m%d}", "end_date": f"{end:%Y%m%d}"} | more}
             data = post(o["url"], body)["data"]
             at = {f: i for i, f in enumerate(data["fields"])}
             return [tuple(row[at[n]] if n in at else None for n in names) for row in data["items"]]
