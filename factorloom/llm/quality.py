@@ -202,7 +202,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     """All columns of docs and held_out, score (0 to 1), predicted (1 where score >= threshold).
 
     docs: doc_id, text; labels: doc_id, quality. Word vectors come from all texts. The network is fitted on at most
-    `most_labelled` labelled rows that aren't held out, the first by a hash of doc_id; null labels are passed over.
+    `most_labelled` labelled rows that aren't held out, the first by a hash of doc_id; null labels are passed over. Repeated
+    labels and repeated documents are learnt from once; of a doc_id with several texts, all are.
     Only the text bears on a score; null and empty texts are scored as texts without words. Without labels of both
     kinds the score is the share of label 1 (half without any). Repeated rows get equal scores.
 
@@ -211,7 +212,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = sample.select(F.col("doc_id").alias("__doc_id"), F.col("quality").cast("int").alias("__quality")).orderBy(F.xxhash64("__doc_id"), "__doc_id", "__quality").limit(most_labelled)
+    sample = sample.select(F.col("doc_id").alias("__doc_id"), F.col("quality").cast("int").alias("__quality")).distinct().orderBy(F.xxhash64("__doc_id"), "__doc_id", "__quality").limit(most_labelled)
     shared = spark.sparkContext.broadcast(vectors)  # SLOTS x DIM numbers
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +220,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
         for batch in batches:
             for a, b, raw, offsets in blocks(batch.column(0)):
                 x = pooled(shared.value, raw, offsets, dense)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (1, 2, 3)), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["quality", "id", "digest", "x"])
 
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__doc_id")).select("text", "__quality")  # at most most_labelled rows
-    got = labelled.mapInArrow(features, "quality int, x binary").limit(2 * most_labelled).collect()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__doc_id"))  # at most most_labelled rows
+    labelled = labelled.select("text", "__quality", F.col("__doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    got = labelled.mapInArrow(features, "quality int, id string, digest string, x binary").distinct().select("quality", "x").collect()
     got.sort(key=lambda r: (bytes(r[1]), r[0]))
     x = np.array([np.frombuffer(r[1], dtype="<f4") for r in got]).reshape(-1, FEATURES)
     net = fit(x, np.array([1.0 if r[0] > 0 else 0.0 for r in got]))
