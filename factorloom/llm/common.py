@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,6 +17,8 @@ from pyspark.sql.window import Window
 #: A word is a run of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
+#: Spark's setting that ends shuffle files with the execution that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def word_count(text: Column) -> Column:
@@ -27,13 +31,21 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="factorloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session, which is one machine,
+    has a folder of its own; any other is told to set it."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factorloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/factorloom-{spark.sparkContext.applicationId}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share, when the session is built")
+        base = _own_dir(context.applicationId)
+    return f"{base.rstrip('/')}/factorloom-{context.applicationId}"
 
 
 _staged: list[tuple[str, str]] = []
@@ -58,11 +70,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a cut of the lineage that outlives executors."""
+    """Writes a table to the shared folder and reads it back: a cut of the lineage that outlives executors.
+
+    Spark is told to remove the shuffle files of the write when it ends, as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is written
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,449 +1,187 @@
-"""Near-duplicate lines by an exact set-similarity join on words.
-
-Two forms with equal results: removed_lines() of DataFrame functions only, and removed_lines_arrow(), which hashes, sorts and
-filters in numpy inside tasks and is what dedup_lines() uses unless told otherwise (the README has the figures).
-"""
+"""Near-duplicate lines by an exact set-similarity join on words, of DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import split_words, stage
-from .textblocks import blocks, mix64, word_hashes
+from .common import stage
 
-#: Words share this many counters of how often they occur in all documents: a table of fixed size, one byte for each.
-COUNTER_BITS = 17
-#: A token is a class of rarity (the logarithm of its counter, rarest first) above this many bits of the word's hash.
-HASH_BITS = 56
+#: White space other than blanks that ends a word inside a line.
+_SPACES = "\t\x0b\x0c\r"
+#: Words share 2**20 slots, each with four bits for how often its words occur in all documents: a table of fixed size.
+SLOT_BITS, CLASS_BITS = 20, 4
+#: Rarest words of each line by which the first round finds a line's likely partner.
+FIRST_WORDS = 3
+#: Slots of documents that hold lines to be verified: a broadcast of fixed size. It only saves work.
+DOC_SLOTS = 1 << 16
+_KEY = ["__row", "line_no"]
 
 
-def word_rarities(docs: DataFrame) -> bytearray:
-    """For each slot a byte that rises with how often its words occur: 4 log2(count + 1)."""
-    words = docs.select(F.explode(split_words(F.col("text"))).alias("w"))
-    slot = F.pmod(F.xxhash64("w"), F.lit(1 << COUNTER_BITS)).cast("int")
-    counted = words.groupBy(slot.alias("slot")).agg(F.least(F.floor(4 * F.log2(F.count(F.lit(1)) + 1.0)), F.lit(127)).cast("int").alias("rarity"))
-    out = bytearray(1 << COUNTER_BITS)
-    for slot, rarity in counted.collect():  # at most 2**COUNTER_BITS pairs
-        out[slot] = rarity
-    return out
+def _shift_left(x: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", x, n.cast("int"))
 
 
-def line_tokens(line: Column, rarities: bytearray) -> Column:
-    """A line's distinct words as longs, rarest first."""
-    table = F.lit(rarities)
+def _blanks(text: Column, more: str = "") -> Column:
+    for x in _SPACES + more:
+        text = F.replace(text, F.lit(x), F.lit(" "))
+    return text
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        at = F.pmod(h, F.lit(1 << COUNTER_BITS)).cast("int") + 1
-        rarity = F.ascii(F.substring(table, at, F.lit(1)).cast("string"))
-        return F.shiftleft(rarity.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(split_words(line), token)))
+def line_words(line: Column) -> Column:
+    """The words of a line."""
+    return F.array_remove(F.split(_blanks(line), " "), "")
 
 
-def bits(x: Column) -> Column:
-    return F.bit_count(x)
+def rarity_table(docs: DataFrame) -> Column:
+    """2**16 longs as a literal array: for each of 16 slots in a long a class of four bits that rises with how often its words
+    occur in all documents, beginning at a sixteenth of a slot's mean. Classes stand with their top bit flipped, as tokens
+    sort as signed numbers."""
+    words = docs.select(F.explode(F.split(_blanks(F.coalesce("text", F.lit("")), "\n"), " ")).alias("w"))
+    h = F.xxhash64("w")
+    slot = F.shiftleft(h.bitwiseAND(F.lit(0xFFFF)).cast("int"), 4).bitwiseOR(F.shiftright(h, 18).bitwiseAND(F.lit(15)).cast("int"))
+    counts = stage(words.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")), "line-rarity")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    level = F.floor(F.log2(F.col("n") * F.lit(float(1 << SLOT_BITS) / total))) + 4
+    level = F.greatest(F.lit(0), F.least(F.lit((1 << CLASS_BITS) - 1), level)).cast("long").bitwiseXOR(F.lit(8))
+    packed = counts.groupBy(F.shiftright("slot", 4).alias("at")).agg(F.bit_or(_shift_left(level, F.col("slot").bitwiseAND(F.lit(15)) * CLASS_BITS)).alias("levels"))
+    table = [0] * (1 << (SLOT_BITS - 4))
+    for at, levels in packed.collect():  # at most 2**16 pairs
+        table[at] = levels
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
-def at_least(n: Column, m: Column, percent: int) -> Column:
-    """Least overlap of sets of n and m words that link."""
-    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+def line_tokens(line: Column, table: Column) -> Column:
+    """A line's words as longs, which sort by rarity (the word's class), then by hash."""
 
+    def token(h: Column) -> Column:
+        level = F.call_function("shiftrightunsigned", F.get(table, h.bitwiseAND(F.lit(0xFFFF)).cast("int")), F.shiftright(h, 16).bitwiseAND(F.lit(60)).cast("int"))
+        return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+
+    return F.transform(F.transform(line_words(line), lambda w: F.xxhash64(w)), token)
 
-def index_rows(docs: DataFrame, percent: int) -> DataFrame:
-    """The prefix words of every line: token, doc_id, row, line_no, n (words), pos (of the token), parity, same (hash of the set)."""
-    rarities = word_rarities(docs)
-    lines = docs.select("__row", "doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line"))
-    sets = lines.select("__row", "doc_id", "line_no", line_tokens(F.col("line"), rarities).alias("tokens")).where(F.size("tokens") > 0)
-    one = F.lit(1).cast("long")
-    bit = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
-    n = F.size("tokens")
-    prefix = n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1
-    sets = sets.select("__row", "doc_id", "line_no", n.alias("n"), bit.alias("parity"), F.xxhash64("tokens").alias("same"), F.slice("tokens", F.lit(1), prefix.cast("int")).alias("prefix"))
-    return sets.select("doc_id", "__row", "line_no", "n", "parity", "same", F.posexplode("prefix").alias("pos", "token"))
 
+def line_sets(docs: DataFrame, percent: int) -> DataFrame:
+    """The distinct word sets of all lines, each at its first line: __row, doc_id, line_no, n (words), p0 and p1 (parities of
+    the words' counts in 128 slots), and the prefix tokens, rarest first.
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Length, positional and parity filters for index rows of one token, as structs."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = at_least(n, m, percent)
-    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-    differ = bits(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    Equal sets are known by 128 bits. They meet after each task has kept its own first of them, so a line that a third of all
+    rows hold is a row for each task.
+    """
+    table = rarity_table(docs)
+    lines = docs.select("__row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    lines = lines.where(F.trim(_blanks(F.col("line"))) != "")
+    sets = lines.select("__row", "doc_id", "line_no", line_tokens(F.col("line"), table).alias("tokens"))
+    sets = sets.select("__row", "doc_id", "line_no", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
+    n = F.size("tokens")
+    prefix = n - F.floor((n * F.lit(percent) + 99) / 100).cast("int") + 1
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    every = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(_shift_left(one, t.bitwiseAND(F.lit(63)))))
+    second = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(_shift_left(F.shiftright(t, 6).bitwiseAND(one), t.bitwiseAND(F.lit(63)))))
+    sets = sets.select("__row", "doc_id", "line_no", n.alias("n"), every.alias("p0"), second.alias("p1"), F.xxhash64("tokens").alias("h0"), F.xxhash64(F.lit(7), "tokens").alias("h1"), F.slice("tokens", F.lit(1), prefix).alias("prefix"))
+    first = Window.partitionBy("h0", "h1", "n").orderBy(F.col("doc_id").asc_nulls_first(), "__row", "line_no")
+    return sets.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("h0", "h1", "nth")
+
+
+def _earlier(a: str, b: str) -> Column:
+    """Whether line b stands before line a: in order of doc_id (null first), row and line."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    in_row = (y("__row") < x("__row")) | ((y("__row") == x("__row")) & (y("line_no") < x("line_no")))
+    return F.coalesce(y("doc_id") < x("doc_id"), y("doc_id").isNull() & x("doc_id").isNotNull()) | (x("doc_id").eqNullSafe(y("doc_id")) & in_row)
+
+
+def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
+    """Length, positional and parity filters for sets a of n and b of m words that share the tokens at their pos."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    need = F.floor((F.lit(percent) * (n + m) + (99 + percent)) / F.lit(100 + percent))
+    most = F.least(n - x("pos"), m - y("pos")) + F.least(x("pos"), y("pos"))
+    differ = F.bit_count(x("p0").bitwiseXOR(y("p0")).bitwiseXOR(x("p1")).bitwiseXOR(y("p1"))) + F.bit_count(x("p1").bitwiseXOR(y("p1")))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most >= need) & (differ <= n + m - 2 * need)
 
 
+def likely_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """For lines that may link with the first document of a list of their FIRST_WORDS rarest tokens: late and early keys, one
+    pair for each late line."""
+    few = sets.select("__row", "doc_id", "line_no", "n", "p0", "p1", F.posexplode(F.slice("prefix", 1, FIRST_WORDS)).alias("pos", "token"))
+    firsts = few.groupBy("token").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    pivots = few.join(firsts.select(F.col("token").alias("t"), "first_id"), (F.col("token") == F.col("t")) & (F.col("doc_id") == F.col("first_id"))).select(*few.columns)
+    both = few.alias("a").join(pivots.alias("b"), F.col("a.token") == F.col("b.token"))
+    both = both.where(_earlier("a", "b") & _may_link("a", "b", F.col("a.n"), F.col("b.n"), percent))
+    early = F.min(F.struct(F.col("b.doc_id").isNotNull().alias("known"), "b.doc_id", "b.__row", "b.line_no")).alias("early")
+    return both.groupBy(F.col("a.__row").alias("__row"), F.col("a.line_no").alias("line_no")).agg(early).select(*_KEY, F.col("early.__row").alias("early_row"), F.col("early.line_no").alias("early_line"))
+
+
+def open_pairs(sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """All pairs (late and early keys) that may link, of lines that `done` does not hold and any earlier ones."""
+    known = done.select(F.col("__row").alias("r"), F.col("line_no").alias("l"))
+    flagged = sets.join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left")
+    # Both sides of the join read one shuffle, so whether a line still asks stands in the lowest bit beside its size.
+    rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", F.posexplode("prefix").alias("pos", "token"))
+    n, m = F.shiftright("a.n2", 1), F.shiftright("b.n2", 1)
+    asks = F.col("a.n2").bitwiseAND(F.lit(1)) * m > 0
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & asks & _may_link("a", "b", n, m, percent) & _earlier("a", "b"))
+    return both.select(F.col("a.__row").alias("__row"), F.col("a.line_no").alias("line_no"), F.col("b.__row").alias("early_row"), F.col("b.line_no").alias("early_line")).distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (late, early) of line keys, the late lines whose words link with the early one's."""
-    ends = pairs.select(F.col("late.__row").alias("__r"), F.col("late.line_no").alias("line_no")).unionByName(pairs.select(F.col("early.__row").alias("__r"), F.col("early.line_no").alias("line_no")))
-    wanted = ends.distinct().groupBy("__r").agg(F.collect_list("line_no").alias("__lines"))  # at most the lines of one document
-    lines = docs.select("__row", "text").join(wanted, F.col("__row") == F.col("__r"))
-    lines = lines.withColumn("__split", F.split("text", "\n")).select("__row", F.explode("__lines").alias("line_no"), "__split")
-    sets = lines.select("__row", "line_no", F.array_distinct(split_words(F.element_at("__split", F.col("line_no") + 1))).alias("words"))
-    side = lambda name: sets.select(F.col("__row").alias(f"{name}_row"), F.col("line_no").alias(f"{name}_line"), F.col("words").alias(f"{name}_words"))
-    keys = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{k}") for s in ("late", "early") for c, k in (("__row", "row"), ("line_no", "line"))])
-    both = keys.join(side("early"), ["early_row", "early_line"]).join(side("late"), ["late_row", "late_line"])
-    shared = F.size(F.array_intersect("early_words", "late_words"))
-    union = F.size("early_words") + F.size("late_words") - shared
-    return both.where(shared * 100 >= union * percent).select(F.col("late_row").alias("__row"), F.col("late_line").alias("line_no")).distinct()
-
-
-def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(__row, line_no) of each line to remove: an earlier line shares words with 100 |A and B| >= percent |A or B|.
+    """The late lines of pairs whose words, as written, link with the early one's."""
+    ends = pairs.select(*_KEY).unionByName(pairs.select(F.col("early_row").alias("__row"), F.col("early_line").alias("line_no"))).distinct()
+    ends = stage(ends.groupBy(F.col("__row").alias("wanted_row")).agg(F.collect_list("line_no").alias("wanted")), "line-ends")  # lines of one document
+    slot = lambda row: F.pmod(F.xxhash64(row), F.lit(DOC_SLOTS)).cast("int")
+    slots = F.broadcast(ends.select(slot(F.col("wanted_row")).alias("slot")).distinct())  # at most DOC_SLOTS rows
+    some = docs.select("__row", "text").join(slots, slot(F.col("__row")) == F.col("slot"), "left_semi")
+    some = some.join(ends, F.col("__row") == F.col("wanted_row")).select("__row", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
+    some = some.select("__row", "line_no", F.get("lines", F.col("line_no")).alias("line"))
+    early = some.select(F.col("__row").alias("early_row"), F.col("line_no").alias("early_line"), F.col("line").alias("early"))
+    both = pairs.join(early, ["early_row", "early_line"]).join(some, _KEY)
+    both = both.select(*_KEY, F.array_distinct(line_words(F.col("line"))).alias("x"), F.array_distinct(line_words(F.col("early"))).alias("y"))
+    both = both.select(*_KEY, F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("words"))
+    return both.where(F.col("shared") * 100 >= (F.col("words") - F.col("shared")) * percent).select(*_KEY).distinct()
+
+
+def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(__row, line_no) of each line with words that stays: no earlier line shares words with 100 |A and B| >= percent |A or B|.
 
     docs: __row (unique), doc_id, text. Lines stand in order of doc_id (null first), __row and line_no, and are judged
-    on the input: a line that is removed still stands against later ones. Lines without words stay.
+    on the input: a line that is removed still stands against later ones.
 
     Words are ordered by rarity; of a line's n distinct words the n - ceil(percent n / 100) + 1 rarest must hold one of
-    any partner's (prefix filter). In the list of each word a line first meets the list's earliest line alone: equal
-    sets are decided at once, others verified on their words. Lines so decided need no other partner, so that a group of
-    near copies costs a row for each, not for each pair. Only the undecided are joined with the other lines of their
-    lists, under the length, positional and parity filters (the parities of the words' counts in 64 slots differ in no
-    more slots than the sets in words), and verified.
-    """
-    row = F.struct("doc_id", "__row", "line_no", "n", "pos", "parity", "same")
-    rows = index_rows(docs, percent).select("token", row.alias("me"))
-    lists = Window.partitionBy("token")
-    ranked = lists.orderBy("me.doc_id", "me.__row", "me.line_no")
-    rows = rows.select("token", "me", F.first("me").over(ranked).alias("pivot"), F.row_number().over(ranked).alias("nth"), F.count(F.lit(1)).over(lists).alias("df")).where("nth > 1")
-    key = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("doc_id", "__row", "line_no")])
-    equal = (F.col("me.same") == F.col("pivot.same")) & (F.col("me.n") == F.col("pivot.n"))
-    # A row is kept where the list's earliest line decides it, may decide it, or isn't its only partner.
-    rows = rows.select("token", "me", "nth", equal.alias("equal"), F.when(~equal & may_link("me", "pivot", percent), key("pivot")).alias("pivot"), (F.col("df") > 2).alias("long"))
-    rows = stage(rows.where("equal OR pivot IS NOT NULL OR long"), "line-index")
-
-    same = rows.where("equal").select(F.col("me.__row").alias("__row"), F.col("me.line_no").alias("line_no")).distinct()
-    same = stage(same, "line-same")
-    pairs = rows.where("pivot IS NOT NULL").select(key("me").alias("late"), "pivot").withColumnRenamed("pivot", "early").distinct()
-    done = stage(same.unionByName(verified(docs, stage(pairs, "line-pairs"), percent)).distinct(), "line-done")
-
-    open_ = rows.where("nth > 2 AND long").join(done, (F.col("me.__row") == done["__row"]) & (F.col("me.line_no") == done["line_no"]), "left_anti")
-    rest = rows.where("long").select("token", F.col("me").alias("other"), F.col("nth").alias("other_nth"))
-    more = open_.select("token", "me", "nth").join(rest, "token").where((F.col("other_nth") < F.col("nth")) & may_link("me", "other", percent))
-    more = stage(more.select(key("me").alias("late"), key("other").alias("early")).distinct(), "line-more")
-    if more.isEmpty():
-        return done
-    return done.unionByName(verified(docs, more, percent)).distinct()
-
-
-#: Counters of the numpy form, one byte of rarity each; bits of its maps of lines; candidates that a line takes from a list
-#: in each round; what still stands open then is asked against whole lists.
-ARROW_COUNTERS, MAP_BITS, ROUNDS = 1 << 20, 22, (2, 32)
-_INDEX = "token long, doc_id long, __row long, line_no int, n int, pos int, p0 long, p1 long, same long"
-_LISTED = "token long, __row long, line_no int, n int, pos int, p0 long, p1 long, same long"
-_HITS = "__row long, line_no int, early_row long, early_line int, kind string, token long, n int, pos int, p0 long, p1 long, same long, nth int"
-
-
-def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where lines begin (and the end), the text of each line, and its number in the text. Empty lines at ends are left out."""
-    feeds = np.flatnonzero(raw == 10)
-    at = np.unique(np.concatenate([offsets, feeds + 1]))
-    text = np.searchsorted(offsets, at[:-1], side="right") - 1
-    return at, text, np.searchsorted(feeds, at[:-1]) - np.searchsorted(feeds, offsets[text])
-
-
-def rarity_table(docs: DataFrame) -> np.ndarray:
-    """A byte for each of ARROW_COUNTERS slots that rises with how often its words occur in all documents."""
-    part = 1 << 14
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ARROW_COUNTERS, dtype=np.int64)
-        for batch in batches:
-            for _, _, raw, offsets in blocks(batch.column(0)):
-                total += np.bincount((word_hashes(raw, offsets)[0] % np.uint64(ARROW_COUNTERS)).astype(np.int64), minlength=ARROW_COUNTERS)
-        parts = total.astype("<u4").reshape(-1, part)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, dtype="<u4").astype(np.int64)
-        rare = [np.minimum(4 * np.log2(x + 1.0), 127).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rare, pa.binary())], names=["part", "counts"])
-
-    schema = "part int, counts binary"
-    got = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add_up, schema).collect()  # ARROW_COUNTERS bytes
-    out = np.zeros((ARROW_COUNTERS // part, part), dtype=np.uint8)
-    for k, raw in got:
-        out[k] = np.frombuffer(raw, dtype=np.uint8)
-    return out.reshape(-1)
-
-
-def _line_sets(raw: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the lines with words: text, line number, set size, first token's place; and all tokens, each line's rarest first."""
-    at, text, number = line_bounds(raw, offsets)
-    hashes, bounds = word_hashes(raw, at)
-    line = np.repeat(np.arange(len(text)), np.diff(bounds))
-    key = (rarity[(hashes % np.uint64(ARROW_COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
-    order = np.lexsort((key, line))
-    key, line = key[order], line[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
-    some, first, n = np.unique(line, return_index=True, return_counts=True)
-    return text[some], number[some], n, first, key
-
-
-def _index_arrow(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """The prefix tokens of every line, as _INDEX.
-
-    While a task's documents come in order, a line whose set it has had is settled there: one row with n = 0, under a token
-    of its own, so that the copies of a hot line neither meet in one list nor cost a row for each token.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # ARROW_COUNTERS bytes
-    names = [x.split()[0] for x in _INDEX.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        last, ordered = None, True
-        for batch in batches:
-            for a, b, raw, offsets in blocks(batch.column(0)):
-                text, number, n, first, key = _line_sets(raw, offsets, shared.value)
-                ids = batch.column(1).slice(a, b - a)
-                known = ids.to_numpy(zero_copy_only=False)
-                ordered = ordered and not ids.null_count and bool((np.diff(known) >= 0).all()) and (last is None or known[0] >= last)
-                last = known[-1]
-                if not len(n):
-                    continue
-                bit = np.uint64(1) << (key & np.uint64(63))
-                odd = (key >> np.uint64(6)) & np.uint64(1) == 1
-                parity = [np.bitwise_xor.reduceat(np.where(odd == k, bit, np.uint64(0)), first).view(np.int64) for k in (False, True)]
-                same = mix64(np.add.reduceat(mix64(key), first) + n.astype(np.uint64)).view(np.int64)
-                prefix = n - (-(-percent * n // 100)) + 1
-                settled = np.zeros(len(n), dtype=bool)
-                if ordered:
-                    fresh = np.zeros(len(n), dtype=bool)
-                    fresh[np.unique(same, return_index=True)[1]] = True
-                    settled = ~fresh | np.array([x in seen for x in same.tolist()])
-                    seen.update(same[~settled].tolist())
-                    prefix = np.where(settled, 1, prefix)
-                line = np.repeat(np.arange(len(n)), prefix)
-                pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                own = pa.array(text[line])
-                of_text = [batch.column(i).slice(a, b - a).take(own) for i in (1, 2)]
-                rows = of_text[1].to_numpy()
-                own_token = mix64(rows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number[line].astype(np.uint64))
-                token = np.where(settled[line], own_token, key[first[line] + pos])
-                columns = [token.view(np.int64), *of_text, number[line].astype(np.int32), np.where(settled[line], 0, n[line]).astype(np.int32), pos.astype(np.int32), parity[0][line], parity[1][line], same[line]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
-
-    return docs.select("text", "doc_id", "__row").mapInArrow(run, _INDEX)
-
-
-def _mark(row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (mix64(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(1 << MAP_BITS)).astype(np.int64)
-
-
-def line_map(lines: DataFrame) -> np.ndarray:
-    """A map of fixed size, in packed bits, that holds the lines (__row, line_no)."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.zeros(1 << MAP_BITS, dtype=bool)
-        for batch in batches:
-            some[_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(some).tobytes()], pa.binary())], names=["map"])
-
-    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
-    for r in lines.select("__row", "line_no").coalesce(8).mapInArrow(mark, "map binary").collect():  # 8 maps of 2**MAP_BITS bits
-        marks |= np.frombuffer(r[0], dtype=np.uint8)
-    return marks
-
-
-def _pairs_of_lists(rows: dict[str, np.ndarray], percent: int, skip: int, most: int | None, only: np.ndarray | None) -> dict[str, np.ndarray]:
-    """In whole lists, in order, places of: lines that an earlier one equals (again); late and early ones that may link, for
-    each late one its nearest candidates from the skip-th to the most-th; late ones that had more; and all distinct sets of
-    lists with such a line (listed, and nth in the list). only: a map of the late lines that matter."""
-    token, n, pos = rows["token"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
-    by_set = np.lexsort((np.arange(len(token)), rows["same"], token))
-    again = np.zeros(len(token), dtype=bool)
-    again[by_set[1:]] = (token[by_set[1:]] == token[by_set[:-1]]) & (rows["same"][by_set[1:]] == rows["same"][by_set[:-1]])
-    again |= n == 0
-    keep = np.flatnonzero(~again)
-    token, n, pos, p0, p1 = token[keep], n[keep], pos[keep], rows["p0"][keep].view(np.uint64), rows["p1"][keep].view(np.uint64)
-    asked = np.ones(len(keep), dtype=bool) if only is None else only[_mark(rows["__row"][keep], rows["line_no"][keep])]
-    got = np.zeros(len(keep), dtype=np.int64)
-    more = np.zeros(len(keep), dtype=bool)
-    late_of, early_of = [], []
-    early = np.arange(len(keep))
-    step = 0
-    while True:
-        step += 1
-        early = early[early + step < len(keep)]
-        early = early[token[early] == token[early + step]]
-        if not len(early):
-            break
-        i = early[asked[early + step]]
-        j = i + step
-        need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        least, greatest = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        fit = (least * 100 >= greatest * percent) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need)
-        i, j, need = i[fit], j[fit], need[fit]
-        fit = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j]) <= n[i] + n[j] - 2 * need
-        i, j = i[fit], j[fit]
-        if most is not None:
-            full = got[j] >= most
-            more[j[full]] = True
-            asked[j[full]] = False
-            i, j = i[~full], j[~full]
-        got[j] += 1
-        fresh = got[j] > skip
-        late_of.append(j[fresh])
-        early_of.append(i[fresh])
-    cat = lambda x: keep[np.concatenate(x)] if x else np.zeros(0, dtype=np.int64)
-    listed = np.flatnonzero(np.isin(token, np.unique(token[more])))
-    nth = listed - np.searchsorted(token, token[listed])
-    return {"equal": np.flatnonzero(again), "late": cat(late_of), "early": cat(early_of), "more": keep[more], "listed": keep[listed], "nth": nth}
-
-
-def _hits(index: DataFrame, order: list[Column | str], percent: int, skip: int, most: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """What lists say, as _HITS, by kind: lines equal to an earlier one, candidate pairs, lines that had more candidates, and
-    the rows of these lines' lists, but for equal sets.
-
-    Rows come sorted by token and `order`; a list that goes on in the next batch is held by its distinct sets. only: a
-    line_map() of the late lines that matter.
+    any partner's (prefix filter). Of equal sets the first line stays. A first round looks at the rarest words alone and at
+    one partner, the first document of each list, so that a group of near copies costs a row for each, not one for each
+    pair. Lines that it leaves open are joined with all earlier lines of their lists under the length, positional and parity
+    filters (sets differ in no fewer words than slots in parity). What passes is verified on the words themselves.
     """
-    shared = index.sparkSession.sparkContext.broadcast(only)  # 2**MAP_BITS bits
-    names = [x.split()[0] for x in _HITS.split(", ")]
-    used = [x.split()[0] for x in _LISTED.split(", ")]
-
-    def out(rows: dict[str, np.ndarray], late_map: np.ndarray | None) -> pa.RecordBatch:
-        got = _pairs_of_lists(rows, percent, skip, most, late_map)
-        kinds = ["equal", "late", "more", "listed"]
-        sizes = [len(got[k]) for k in kinds]
-        who = np.concatenate([got[k] for k in kinds])
-        is_pair = np.repeat([k == "late" for k in kinds], sizes)
-        is_listed = np.repeat([k == "listed" for k in kinds], sizes)
-        early, nth = np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int32)
-        early[is_pair], nth[is_listed] = got["early"], got["nth"]
-        columns = {
-            "__row": pa.array(rows["__row"][who]),
-            "line_no": pa.array(rows["line_no"][who]),
-            "early_row": pa.array(rows["__row"][early], mask=~is_pair),
-            "early_line": pa.array(rows["line_no"][early], mask=~is_pair),
-            "kind": pa.array(np.repeat(kinds, sizes).tolist(), pa.string()),
-            "nth": pa.array(nth, mask=~is_listed),
-        } | {c: pa.array(rows[c][who], mask=~is_listed) for c in ("token", "n", "pos", "p0", "p1", "same")}
-        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late_map = None if shared.value is None else np.unpackbits(shared.value).astype(bool)
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in used}
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in used}
-            if not len(rows["token"]):
-                continue
-            cut = int(np.searchsorted(rows["token"], rows["token"][-1]))  # where the last list begins
-            if cut:
-                yield out({c: x[:cut] for c, x in rows.items()}, late_map)
-            held = {c: x[cut:] for c, x in rows.items()}
-            if len(held["token"]) > 200_000:  # a very long list: rows that equal an earlier one are settled now
-                first = np.sort(np.unique(held["same"], return_index=True)[1])
-                again = np.setdiff1d(np.arange(len(held["same"])), first)
-                settled = {"__row": pa.array(held["__row"][again]), "line_no": pa.array(held["line_no"][again]), "kind": pa.array(["equal"] * len(again), pa.string())}
-                yield pa.RecordBatch.from_arrays([settled.get(f.name, pa.nulls(len(again), f.type)) for f in hits_schema], names=names)
-                held = {c: x[first] for c, x in held.items()}
-        if held is not None:
-            yield out(held, late_map)
-
-    kinds_of = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    hits_schema = pa.schema([(c, kinds_of[t]) for c, t in (x.split() for x in _HITS.split(", "))])
-    return index.repartition("token").sortWithinPartitions("token", *order).select(*used).mapInArrow(run, _HITS)
-
-
-def _verified_arrow(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (__row, line_no, early_row, early_line) the late lines whose words link with the early one's.
-
-    A scan picks the lines by a map of fixed size, which a join then makes exact; sets are compared as 64-bit hashes.
-    """
-    ends = pairs.select("__row", "line_no").unionByName(pairs.select(F.col("early_row").alias("__row"), F.col("early_line").alias("line_no"))).distinct()
-    ends = stage(ends, "line-ends")
-    shared = docs.sparkSession.sparkContext.broadcast(line_map(ends))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            for a, b, raw, offsets in blocks(batch.column(0)):
-                rows = batch.column(1).slice(a, b - a).to_numpy()
-                at, text, number = line_bounds(raw, offsets)
-                wanted = np.flatnonzero(some[_mark(rows[text], number)])
-                parts = [raw[at[k] : at[k + 1]] for k in wanted]
-                ends_at = np.cumsum([0, *map(len, parts)])
-                hashes, bounds = word_hashes(np.concatenate([raw[:0], *parts]), ends_at)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[text[wanted]]), pa.array(number[wanted].astype(np.int32)), pa.array(sets, pa.binary())], names=["__row", "line_no", "words"])
-
-    found = docs.select("text", "__row").mapInArrow(pick, "__row long, line_no int, words binary").join(ends, ["__row", "line_no"], "left_semi")
-    found = stage(found, "line-words")
-    early = found.select(F.col("__row").alias("early_row"), F.col("line_no").alias("early_line"), F.col("words").alias("early_words"))
-    both = pairs.join(early, ["early_row", "early_line"]).join(found, ["__row", "line_no"]).select("__row", "line_no", "words", "early_words")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]))
-                shared_words = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared_words >= percent * (len(both) - shared_words))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["__row", "line_no"])
-
-    return both.mapInArrow(compare, "__row long, line_no int").distinct()
-
-
-def removed_lines_arrow(docs: DataFrame, percent: int = 80, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
-    """As removed_lines(), with hashing, sorting and filtering in numpy.
-
-    In each round a line takes the nearest earlier candidates of each list, as many as the round says, which are verified
-    on words. Lines that had more, and that none of these decides, go on to the next round with the lists that they are in;
-    the last one takes all candidates.
-    """
-    rows = _index_arrow(docs, rarity_table(docs), percent)
-    order = [F.col("doc_id").asc_nulls_first(), "__row", "line_no"]
-    done, only = None, None
-    for skip, most in zip((0, *rounds), (*rounds, None), strict=True):
-        hits = stage(_hits(rows, order, percent, skip, most, only), "line-hits")
-        pairs = hits.where("kind = 'late'").select("__row", "line_no", "early_row", "early_line").distinct()
-        found = _verified_arrow(docs, stage(pairs, "line-pairs"), percent)
-        if done is None:
-            found = found.unionByName(hits.where("kind = 'equal'").select("__row", "line_no"))
-        else:
-            found = found.unionByName(done)
-        done = stage(found.distinct(), "line-done")
-        if most is None:
-            break
-        left = stage(hits.where("kind = 'more'").select("__row", "line_no").distinct().join(done, ["__row", "line_no"], "left_anti"), "line-left")
-        if left.isEmpty():
-            break
-        only = line_map(left)
-        rows, order = hits.where("kind = 'listed'"), ["nth"]
-    return done
-
-
-def dedup_lines(docs: DataFrame, percent: int = 80, native: bool = False) -> DataFrame:
+    sets = stage(line_sets(docs, percent), "line-sets")
+    first = stage(likely_pairs(sets, percent), "line-likely")
+    done = stage(verified(docs, first, percent), "line-done")
+    more = stage(open_pairs(sets, done, percent), "line-pairs")
+    gone = done.unionByName(verified(docs, more, percent))
+    return sets.select(*_KEY).join(gone, _KEY, "left_anti")
+
+
+def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the lines that resemble an earlier line, with n_lines and n_removed added.
 
     docs: doc_id, text (other columns are kept; ones named n_lines or n_removed are replaced). Kept lines stay as they
-    are, joined by line feeds. Null texts stay null, with no lines; empty texts have one line without words. Rows are told
-    apart by their place in the input, so docs must be a table that reads alike each time. Repeated rows lose the lines
-    that their first copy keeps. native: by DataFrame functions only.
+    are, joined by line feeds. Lines without words stay. Null texts stay null, with no lines; empty texts have one line
+    without words. Rows are told apart by their place in the input, so docs must be a table that reads alike each time.
+    Repeated rows lose the lines that their first copy keeps. An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_removed")
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = (removed_lines if native else removed_lines_arrow)(numbered.select("__row", "doc_id", "text"), percent)
-    gone = stage(gone.groupBy("__row").agg(F.collect_list("line_no").alias("__gone")), "line-gone").withColumnRenamed("__row", "__gone_row")
-    both = numbered.join(gone, F.col("__row") == F.col("__gone_row"), "left")
+    kept = kept_lines(numbered.select("__row", "doc_id", "text"), percent)
+    kept = stage(kept.groupBy(F.col("__row").alias("__kept_row")).agg(F.collect_list("line_no").alias("__kept")), "line-kept")  # lines of one document
+    both = numbered.join(kept, F.col("__row") == F.col("__kept_row"), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.coalesce(F.size("__gone"), F.lit(0))
-    n_removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_removed)
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    return both.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns], n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    # One character for each line, in order, and one more after those that stay; cut at the former.
+    marks = F.concat(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i * 2), F.transform(F.coalesce("__kept", F.array().cast("array<int>")), lambda i: i * 2 + 1))
+    marks = F.array_join(F.transform(F.sort_array(marks), lambda x: F.when(x % 2 == 0, F.lit("|")).otherwise(F.lit("+"))), "")
+    both = both.withColumn("__lines", lines).withColumn("__stays", F.split(marks, r"\|"))
+    left = F.filter("__lines", lambda x, i: (F.get("__stays", i + 1) == "+") | (F.trim(_blanks(x)) == ""))
+    both = both.withColumn("__left", left)
+    n_lines = F.coalesce(F.size("__lines"), F.lit(0))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long")
+    n_removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__left")).cast("long")
+    text = F.when(F.col("text").isNotNull(), F.array_join("__left", "\n"))
+    return both.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -233,23 +233,33 @@ def near_lines(rows, percent=80):
     return gone
 
 
-@pytest.mark.parametrize(("native", "rounds"), [(True, ()), (False, (2, 32)), (False, (0, 1)), (False, ())])
-def test_line_dedup(spark, hard, empty, tmp_path, native, rounds, monkeypatch):
-    monkeypatch.setattr(line_dedup.removed_lines_arrow, "__defaults__", (80, rounds))
+def line_rows():
     base = "one two three four five six seven eight nine ten".split()
-    rows = [(i, "\n".join([" ".join(base[: 10 - i % 3]), f"own line {i} alone here", "", "the end"])) for i in range(30)] + [(30, None), (31, ""), (32, "x y\nx y\ny x")]
+    rows = [(i, "\n".join([" ".join(base[: 10 - i % 3]), f"own line {i} alone here", "", "the end"])) for i in range(30)]
     rows += [(33 + i, " ".join([*base[:8], f"v{i}", f"u{i % 4}"])) for i in range(20)]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    for df in (docs, hard.where("doc_id <> 99 and doc_id < 95")):
+    rows += [(60 + i, " ".join(f"t{k}" if k != i % 40 else f"r{i}" for k in range(40))) for i in range(80)]  # near copies
+    return rows + [(30, None), (31, ""), (32, "x y\nx y\ny x\n \t\r\n\x0bx\x0cy")]
+
+
+@pytest.mark.parametrize("first_words", [0, 1, 3])
+def test_line_dedup(spark, hard, empty, tmp_path, first_words, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FIRST_WORDS", first_words)
+    spark.createDataFrame(line_rows(), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    for df in (spark.read.parquet(str(tmp_path / "d")), hard.where("doc_id <> 99")):
         plain = rows_of(df, "doc_id", "text")
         gone = near_lines(plain)
-        for i, t, n, k in rows_of(line_dedup.dedup_lines(df, native=native), "doc_id", "text", "n_lines", "n_removed"):
-            before = dict(plain)[i]
+        got = {i: r for i, *r in rows_of(line_dedup.dedup_lines(df), "doc_id", "text", "n_lines", "n_removed")}
+        for i, before in plain:
             want = None if before is None else "\n".join(x for m, x in enumerate(before.split("\n")) if (i, m) not in gone)
-            assert (t, n, k) == (want, 0 if before is None else before.count("\n") + 1, sum(a == i for a, _ in gone))
-    assert line_dedup.dedup_lines(hard, native=native).count() == hard.count() and line_dedup.dedup_lines(hard).columns[:6] == hard.columns
-    assert line_dedup.dedup_lines(empty, native=native).count() == 0
+            assert got[i] == [want, 0 if before is None else before.count("\n") + 1, sum(a == i for a, _ in gone)]
+        assert len(got) == len(plain)
+
+
+def test_line_dedup_of_repeated_rows(hard, empty):
+    got = line_dedup.dedup_lines(hard)
+    assert got.count() == hard.count() and got.columns[:6] == hard.columns
+    assert sorted(r[0] for r in rows_of(got.where("doc_id = 99"), "text")) == ["", "", "a repeated row of the table"]
+    assert line_dedup.dedup_lines(empty).count() == 0
 
 
 def jaccard_components(rows, size, percent):
