@@ -12,8 +12,9 @@ from .common import stage
 _SPACES = "\t\x0b\x0c\r"
 #: Words share 2**20 slots, each with four bits for how often its words occur in all documents: a table of fixed size.
 SLOT_BITS, CLASS_BITS = 20, 4
-#: Rarest words of each line by which the first round finds a line's likely partner.
-FIRST_WORDS = 3
+#: Last words of each line's prefix (near copies differ in rarer ones) by which the first rounds find a line's likely partner;
+#: rows from which a list of such a word is long; how many lines of a list, at most, each of these rounds takes as partners.
+LAST_WORDS, LONG_LIST, PIVOTS = 3, 16, (8, 64)
 #: Slots of documents that hold lines to be verified: a broadcast of fixed size. It only saves work.
 DOC_SLOTS = 1 << 16
 _KEY = ["__row", "line_no"]
@@ -91,31 +92,51 @@ def _earlier(a: str, b: str) -> Column:
     return F.coalesce(y("doc_id") < x("doc_id"), y("doc_id").isNull() & x("doc_id").isNotNull()) | (x("doc_id").eqNullSafe(y("doc_id")) & in_row)
 
 
+def _differ(a: str, b: str) -> Column:
+    """In how many of 128 slots the parities of two sets differ: in no more than the sets differ in words."""
+    x0, x1, y0, y1 = F.col(f"{a}.p0"), F.col(f"{a}.p1"), F.col(f"{b}.p0"), F.col(f"{b}.p1")
+    return F.bit_count(x0.bitwiseXOR(y0).bitwiseXOR(x1).bitwiseXOR(y1)) + F.bit_count(x1.bitwiseXOR(y1))
+
+
 def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
     """Length, positional and parity filters for sets a of n and b of m words that share the tokens at their pos."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     need = F.floor((F.lit(percent) * (n + m) + (99 + percent)) / F.lit(100 + percent))
     most = F.least(n - x("pos"), m - y("pos")) + F.least(x("pos"), y("pos"))
-    differ = F.bit_count(x("p0").bitwiseXOR(y("p0")).bitwiseXOR(x("p1")).bitwiseXOR(y("p1"))) + F.bit_count(x("p1").bitwiseXOR(y("p1")))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most >= need) & (differ <= n + m - 2 * need)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most >= need) & (_differ(a, b) <= n + m - 2 * need)
+
 
+def long_lists(sets: DataFrame) -> DataFrame:
+    """The rows of the long lists of the last tokens of prefixes."""
+    size = F.size("prefix")
+    few = sets.select("__row", "doc_id", "line_no", "n", "p0", "p1", size.alias("size"), F.posexplode(F.slice("prefix", F.greatest(size - (LAST_WORDS - 1), F.lit(1)), F.lit(LAST_WORDS))).alias("at", "token"))
+    few = few.select("__row", "doc_id", "line_no", "n", "p0", "p1", (F.greatest(F.col("size") - LAST_WORDS, F.lit(0)) + F.col("at")).alias("pos"), "token")
+    long = few.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LONG_LIST)
+    return few.join(long.select("token"), "token")
 
-def likely_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """For lines that may link with the first document of a list of their FIRST_WORDS rarest tokens: late and early keys, one
-    pair for each late line."""
-    few = sets.select("__row", "doc_id", "line_no", "n", "p0", "p1", F.posexplode(F.slice("prefix", 1, FIRST_WORDS)).alias("pos", "token"))
-    firsts = few.groupBy("token").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    pivots = few.join(firsts.select(F.col("token").alias("t"), "first_id"), (F.col("token") == F.col("t")) & (F.col("doc_id") == F.col("first_id"))).select(*few.columns)
-    both = few.alias("a").join(pivots.alias("b"), F.col("a.token") == F.col("b.token"))
+
+def likely_pairs(rows: DataFrame, asking: DataFrame | None, pivots: int, percent: int) -> DataFrame:
+    """For the asking lines of long lists (None: all), the likeliest earlier partner: late and early keys, a pair for each late line.
+
+    Partners are the first documents of a list in each of `pivots` classes of doc_ids; the likeliest differs in fewest parities.
+    """
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(pivots)).cast("int")
+    firsts = rows.groupBy(F.col("token").alias("t"), chosen.alias("c")).agg(F.min("doc_id").alias("first_id"))
+    firsts = rows.join(firsts, (F.col("token") == F.col("t")) & (chosen == F.col("c")) & (F.col("doc_id") == F.col("first_id"))).select(*rows.columns)
+    late = rows if asking is None else rows.join(asking, _KEY, "left_semi").select(*rows.columns)
+    both = late.alias("a").join(firsts.alias("b"), F.col("a.token") == F.col("b.token"))
     both = both.where(_earlier("a", "b") & _may_link("a", "b", F.col("a.n"), F.col("b.n"), percent))
-    early = F.min(F.struct(F.col("b.doc_id").isNotNull().alias("known"), "b.doc_id", "b.__row", "b.line_no")).alias("early")
-    return both.groupBy(F.col("a.__row").alias("__row"), F.col("a.line_no").alias("line_no")).agg(early).select(*_KEY, F.col("early.__row").alias("early_row"), F.col("early.line_no").alias("early_line"))
+    best = F.min(F.struct(_differ("a", "b").alias("differ"), "b.__row", "b.line_no")).alias("best")
+    return both.groupBy(F.col("a.__row").alias("__row"), F.col("a.line_no").alias("line_no")).agg(best).select(*_KEY, F.col("best.__row").alias("early_row"), F.col("best.line_no").alias("early_line"))
 
 
-def open_pairs(sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+def open_pairs(sets: DataFrame, done: DataFrame | None, percent: int) -> DataFrame:
     """All pairs (late and early keys) that may link, of lines that `done` does not hold and any earlier ones."""
-    known = done.select(F.col("__row").alias("r"), F.col("line_no").alias("l"))
-    flagged = sets.join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left")
+    if done is None:
+        flagged = sets.withColumn("r", F.lit(None).cast("long"))
+    else:
+        known = done.select(F.col("__row").alias("r"), F.col("line_no").alias("l"))
+        flagged = sets.join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left")
     # Both sides of the join read one shuffle, so whether a line still asks stands in the lowest bit beside its size.
     rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", F.posexplode("prefix").alias("pos", "token"))
     n, m = F.shiftright("a.n2", 1), F.shiftright("b.n2", 1)
@@ -132,7 +153,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     slots = F.broadcast(ends.select(slot(F.col("wanted_row")).alias("slot")).distinct())  # at most DOC_SLOTS rows
     some = docs.select("__row", "text").join(slots, slot(F.col("__row")) == F.col("slot"), "left_semi")
     some = some.join(ends, F.col("__row") == F.col("wanted_row")).select("__row", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
-    some = some.select("__row", "line_no", F.get("lines", F.col("line_no")).alias("line"))
+    some = stage(some.select("__row", "line_no", F.get("lines", F.col("line_no")).alias("line")), "line-texts")
     early = some.select(F.col("__row").alias("early_row"), F.col("line_no").alias("early_line"), F.col("line").alias("early"))
     both = pairs.join(early, ["early_row", "early_line"]).join(some, _KEY)
     both = both.select(*_KEY, F.array_distinct(line_words(F.col("line"))).alias("x"), F.array_distinct(line_words(F.col("early"))).alias("y"))
@@ -147,17 +168,24 @@ def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     on the input: a line that is removed still stands against later ones.
 
     Words are ordered by rarity; of a line's n distinct words the n - ceil(percent n / 100) + 1 rarest must hold one of
-    any partner's (prefix filter). Of equal sets the first line stays. A first round looks at the rarest words alone and at
-    one partner, the first document of each list, so that a group of near copies costs a row for each, not one for each
-    pair. Lines that it leaves open are joined with all earlier lines of their lists under the length, positional and parity
-    filters (sets differ in no fewer words than slots in parity). What passes is verified on the words themselves.
+    any partner's (prefix filter). Of equal sets the first line stays. In the first rounds the lines of long lists meet a few
+    likely partners each, so that a group of near copies costs a few rows for each, not one for each pair. Lines that these
+    leave open, and those of short lists, are joined with all earlier lines of their lists under the length, positional and
+    parity filters (sets differ in no fewer words than slots in parity). What passes is verified on the words themselves.
     """
     sets = stage(line_sets(docs, percent), "line-sets")
-    first = stage(likely_pairs(sets, percent), "line-likely")
-    done = stage(verified(docs, first, percent), "line-done")
+    rows = stage(long_lists(sets), "line-long")
+    done = asking = None
+    for pivots in PIVOTS:
+        likely = stage(likely_pairs(rows, asking, pivots, percent), "line-likely")
+        if likely.isEmpty():
+            break
+        found = stage(verified(docs, likely, percent), "line-found")
+        done = found if done is None else done.unionByName(found)
+        asking = stage(likely.select(*_KEY).join(found, _KEY, "left_anti"), "line-asking")  # their likeliest partner was none
     more = stage(open_pairs(sets, done, percent), "line-pairs")
-    gone = done.unionByName(verified(docs, more, percent))
-    return sets.select(*_KEY).join(gone, _KEY, "left_anti")
+    gone = verified(docs, more, percent)
+    return sets.select(*_KEY).join(gone if done is None else done.unionByName(gone), _KEY, "left_anti")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

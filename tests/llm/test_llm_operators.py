@@ -241,9 +241,10 @@ def line_rows():
     return rows + [(30, None), (31, ""), (32, "x y\nx y\ny x\n \t\r\n\x0bx\x0cy")]
 
 
-@pytest.mark.parametrize("first_words", [0, 1, 3])
-def test_line_dedup(spark, hard, empty, tmp_path, first_words, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FIRST_WORDS", first_words)
+@pytest.mark.parametrize(("long_list", "pivots"), [(16, (8,)), (2, (1, 3))])
+def test_line_dedup(spark, hard, tmp_path, long_list, pivots, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG_LIST", long_list)
+    monkeypatch.setattr(line_dedup, "PIVOTS", pivots)
     spark.createDataFrame(line_rows(), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
     for df in (spark.read.parquet(str(tmp_path / "d")), hard.where("doc_id <> 99")):
         plain = rows_of(df, "doc_id", "text")
