@@ -12,11 +12,11 @@ from .common import stage
 _SPACES = "\t\x0b\x0c\r"
 #: Words share 2**20 slots, each with four bits for how often its words occur in all documents: a table of fixed size.
 SLOT_BITS, CLASS_BITS = 20, 4
-#: Last words of each line's prefix (near copies differ in rarer ones) by which the first rounds find a line's likely partner;
-#: rows from which a list of such a word is long; how many lines of a list, at most, each of these rounds takes as partners.
-LAST_WORDS, LONG_LIST, PIVOTS = 3, 16, (8, 64)
+#: Last pairs of each line's prefix (near copies differ in rarer words) by which the first rounds find a line's likely partner;
+#: rows from which a list of such a pair is long; how many lines of a list, at most, each of these rounds takes as partners.
+LAST_PAIRS, LONG_LIST, PIVOTS = 3, 16, (8, 64)
 #: Slots of documents that hold lines to be verified: a broadcast of fixed size. It only saves work.
-DOC_SLOTS = 1 << 16
+DOC_SLOTS = 1 << 18
 _KEY = ["__row", "line_no"]
 
 
@@ -107,10 +107,13 @@ def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
 
 
 def long_lists(sets: DataFrame) -> DataFrame:
-    """The rows of the long lists of the last tokens of prefixes."""
+    """The rows of the long lists of pairs of neighbours among the last tokens of prefixes: near copies share such pairs, others
+    seldom do. pos: of the pair's first token."""
     size = F.size("prefix")
-    few = sets.select("__row", "doc_id", "line_no", "n", "p0", "p1", size.alias("size"), F.posexplode(F.slice("prefix", F.greatest(size - (LAST_WORDS - 1), F.lit(1)), F.lit(LAST_WORDS))).alias("at", "token"))
-    few = few.select("__row", "doc_id", "line_no", "n", "p0", "p1", (F.greatest(F.col("size") - LAST_WORDS, F.lit(0)) + F.col("at")).alias("pos"), "token")
+    pair = lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.get("prefix", i - 1), F.get("prefix", i)).alias("token"))
+    pairs = F.transform(F.sequence(F.greatest(size - LAST_PAIRS, F.lit(1)), size - 1), pair)
+    few = sets.where(size > 1).select("__row", "doc_id", "line_no", "n", "p0", "p1", F.explode(pairs).alias("pair"))
+    few = few.select("__row", "doc_id", "line_no", "n", "p0", "p1", "pair.pos", "pair.token")
     long = few.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LONG_LIST)
     return few.join(long.select("token"), "token")
 
@@ -138,10 +141,14 @@ def open_pairs(sets: DataFrame, done: DataFrame | None, percent: int) -> DataFra
         known = done.select(F.col("__row").alias("r"), F.col("line_no").alias("l"))
         flagged = sets.join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left")
     # Both sides of the join read one shuffle, so whether a line still asks stands in the lowest bit beside its size.
-    rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", F.posexplode("prefix").alias("pos", "token"))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
+    rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("before"))).alias("pos", "at"))
+    rows = rows.select("__row", "doc_id", "line_no", "n2", "p0", "p1", "pos", "at.token", "at.before")
     n, m = F.shiftright("a.n2", 1), F.shiftright("b.n2", 1)
     asks = F.col("a.n2").bitwiseAND(F.lit(1)) * m > 0
-    both = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & asks & _may_link("a", "b", n, m, percent) & _earlier("a", "b"))
+    # Lines that share the token before, too, meet there.
+    new = (F.col("a.before") != F.col("b.before")) | (F.col("a.pos") == 0) | (F.col("b.pos") == 0)
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & asks & new & _may_link("a", "b", n, m, percent) & _earlier("a", "b"))
     return both.select(F.col("a.__row").alias("__row"), F.col("a.line_no").alias("line_no"), F.col("b.__row").alias("early_row"), F.col("b.line_no").alias("early_line")).distinct()
 
 
