@@ -19,6 +19,8 @@ from .textblocks import blocks, mix64, shingles, word_hashes
 
 #: Bits of the map of set ids that may be needed: a broadcast of fixed size. It only saves work.
 MAP_BITS = 20
+#: Bits of the slots of set ids that a comparison reads: another broadcast of fixed size. Parts of which a first comparison sees one.
+SLOT_BITS, SAMPLE = 17, 8
 #: Longs of a set's sketch.
 WORDS = 8
 SKETCH = [f"k{i}" for i in range(WORDS)]
@@ -125,11 +127,15 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(slots, minlength=64 * WORDS) & 1).astype(np.uint8).view(np.int64)
 
 
+def differing(x: list[Column], y: list[Column]) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+
 def may_link(n: Column, m: Column, x: list[Column], y: list[Column], percent: int) -> Column:
     """Whether sets of n and m elements can link, by sizes and sketches."""
     need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseXOR(y[0])))
-    return (F.least(n, m) >= need) & (differ <= n + m - 2 * need)
+    return (F.least(n, m) >= need) & (differing(x, y) <= n + m - 2 * need)
 
 
 def document_sets(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
@@ -203,28 +209,59 @@ def _named(sets: DataFrame, prefix: str) -> DataFrame:
     return sets.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("set_id", "n", *SKETCH)])
 
 
+def _sketch_of(x: str) -> list[Column]:
+    return [F.col(f"{x}{k}") for k in SKETCH]
+
+
 def _fit(x: str, y: str, percent: int) -> Column:
-    return may_link(F.col(f"{x}n"), F.col(f"{y}n"), [F.col(f"{x}{k}") for k in SKETCH], [F.col(f"{y}{k}") for k in SKETCH], percent)
+    return may_link(F.col(f"{x}n"), F.col(f"{y}n"), _sketch_of(x), _sketch_of(y), percent)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link."""
+def sampled(sets: DataFrame) -> DataFrame:
+    """(set_id, n, elements): of each set the elements whose hash falls in one of SAMPLE parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
+            parts = [s[mix64(s) % np.uint64(SAMPLE) == 0].tobytes() for s in whole]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in whole], pa.int64()), pa.array(parts, pa.binary())], names=["set_id", "n", "elements"])
+
+    return sets.select("set_id", "elements").mapInArrow(run, "set_id long, n long, elements binary")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets link, or may link where sets (set_id, n, elements) hold only some of their elements:
+    of what is left out the smaller set's rest may be shared, at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = np.concatenate([s, t])
                 both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
+                shared = int((both[1:] == both[:-1]).sum()) + min(n - len(s), m - len(t))
+                keep.append(100 * shared >= percent * (n + m - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    one = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("of_a"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("of_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    one = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("of_a"), F.col("n").alias("n_a"))
+    two = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("of_b"), F.col("n").alias("n_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets link. A part of each set rules out most of those that don't; the others' sets are
+    compared in whole. Only sets of pairs are moved, but for some that share a slot of a broadcast of fixed size with one."""
+
+    def of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        slot = lambda c: F.pmod(c, F.lit(1 << SLOT_BITS)).cast("int")
+        slots = pairs.select(F.explode(F.array(slot(F.col("a")), slot(F.col("b")))).alias("slot")).distinct()
+        return sets.join(F.broadcast(slots), slot(F.col("set_id")) == F.col("slot"), "left_semi")  # at most 2**SLOT_BITS rows
+
+    likely = stage(compared(pairs, sampled(of_pairs(sets, pairs)), percent), "likely")
+    whole = of_pairs(sets, likely).withColumn("n", (F.octet_length("elements") / 8).cast("long"))
+    return compared(likely, whole, percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,14 +290,14 @@ def set_components(docs: DataFrame, found: DataFrame, size: int, percent: int) -
 
     Sets that share a key are candidates; sizes and sketches rule out nearly all that don't link, and full sets, read
     for what is left alone, decide. In each round every set of a list that is still in more than one component meets a
-    few sets of it, others each time: a group of near copies costs a few rows for each set and list, not one for each
-    pair. After the rounds, what is still apart in a list is compared pair by pair, but for pairs compared before.
+    few sets of it, others each time, and is compared with the likeliest of all of these: a group of near copies costs a
+    few rows for each set and list, not one for each pair. After the rounds, what is still apart in a list is compared pair by pair, but for pairs compared before.
     """
     window = Window.partitionBy("key")
     lists = set_keys(docs, size, percent).withColumn("least", F.min("set_id").over(window)).withColumn("most", F.max("set_id").over(window))
     lists = stage(lists.where("least <> most").select("key", "set_id").distinct(), "lists")
-    sketches = found.join(lists.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first(F.struct(F.col("n_shingles").alias("n"), *SKETCH)).alias("s"))
-    sketches = stage(sketches.select("set_id", "s.*"), "sketches")
+    sketches = found.select("set_id", F.col("n_shingles").alias("n"), *SKETCH).distinct().join(lists.select("set_id").distinct(), "set_id", "left_semi")
+    sketches = stage(sketches, "sketches")
     x, y = _named(sketches, "x_"), _named(sketches, "y_")
     spark = docs.sparkSession
     nothing = spark.createDataFrame([], "a long, b long")
@@ -285,7 +322,9 @@ def set_components(docs: DataFrame, found: DataFrame, size: int, percent: int) -
             star = open_.select("set_id", "label", F.explode("pivots").alias("pivot")).where("label <> pivot.label")
             star = star.select("set_id", F.col("pivot.set_id").alias("other")).distinct()
             near = star.join(x, F.col("set_id") == F.col("x_set_id")).join(y, F.col("other") == F.col("y_set_id")).where(_fit("x_", "y_", percent))
-            pairs = near.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
+            near = near.select("set_id", F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"), differing(_sketch_of("x_"), _sketch_of("y_")).alias("differ"))
+            best = near.join(tested, ["a", "b"], "left_anti").groupBy("set_id").agg(F.min(F.struct("differ", "a", "b")).alias("best"))
+            pairs = best.select("best.a", "best.b")
         pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         missing = stage(ends.join(sets.select("set_id"), "set_id", "left_anti"), "missing")
