@@ -21,13 +21,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64 = _PRIME) -> np.ndarray:
-    p = np.full(n, base, dtype=np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
+def _at_place(code: np.ndarray) -> np.ndarray:
+    """What a byte adds to the hash of its word; code: its place in the word, times 256, and the byte."""
+    return mix64(code.astype(np.uint64) * _PRIME + np.uint64(1))
 
 
-_POWERS = _powers(1 << 12)
+#: The same for the first places, which nearly all bytes have.
+_TABLE = _at_place(np.arange(64 << 8))
 
 
 def blocks(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -65,10 +65,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     first = np.searchsorted(at, starts)
     lengths = np.diff(np.append(first, len(at)))
     within = np.arange(len(at)) - np.repeat(first, lengths)
-    longest = int(lengths.max())
-    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-    values = (_LOWER[raw] if lower else raw)[at].astype(np.uint64) + np.uint64(1)
-    hashed = np.add.reduceat(values * powers[within], first)
+    code = (within << 8) | (_LOWER[raw] if lower else raw)[at]
+    # Random numbers by place and byte add up, so that no pattern of bytes makes words alike.
+    values = _TABLE[np.minimum(code, len(_TABLE) - 1)]
+    late = np.flatnonzero(code >= len(_TABLE))
+    values[late] = _at_place(code[late])
+    hashed = np.add.reduceat(values, first)
     return mix64(hashed + lengths.astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
