@@ -77,34 +77,38 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 class RunLengthIndex:
-    """A Burrows-Wheeler transform in runs, with the suffixes that stand at the ends of runs.
+    """A Burrows-Wheeler transform in runs: their lengths and bytes, the suffixes at their beginnings and ends, and what each
+    beginning shares with the end before it. The suffix order that it is made from isn't kept.
 
-    text: bytes in which no two suffixes agree on 512 bytes or more.
+    text: bytes in which no two suffixes agree on `depth` bytes or more.
     """
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, depth: int = 512):
         n = len(text)
         padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
-        self.words = np.zeros(n, dtype=np.uint64)
+        words = np.zeros(n, dtype=np.uint64)
         for k in range(8):
-            self.words = (self.words << np.uint64(8)) | padded[k : n + k].astype(np.uint64)
-        order = np.argsort(self.words, kind="stable")
-        rank = self._ranks(order, self.words[order])
+            words = (words << np.uint64(8)) | padded[k : n + k].astype(np.uint64)
+        order = np.argsort(words, kind="stable")
+        rank = self._ranks(order, words[order])
         width = 8
-        while width < 512 and rank[order[-1]] + 1 < n:
+        while width < depth and rank[order[-1]] + 1 < n:
             after = np.zeros(n, dtype=np.int64)
             after[: max(0, n - width)] = rank[width:] + 1
             key = rank * (n + 1) + after
             order = np.argsort(key, kind="stable")
             rank = self._ranks(order, key[order])
             width *= 2
-        self.order = order
         bwt = text[order - 1].astype(np.int16)
         bwt[order == 0] = -1  # nothing stands before the text's first byte: a run of its own
-        self.heads = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
-        self.run_bytes = bwt[self.heads]
-        self.head_suffixes = order[self.heads]  # sampled run beginnings ...
-        self.end_suffixes = order[np.append(self.heads[1:], n) - 1]  # ... and ends
+        heads = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
+        self.size = n
+        self.run_lengths = np.diff(np.append(heads, n))
+        self.run_bytes = bwt[heads]
+        self.head_suffixes = order[heads]  # sampled run beginnings ...
+        self.end_suffixes = order[np.append(heads[1:], n) - 1]  # ... and ends
+        self.head_shared = np.zeros(len(heads), dtype=np.int64)
+        self.head_shared[1:] = self._common(words, self.head_suffixes[1:], self.end_suffixes[:-1], depth)
 
     @staticmethod
     def _ranks(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -112,15 +116,16 @@ class RunLengthIndex:
         rank[order] = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1])))
         return rank
 
-    def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Bytes on which suffixes a and b agree, up to about `most`."""
-        n, got = len(self.words), np.zeros(len(a), dtype=np.int64)
+    @staticmethod
+    def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Bytes on which suffixes a and b agree, up to about `most`; words: the eight bytes from each place on."""
+        n, got = len(words), np.zeros(len(a), dtype=np.int64)
         live = np.arange(len(a))
         while len(live):
             x, y = a[live] + got[live], b[live] + got[live]
             inside = np.maximum(x, y) < n
             live, x, y = live[inside], x[inside], y[inside]
-            differ = self.words[x] ^ self.words[y]
+            differ = words[x] ^ words[y]
             whole = differ == 0
             top = sum((differ < np.uint64(1 << (8 * k)) for k in range(1, 8)), np.zeros(len(live), dtype=np.int64))
             got[live] += np.where(whole, 8, top)
@@ -128,24 +133,21 @@ class RunLengthIndex:
             live = live[got[live] < most]
         return np.minimum(got, n - np.maximum(a, b))
 
-    def matching_statistics(self, most: int = 512) -> np.ndarray:
-        """For each suffix the bytes that it shares with the one before it in order.
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the text, in order: the bytes that its suffix shares with the suffix before it in sorted order, and
+        where that one begins (-1: none).
 
-        Only those at the beginnings of runs are compared, with the end of the run before; inside a run each shares one
-        byte less than the suffix to its left in the text does.
+        Both come from the samples alone. A place that begins no run shares a byte less than the place to its left, and its
+        neighbour is the one after that place's neighbour.
         """
-        n = len(self.order)
-        at_heads = np.zeros(len(self.heads), dtype=np.int64)
-        at_heads[1:] = self._common(self.head_suffixes[1:], self.end_suffixes[:-1], most)
-        sample = np.full(n, -1, dtype=np.int64)
-        value = np.zeros(n, dtype=np.int64)
-        sample[self.head_suffixes] = self.head_suffixes
-        value[self.head_suffixes] = at_heads
-        sample = np.maximum.accumulate(sample)
-        known = sample >= 0
-        out = np.zeros(n, dtype=np.int64)
-        out[known] = value[sample[known]] - (np.flatnonzero(known) - sample[known])
-        return np.maximum(out, 0)
+        at = np.full(self.size, -1, dtype=np.int64)
+        at[self.head_suffixes] = np.arange(len(self.head_suffixes))
+        places = np.arange(self.size)
+        run = at[np.maximum.accumulate(np.where(at >= 0, places, 0))]
+        past = places - self.head_suffixes[run]
+        shared = np.maximum(self.head_shared[run] - past, 0)
+        neighbour = np.where(run > 0, self.end_suffixes[run - 1] + past, -1)
+        return shared, neighbour
 
 
 def repeated_windows(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -159,15 +161,15 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray
     place = (docs[owner].astype(np.int64) << 40) + starts[owner] + inside
     valid = inside + length < sizes[owner]
     place[~valid] = np.iinfo(np.int64).max
-    index = RunLengthIndex(text)
-    shared = index.matching_statistics()[index.order]
-    groups = np.flatnonzero(shared < length)  # the first is 0: nothing stands before it
-    groups = groups if len(groups) and groups[0] == 0 else np.append([0], groups)
-    ordered = place[index.order]
-    earliest = np.repeat(np.minimum.reduceat(ordered, groups), np.diff(np.append(groups, len(ordered))))
-    later = np.zeros(len(text), dtype=bool)
-    later[index.order] = ordered > earliest
-    later &= valid
+    # Contexts differ, so suffixes do before the end of the second one's context.
+    shared, neighbour = RunLengthIndex(text, max(512, 2 * int(sizes.max()))).matching_statistics()
+    # Places that share a window with their neighbour follow it to the first place of the window's group.
+    first = np.where(shared >= length, neighbour, np.arange(len(text)))
+    while (after := first[first])[valid].tobytes() != first[valid].tobytes():
+        first = after
+    earliest = np.full(len(text), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, first, place)
+    later = valid & (place > earliest[first])
     return [later[b : b + max(0, s - length)] for b, s in zip(begin, sizes, strict=True)]
 
 
@@ -183,31 +185,54 @@ def repeated_spans(numbered: DataFrame, length: int = 100, most_contexts: int =
     numbered: row (unique), doc_id, text. Earlier: in a smaller doc_id (null first), a smaller row, or at an earlier
     start; windows are judged on the input and never cross texts.
     """
-    cid = F.xxhash64("text")
+    # Equal texts are known by 128 bits.
+    cid = [F.xxhash64("text").alias("cid"), F.xxhash64(F.lit(7), "text").alias("cid2")]
+    names = ["gram", "cid", "cid2", "start", "more", "content", "settled"]
     docs = numbered.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = stage(docs.select("row", "doc_id", cid.alias("cid"), F.octet_length("text").cast("long").alias("n_bytes")), "repeat-docs")
-    firsts = known.where(F.col("n_bytes") >= length).groupBy("cid").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("cid", "first.doc_id", "first.row")
+    known = stage(docs.select("row", "doc_id", *cid, F.octet_length("text").cast("long").alias("n_bytes")), "repeat-docs")
+    firsts = known.where(F.col("n_bytes") >= length).groupBy("cid", "cid2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("cid", "cid2", "first.doc_id", "first.row")
     copies = known.where(F.col("n_bytes") >= length).join(firsts.select("row"), "row", "left_anti")  # equal texts stand earlier
     copies = copies.select("row", F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("to"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        contexts: set[int] = set()
+        last, ordered = None, True
         for batch in batches:
-            ids = batch.column(1).to_numpy()
+            rows, order = batch.column(3).to_numpy(), batch.column(4)
+            known = order.to_numpy(zero_copy_only=False)
+            ordered = ordered and not order.null_count and bool((np.diff(known) >= 0).all()) and (last is None or known[0] >= last)
+            last = known[-1]
+            ids, more_ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for a, b, raw, offsets in blocks(batch.column(0), PIECE):
                 fresh = np.zeros(b - a, dtype=bool)
-                for i, c in enumerate(ids[a:b].tolist()):
+                for i, c in enumerate(zip(ids[a:b].tolist(), more_ids[a:b].tolist(), strict=True)):
                     fresh[i] = c not in seen  # a text that this task has had
                     seen.add(c)
                 text, start, more, gram, content = anchors(raw, offsets, length)
                 keep = fresh[text]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(ids[a:b][text[keep]]), pa.array(start[keep]), pa.array(more[keep]), pa.array(content[keep].view(np.int64))], names=["gram", "cid", "start", "more", "content"])
-
-    found = docs.select("text", cid.alias("cid")).mapInArrow(gather, "gram long, cid long, start long, more long, content long")
+                text, start, more, gram, content = (x[keep] for x in (text, start, more, gram, content))
+                own = rows[a:b][text]
+                # While documents come in order, a context that this task has had stands earlier: it is settled here, under a
+                # k-gram of its own, so that a passage of very many documents is a row for each task in its list.
+                settled = np.zeros(len(gram), dtype=bool)
+                if ordered:
+                    codes = mix64(gram ^ mix64(content))
+                    fresh_context = np.zeros(len(gram), dtype=bool)
+                    fresh_context[np.unique(codes, return_index=True)[1]] = True
+                    settled = ~fresh_context | np.fromiter((c in contexts for c in codes.tolist()), dtype=bool, count=len(codes))
+                    contexts.update(codes[~settled].tolist())
+                    gram = np.where(settled, mix64(own.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)), gram)
+                columns = [gram.view(np.int64), ids[a:b][text], more_ids[a:b][text], start, more, content.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(own, mask=~settled)], names=names)
+
+    found = docs.select("text", *cid, "row", "doc_id").mapInArrow(gather, ", ".join(f"{c} long" for c in names))
     same = Window.partitionBy("gram")
-    place = F.struct("cid", "start")
-    lists = found.withColumn("lo", F.min(place).over(same)).withColumn("hi", F.max(place).over(same)).where("lo <> hi").drop("lo", "hi")
-    lists = stage(lists.distinct().join(firsts, "cid"), "repeat-lists")
+    place = F.struct("cid", "cid2", "start")
+    lists = found.withColumn("lo", F.min(place).over(same)).withColumn("hi", F.max(place).over(same)).where("lo <> hi OR settled IS NOT NULL").drop("lo", "hi")
+    lists = stage(lists.distinct().join(firsts, ["cid", "cid2"]), "repeat-lists")
+    settled = lists.where("settled IS NOT NULL").select(F.col("settled").alias("row"), F.col("start").alias("from"), (F.col("start") + F.col("more") + length).alias("to"))
+    lists = lists.where("settled IS NULL")
 
     # Of equal contexts the earliest keeps its windows for now; all windows of the others start earlier too.
     order = Window.partitionBy("gram", "content").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start")
@@ -243,7 +268,7 @@ def repeated_spans(numbered: DataFrame, length: int = 100, most_contexts: int =
     earliest = heavy.groupBy("window").agg(F.min(F.struct("doc_id", "row", "from")).alias("first"))
     heavy = heavy.join(earliest, "window").where(~F.struct("doc_id", "row", "from").eqNullSafe(F.col("first")))
     heavy = heavy.select("row", "from", (F.col("from") + length).alias("to"))
-    return copies.unionByName(later).unionByName(indexed).unionByName(heavy)
+    return copies.unionByName(settled).unionByName(later).unionByName(indexed).unionByName(heavy)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -255,10 +280,13 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     are long enough. An empty table gives an empty table.
 
     Any two equal windows hold the same k-gram of least hash at the same place, so only texts around k-grams that occur
-    twice can repeat. Equal contexts of a k-gram are settled by order. Contexts that differ are indexed together: a
-    Burrows-Wheeler transform in runs, sampled at run ends, gives how much each suffix shares with the one before it,
-    streamed through the text; suffixes that share a whole window form groups, of which the earliest stays.
+    twice can repeat. Equal contexts of a k-gram are settled by order. Contexts that differ are indexed together: the samples
+    at the ends of a Burrows-Wheeler transform's runs give, streamed through the text, how much each suffix shares with its
+    neighbour in sorted order, and where that stands; neighbours that share a whole window form groups, of which the
+    earliest stays. `length` is at least the k-gram's.
     """
+    if length < GRAM:
+        raise ValueError(f"passages are of {GRAM} bytes at least")
     # Rows are told apart by their place in the input, which must read alike each time.
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = stage(repeated_spans(numbered, length), "repeat-spans")
