@@ -16,24 +16,28 @@ from pyspark.sql import functions as F
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _CONTROL_RE = re.compile("|".join(map(re.escape, CONTROL)) + r"|\\")
 _ESCAPED_RE = re.compile(r"\\(.)", re.DOTALL)
+#: Stands for nothing, between a text's white space and the template's: tokens join white space to white space.
+GUARD = "\\;"
 
 
 def escape(text: str) -> str:
-    """A backslash before each backslash, and after the first character of each control string."""
-    return _CONTROL_RE.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    """A backslash before each backslash, and after the first character of each control string; a guard at ends of white space."""
+    body = _CONTROL_RE.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    return GUARD * body[:1].isspace() + body + GUARD * body[-1:].isspace()
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED_RE.sub(r"\1", text)
+    return _ESCAPED_RE.sub(lambda m: "" if m[0] == GUARD else m[1], text)
 
 
 @dataclass(frozen=True)
 class Template:
-    """A turn is begin, role, middle, text, end. Turns are set apart by a line feed, so that no token spans two."""
+    """A turn is begin, role, middle, text, end. Line feeds set turns and their texts apart, so that no token spans two turns or
+    an end of a text: a text's ends aren't white space, and a line feed joins nothing else."""
 
     begin: str = "<s>[INST] "
     middle: str = " [/INST]\n"
-    end: str = "</s>"
+    end: str = "\n</s>"
     between: str = "\n"
 
     def render(self, role: str, text: str) -> tuple[str, int, int]:
@@ -158,14 +162,24 @@ def format_conversations(rows: DataFrame, tokenizer: str, template: Template = T
     return rows.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
 
 
-def conversation_digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """What the formatted text and its mask say, read back from the operator's output, a row for each conversation."""
+def masked_texts(code, ids: list[int], mask: list[bool]) -> list[str]:
+    """What the tokens under the mask say, run by run."""
+    on = np.array(mask, dtype=np.int8)
+    edge = np.diff(np.concatenate(([0], on, [0])))
+    runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
+    return code.decode_batch([ids[a:b] for a, b in runs], skip_special_tokens=False)
+
+
+def conversation_digests(formatted: DataFrame, tokenizer: str, template: Template = Template()) -> DataFrame:
+    """What the formatted text and its mask say, read back from the operator's output, a row for each conversation. What is learnt
+    is decoded from the tokens under the mask."""
     import hashlib
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     fields = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _tokenizer(tokenizer)
         state: list | None = None
         out: list[tuple] = []
 
@@ -179,7 +193,7 @@ def conversation_digests(formatted: DataFrame, template: Template = Template())
             return done
 
         for batch in batches:
-            for conv_id, segment, text, starts, stops in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for conv_id, segment, text, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if segment == 0:
                     close()
                     state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -187,8 +201,7 @@ def conversation_digests(formatted: DataFrame, template: Template = Template())
                 state[1] += len(turns)
                 for role, said in turns:
                     state[2].update(f"{role}\n{said}\n".encode())
-                for a, b in zip(starts, stops, strict=True):
-                    learnt = unescape(text[a:b])
+                for learnt in map(unescape, masked_texts(code, ids, mask)):
                     state[3] += len(learnt)
                     state[4].update(learnt.encode())
                 state[5] += len(text)
@@ -198,4 +211,4 @@ def conversation_digests(formatted: DataFrame, template: Template = Template())
         if out:
             yield batch_of()
 
-    return formatted.select("conv_id", "segment", "formatted", "loss_from", "loss_to").mapInArrow(read, schema)
+    return formatted.select("conv_id", "segment", "formatted", "ids", "token_loss").mapInArrow(read, schema)
