@@ -10,25 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of candidates and of a block of queries: a task holds one dense score array of these sides.
-CANDIDATES, QUERIES = 8192, 256
+#: Rows of a block of candidates and of a block of queries, which each pair of blocks brings into one task; and queries that are
+#: scored at once there, each by a dense row of a block's candidates.
+CANDIDATES, QUERIES, AT_ONCE = 8192, 8192, 64
 
 
-def integer_vector(embedding: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) for each component, x as double."""
-    return F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+def scaled_vector(embedding: Column, scale: float = 256.0) -> Column:
+    """scale * x for each component, x as double; search() takes the floor, as not all of them fit a long."""
+    return F.transform(embedding, lambda x: F.lit(scale) * x.cast("double"))
 
 
 def usable(embedding: Column) -> Column:
-    """True for vectors without nulls, NaN or infinities, and small enough for sums of products to be longs."""
-    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(2.0**20)))
+    """True for vectors without nulls, NaN or infinities."""
+    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return embedding.isNotNull() & F.coalesce(whole, F.lit(False))
 
 
-def scores(query_terms: list[tuple[np.ndarray, np.ndarray]], postings: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+def whole_numbers(rows: list[np.ndarray], other: list[np.ndarray], width: int) -> type:
+    """int64 where sums of `width` products of components of both are sure to fit it, else object: Python's exact integers."""
+    most = [max((float(np.abs(np.floor(v)).max()) for v in x if len(v)), default=0.0) for x in (rows, other)]
+    return np.int64 if max(*most, most[0] * most[1] * max(1, width)) < 2.0**62 else object
+
+
+def as_integers(v: np.ndarray, kind: type) -> np.ndarray:
+    v = np.floor(v)
+    return v.astype(np.int64) if kind is np.int64 else np.array([int(x) for x in v.tolist()], dtype=object)
+
+
+def scores(query_terms: list[tuple[np.ndarray, np.ndarray]], postings: dict[int, tuple[np.ndarray, np.ndarray]], n: int, kind: type = np.int64) -> np.ndarray:
     """Inner products of sparse queries with n candidates: each term of a query scatters its weighted postings into the
     query's row of dense scores."""
-    out = np.zeros((len(query_terms), n), dtype=np.int64)
+    out = np.zeros((len(query_terms), n), dtype=kind)
     for row, (terms, weights) in zip(out, query_terms, strict=True):
         for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
             if t in postings:
@@ -58,15 +70,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     vectors: vec_id, embedding (more columns are ignored). Candidates are all rows but those with the query's vec_id.
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Rows with a null vec_id, a null
-    vector, or null, non-finite or huge (2**20 and over) components take no part; components that one vector lacks
-    count as 0. Repeated rows are candidates, and queries, each on its own. No candidates, no rows.
+    vector, or null or non-finite components take no part; components that one vector lacks count as 0. Sums are exact
+    whatever the size of the components; a score among the best that a long can't hold is an error. Repeated rows are
+    candidates, and queries, each on its own. No candidates, no rows.
 
     Queries and candidates are dealt into blocks, and each pair of blocks is one group: scores are accumulated term at
     a time over the block's postings, the best k selected by partition, and the winners of the blocks merged by a
     window per query, which holds k rows for each block.
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding"), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled_vector(F.col("embedding"), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"))
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     n_blocks, n_query_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(n_queries / QUERIES))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -82,16 +95,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         if len(q) and len(c):
             ids = c["vec_id"].to_numpy()
             width = max(map(len, c["vec"]))
-            dense = np.zeros((len(c), width), dtype=np.int64)
-            for i, v in enumerate(c["vec"]):
-                dense[i, : len(v)] = v
+            given = [np.asarray(v, dtype=np.float64) for v in c["vec"]]
+            asked = [np.asarray(v, dtype=np.float64) for v in q["vec"]]
+            kind = whole_numbers(given, asked, width)
+            dense = np.zeros((len(c), width), dtype=kind)
+            for i, v in enumerate(given):
+                dense[i, : len(v)] = as_integers(v, kind)
             postings = {t: (at := np.flatnonzero(col), col[at]) for t, col in enumerate(np.ascontiguousarray(dense.T))}
-            sparse = [(np.flatnonzero(v), v[v != 0]) for v in map(np.asarray, q["vec"])]
-            for lo in range(0, len(q), 64):
-                got = scores(sparse[lo : lo + 64], postings, len(c))
+            sparse = [(np.flatnonzero(v), v[v != 0]) for v in (as_integers(v, kind) for v in asked)]
+            for lo in range(0, len(q), AT_ONCE):
+                got = scores(sparse[lo : lo + AT_ONCE], postings, len(c), kind)
                 for i, row in enumerate(got, lo):
                     own, query_row = int(q["vec_id"].iloc[i]), int(q["row"].iloc[i])
                     out += [(own, query_row, int(ids[j]), int(row[j])) for j in best(row, ids, own, k)]
+        if any(not -(2**63) <= r[3] < 2**63 for r in out):
+            raise OverflowError("a score is beyond what a long holds")
         return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"], dtype="int64")
 
     found = candidates.unionByName(queries).groupBy("block", "query_block").applyInPandas(search, "query_id long, query_row long, vec_id long, score long")
