@@ -26,11 +26,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def split_words(text: Column) -> Column:
-    """The words of a text in order; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
-
-
 @functools.cache
 def _own_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="factorloom-")
@@ -131,7 +126,6 @@ def running_total(df: DataFrame, group: Sequence[str], bucket: str, order: Seque
     return local.join(pre, cond).withColumn(out, (F.col("__local") + F.col("__before")).cast("long")).drop("__local", "__before", *[f"__p_{k}" for k in keys])
 
 
-def hash_order(*cols: Column, bits: int = 10) -> tuple[Column, Column]:
-    """A non-negative 63-bit hash to shuffle rows by, and its leading bits as bucket."""
-    h = F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-    return h, F.shiftright(h, 63 - bits).cast("int")
+def hash_order(*cols: Column) -> Column:
+    """A non-negative 63-bit hash to shuffle rows by."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

@@ -15,6 +15,8 @@ from .common import WORD_RE, hash_order, running_total, stage, word_count
 GOLDEN_32 = 2654435769
 ONE_32 = 1 << 32
 CELL_SHIFT = 20  # the unit interval in 4096 cells
+#: Rows, about, that a window brings together in one group, at most.
+TOGETHER = 1 << 17
 
 
 def golden_point(n):
@@ -64,8 +66,10 @@ def mix_to_weights(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     taken on their own. An empty table gives empty tables. The same rows give the same mix.
     """
     spark = docs.sparkSession
-    order, bucket = hash_order(F.lit(seed), F.col("doc_id"), F.col("text"))
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"), bucket.alias("bucket")), "mix-sized")
+    order = hash_order(F.lit(seed), F.col("doc_id"), F.col("text"))
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order")), "mix-sized")
+    bits = min(40, max(10, (sized.count() // TOGETHER).bit_length()))  # of the order, as buckets of about TOGETHER documents at most
+    sized = sized.withColumn("bucket", F.shiftright("order", 63 - bits))
     sources = stage(source_targets(sized, weights, share, max_repeat), "mix-sources")
     known = sources.select(F.col("source").alias("__source"), "source_rank")
     ranked_docs = sized.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -75,10 +79,9 @@ def mix_to_weights(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
 
     slots_wanted = math.ceil((total or 0) / block_words)
     n_slots = math.ceil(slots_wanted * 1.01) + 16 * n_sources if slots_wanted else 0
-    if n_slots >= ONE_32:
-        raise ValueError("more slots than golden-ratio points: use larger blocks")
-    chunk = max(1, math.ceil(n_slots / 1024))
-    points = spark.range(1, n_slots + 1).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"), F.floor(F.col("id") / chunk).cast("int").alias("chunk"))
+    # Beyond 2**32 slots the sequence of points begins again, so a source's share of them stays what it is.
+    chunk = max(1, min(math.ceil(n_slots / 1024), TOGETHER))
+    points = spark.range(1, n_slots + 1).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"), F.floor(F.col("id") / chunk).alias("chunk"))
     points = points.withColumn("cell", F.shiftright("point", CELL_SHIFT))
     cells = sources.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.shiftright("lo", CELL_SHIFT), F.shiftright(F.col("hi") - 1, CELL_SHIFT))))
     drawn = points.join(cells, "cell").where("point >= lo AND point < hi").select("slot", "chunk", "source_rank", "source_size", F.floor("target").cast("long").alias("target"), F.lit(1).alias("one"))
@@ -126,7 +129,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     options = {"seed": 17} | options
     _, _, pieces = mix_to_weights(docs, **options)
-    order, _ = hash_order(F.lit(options["seed"]), F.col("doc_id"), F.col("text"))
+    order = hash_order(F.lit(options["seed"]), F.col("doc_id"), F.col("text"))
     passes = pieces.groupBy("order", "doc_id", "size", "doc_start", "epoch").agg(F.sum("words").alias("words"))
     # Equal documents have equal keys: the n-th of them takes what the n-th place gives.
     nth = F.dense_rank().over(Window.partitionBy("order", "doc_id").orderBy("doc_start"))
