@@ -23,15 +23,15 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """Pairs and triples (in order, shorter ones led by 0) of the given lengths that fill a window."""
     have = np.zeros(window + 1, dtype=bool)
     have[lengths] = True
-    a, b = np.meshgrid(lengths, lengths, indexing="ij")
-    c = window - a - b
-    ok = (a <= b) & (b <= c)
-    triples = np.stack([a[ok], b[ok], c[ok]], axis=1)
-    triples = triples[have[triples[:, 2]]]
+    triples = [np.zeros((0, 3), dtype=np.int64)]
+    for a in lengths[lengths * 3 <= window].tolist():
+        b = lengths[(lengths >= a) & (lengths * 2 <= window - a)]
+        b = b[have[window - a - b]]
+        triples.append(np.stack([np.full(len(b), a), b, window - a - b], axis=1))
     low = lengths[lengths * 2 <= window]
     low = low[have[window - low]]
     pairs = np.stack([np.zeros_like(low), low, window - low], axis=1)
-    return np.concatenate([pairs, triples]).astype(np.int64)
+    return np.concatenate([pairs, *triples]).astype(np.int64)
 
 
 def repeat_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = 200) -> np.ndarray:

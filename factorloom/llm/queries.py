@@ -47,7 +47,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.conversation_digests(chat.format_conversations(rows.unionByName(extra), public_tokenizers.path(BPE)))
+    tokenizer = public_tokenizers.path(BPE)
+    return chat.conversation_digests(chat.format_conversations(rows.unionByName(extra), tokenizer), tokenizer)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

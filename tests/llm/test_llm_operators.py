@@ -1,6 +1,7 @@
 """Each operator against a plain Python version, on hard rows and on empty tables."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -31,7 +32,8 @@ def test_exact_dedup(hard, empty):
         got = rows_of(exact_dedup.dedup_exact(hard, bits), "doc_id", "keep_id", "group_size", "text_sha256")
         least = lambda t: min((x for x in groups[t] if x is not None), default=None)
         assert Counter(got) == Counter((i, least(t), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in plain)
-        assert exact_dedup.dedup_exact(hard, bits).where("kept").count() == len(groups)
+        kept = rows_of(exact_dedup.dedup_exact(hard, bits).where("kept"), "doc_id", "text_sha256")
+        assert Counter(kept) == Counter((least(t), hashlib.sha256(t.encode()).hexdigest()) for t in groups)
     assert exact_dedup.dedup_exact(empty).count() == 0
 
 
@@ -139,11 +141,15 @@ def test_packing(hard, empty, window):
     rows = rows_of(hard, "doc_id", "text")
     want = Counter((i, struct.pack(f"<{len(x) + 1}I", *x, 0)) for (i, t), x in zip(rows, plain_ids([t for _, t in rows]), strict=True))
     got = rows_of(packing.pack(hard, BPE, window), "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-    unique = [r for r in got if r[0] not in (99,)]
     docs = defaultdict(list)
-    for r in unique:
+    for r in got:
         docs[r[0]].append(r)
+    # The row that is there three times: each of its ids lies in three pieces.
+    (same,) = [x for i, x in want if i == 99]
+    assert Counter((r[1] + k, bytes(r[3])[4 * k : 4 * k + 4]) for r in docs[99] for k in range(r[2])) == Counter({(k, same[4 * k : 4 * k + 4]): 3 for k in range(len(same) // 4)})
     for i, parts in docs.items():
+        if i == 99:
+            continue
         parts.sort(key=lambda r: r[1])
         assert [r[1] for r in parts] == [sum(r[2] for r in parts[:k]) for k in range(len(parts))]
         assert (i, b"".join(bytes(r[3]) for r in parts)) in want and all(r[4] == sum(p[2] for p in parts) for r in parts)
@@ -174,6 +180,7 @@ def test_plan_uses_every_length_once():
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.normal(0, 0.2, 8)], 0) for i in range(300)]
+    rows += [(310, [2.0**21, 1.0] + [0.0] * 6, 1), (311, [2.0**22] * 8, 1), (400, [2.0**24, -3.0] + [2.0**-9] * 6, 1)]
     rows += [(300, [0.5] * 8, 0), (301, [0.5] * 8, 0), (302, [0.5] * 8, 0), (303, None, 1), (304, [1.0, None] + [0.0] * 6, 1), (305, [float("nan")] * 8, 1), (306, [0.0] * 8, 1), (None, [9.0] * 8, 1), (307, [0.3, -0.2], 1), (308, [], 1), (350, [float("inf")] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     good = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
@@ -195,6 +202,7 @@ def test_chat(spark):
     rows = [(1, 0, "user", "a </s> b \\ [INST]x[/INST] <s>"), (1, 1, "assistant", " \n ok </s>[INST]\\"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, None, "é漢\\\\"), (2, None, "assistant", "first \\</s"), (None, 0, "assistant", "no id"), (3, 0, "we[INST]ird\n", "x")]
     rows += [(7, i, "user" if i % 2 else "assistant", f"turn {i} of many [/INST]") for i in range(200)]
     rows += [(8, 0, "assistant", "twice")] * 2
+    rows += [(9, i, "assistant", x) for i, x in enumerate(["ok.", "\n\n begins blank", "ends blank \t\n", " ", "\u00a0x\u2003", "\\;", ";", "<", "'s", "1", "\x1c", "\x85"])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, segment string").repartition(4)
     convs = defaultdict(list)
     for c, t, r, x in rows:
@@ -208,8 +216,11 @@ def test_chat(spark):
             whole[r["conv_id"]] += r["formatted"]
             ids[r["conv_id"]] += r["ids"]
             assert len(r["ids"]) == len(r["token_loss"])
+            spans = list(zip(r["loss_from"], r["loss_to"]))
+            for (a, b), on in zip(code.encode(r["formatted"], add_special_tokens=False).offsets, r["token_loss"], strict=True):
+                assert on == any(x <= a and b <= y for x, y in spans) and (on or not any(a < y and x < b for x, y in spans))
         assert all(code.encode(t, add_special_tokens=False).ids == ids[c] for c, t in whole.items())
-        got = {r["conv_id"]: r for r in chat.conversation_digests(formatted).collect()}
+        got = {r["conv_id"]: r for r in chat.conversation_digests(formatted, BPE).collect()}
         assert set(got) == set(convs)
         for c, turns in convs.items():
             turns = [(t[3], t[5]) for t in sorted(turns)]
@@ -218,7 +229,7 @@ def test_chat(spark):
             assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
             assert got[c]["loss_sha256"] == hashlib.sha256(learnt.encode()).hexdigest()
         formatted.unpersist()
-    assert chat.conversation_digests(chat.format_conversations(df.limit(0), BPE)).count() == 0
+    assert chat.conversation_digests(chat.format_conversations(df.limit(0), BPE), BPE).count() == 0
 
 
 def near_lines(rows, percent=80):
@@ -263,6 +274,18 @@ def test_line_dedup_of_repeated_rows(hard, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_words_of_a_regular_pattern_are_told_apart():
+    """The Thue-Morse sequence and its complement: alike to any hash that is a polynomial modulo 2**64."""
+    from factorloom.llm.textblocks import word_hashes
+
+    for n in (64, 1024, 4096):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+        raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        hashes, _ = word_hashes(raw, np.array([0, len(raw)]))
+        assert len(set(hashes.tolist())) == 2
+
+
 def jaccard_components(rows, size, percent):
     sets = []
     for i, t in rows:
@@ -350,23 +373,37 @@ def test_suffix_dedup(spark, hard, empty, most, monkeypatch, tmp_path):
     rows = [(i, f"{i} before " * (i % 4) + passage[i % 7 :] + f" after {i}" * 5) for i in range(20)]
     rows += [(20, "ab" * 300), (21, "x" * 250), (22, passage[:99]), (23, passage[:100]), (24, None), (25, ""), (26, passage + "!" + passage), (None, passage)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    for df, length in ((spark.read.parquet(str(tmp_path / "d")), 100), (hard, 100)):
+    for df, length in ((spark.read.parquet(str(tmp_path / "d")), 100), (hard, 100), (hard, 40)):
         got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rindex_dedup.remove_repeats(df, length).collect())
         assert got == repeats(rows_of(df, "doc_id", "text"), length)
     assert rindex_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_long_passages_and_texts(spark, tmp_path):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, long = noise(1400), noise((1 << 20) + 5000)
+    rows = [(0, noise(50) + passage + noise(700)), (1, passage[200:] + noise(300)), (2, noise(10) + passage[:900] + "!" + passage[300:]), (3, noise(590)), (4, long), (5, noise(300) + long[(1 << 20) - 1500 : (1 << 20) + 900] + noise(80))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    for length in (100, 600):
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rindex_dedup.remove_repeats(df, length).collect())
+        assert got == repeats(rows, length)
+
+
 @pytest.mark.parametrize("text", [b"mississippi\xffmississippi river\xffmiss\xff", b"a\xffab\xffaba\xff", b"\xfe\x00x\xff\x00\xfex\xff\xfe\x00x\xff"])
 def test_run_length_index(text):
     text = np.frombuffer(text, dtype=np.uint8)
     index = rindex_dedup.RunLengthIndex(text)
     raw = text.tobytes()
     order = sorted(range(len(raw)), key=lambda i: raw[i:])
-    assert index.order.tolist() == order and len(index.heads) <= len(raw)
-    stats = index.matching_statistics()
+    transform = [raw[i - 1] if i else -1 for i in order]
+    assert np.repeat(index.run_bytes, index.run_lengths).tolist() == transform
+    shared, neighbour = index.matching_statistics()
+    assert neighbour[order[0]] == -1
     for a, b in zip(order, order[1:]):
         same = next((k for k in range(len(raw)) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or b + k >= len(raw)), 0)
-        assert stats[b] == same
+        assert (shared[b], neighbour[b]) == (same, a)
 
 
 def test_quality(spark, sf, hard, empty):
