@@ -136,18 +136,18 @@ def sortino(spark, d):
     return metrics.sortino(_backtest(spark, d)).select(rnd("sortino", 4).alias("sortino"))
 
 
-@query(f"""{BN}, a AS (SELECT covar_samp(ret, bench) / nullif(var_samp(bench), 0) AS beta, pow(exp(sum(ln(1 + ret))), 250.0 / count(*)) - 1 AS ya, pow(exp(sum(ln(1 + bench))), 250.0 / count(*)) - 1 AS yb, stddev_samp(ret - bench) * sqrt(250) AS act FROM (SELECT ret / 50 AS ret, bench / 50 AS bench FROM bb))
+@query(f"""{BN}, a AS (SELECT covar_samp(ret, bench) / nullif(var_samp(bench), 0) AS beta, pow(exp(sum(ln(1 + ret))), 12.0 / count(*)) - 1 AS ya, pow(exp(sum(ln(1 + bench))), 12.0 / count(*)) - 1 AS yb, stddev_samp(ret - bench) * sqrt(12) AS act FROM bb)
  SELECT round(beta, 6) + 0.0 AS beta, round((ya - 0.04 - beta * (yb - 0.04)), 4) + 0.0 AS alpha, round((ya - yb) / act, 4) + 0.0 AS information_ratio FROM a""")
 def alpha_beta(spark, d):
-    tame = lambda df: df.withColumn("ret", F.col("ret") / 50)  # noqa: E731  monthly moves as if of a day
-    s = metrics.alpha_beta(tame(_backtest(spark, d)), tame(_bench(spark, d)))
+    """Of monthly returns, twelve a year."""
+    s = metrics.alpha_beta(_backtest(spark, d), _bench(spark, d), sessions=12)
     return s.select(rnd("beta").alias("beta"), rnd("alpha", 4).alias("alpha"), rnd("information_ratio", 4).alias("information_ratio"))
 
 
-@query(f"{BN} SELECT round(count(*) FILTER (ret > bench + 0.001) / count(*)::DOUBLE, 6) + 0.0 AS win_rate FROM bb")
+@query(f"{BN} SELECT round(count(*) FILTER (ret > bench + 1e-12) / count(*)::DOUBLE, 6) + 0.0 AS win_rate FROM bb")
 def win_rate(spark, d):
-    ahead = _bench(spark, d).withColumn("ret", F.col("ret") + 0.001)  # no ties where the portfolio is the market
-    return metrics.win_rate(_backtest(spark, d), ahead).select(rnd("win_rate").alias("win_rate"))
+    """Ties count as not ahead: months in which the portfolio is the market."""
+    return metrics.win_rate(_backtest(spark, d), _bench(spark, d)).select(rnd("win_rate").alias("win_rate"))
 
 
 _BENCH_SQL = f"""{EQ}, b0 AS (SELECT date, close * adj_factor AS value FROM sb WHERE asset = 7 AND month(date) % 3 = 0), bs AS (SELECT coalesce(arg_max(value, date) FILTER (date < DATE '1996-01-01'), arg_min(value, date) FILTER (date >= DATE '1996-01-01')) AS base FROM b0),

@@ -13,16 +13,26 @@ def sessions(panel: DataFrame, date: str = "date") -> DataFrame:
     return days.withColumn("ordinal", F.row_number().over(Window.orderBy(date)) - 1)
 
 
+def calendar_bounds(panel: DataFrame, asset: str = "asset", date: str = "date") -> DataFrame:
+    """One row: the first and last session, how many there are, and how many instruments."""
+    return panel.agg(F.min(date).alias("first"), F.max(date).alias("last"), F.count_distinct(date).alias("sessions"), F.count_distinct(asset).alias("instruments"))
+
+
 def densify(panel: DataFrame, asset: str = "asset", date: str = "date", whole: bool = False) -> DataFrame:
     """A row for each asset and session in its own range (or, when whole, in the calendar's); missing cells are NULL.
 
-    The grid is generated from each asset's first and last session by a join with the calendar, a table of sessions, which
-    is broadcast: it has one row per day. Only (asset, date) keys meet in the join that fills it.
+    Each asset's range of ordinals is spread out to rows, which get their dates from the calendar by an equi-join; that is
+    broadcast, as it has one row per session. Only (asset, date) keys meet in the join that fills the grid.
     """
-    calendar = F.broadcast(sessions(panel, date).select(F.col(date).alias("__day")))
-    ends = panel.groupBy(asset).agg(F.min(date).alias("__from"), F.max(date).alias("__to"))
-    inside = F.lit(True) if whole else (F.col("__day") >= F.col("__from")) & (F.col("__day") <= F.col("__to"))
-    grid = ends.join(calendar, inside).select(asset, F.col("__day").alias(date))
+    calendar = F.broadcast(sessions(panel, date).select(F.col(date).alias("__day"), F.col("ordinal").alias("__ordinal")))
+    ends = panel.where(F.col(date).isNotNull()).groupBy(asset).agg(F.min(date).alias("__first"), F.max(date).alias("__last"))
+    at = lambda name: calendar.select(F.col("__day").alias(f"__{name}"), F.col("__ordinal").alias(f"__{name}_at"))
+    if whole:
+        n = F.broadcast(calendar.agg(F.max("__ordinal").alias("__last_at")))  # one row
+        ranges = ends.crossJoin(n).withColumn("__first_at", F.lit(0))
+    else:
+        ranges = ends.join(F.broadcast(at("first")), "__first").join(F.broadcast(at("last")), "__last")
+    grid = ranges.select(asset, F.explode(F.sequence("__first_at", "__last_at")).alias("__ordinal")).join(calendar, "__ordinal").select(asset, F.col("__day").alias(date))
     return grid.join(panel, [asset, date], "left")
 
 

@@ -86,13 +86,13 @@ def sortino(returns: DataFrame, rate: float = RISK_FREE) -> DataFrame:
     return returns.agg(((annual - rate) / F.nullif(down, F.lit(0.0))).alias("sortino"))
 
 
-def alpha_beta(returns: DataFrame, benchmark: DataFrame, rate: float = RISK_FREE) -> DataFrame:
-    """One row: beta, alpha, and the information ratio of returns (date, ret) against benchmark (date, ret)."""
+def alpha_beta(returns: DataFrame, benchmark: DataFrame, rate: float = RISK_FREE, sessions: float = 250.0) -> DataFrame:
+    """One row: beta, alpha, and the information ratio of returns (date, ret) against benchmark (date, ret); sessions: of a year."""
     both = returns.select("date", "ret").join(benchmark.select("date", F.col("ret").alias("bench")), "date")
     n = F.count("ret")
-    year = lambda c: F.pow(F.exp(F.sum(F.log1p(c))), 250.0 / n) - 1
+    year = lambda c: F.pow(F.exp(F.sum(F.log1p(c))), sessions / n) - 1
     beta = F.covar_samp("ret", "bench") / F.nullif(F.var_samp("bench"), F.lit(0.0))
-    active = F.stddev_samp(F.col("ret") - F.col("bench")) * F.sqrt(F.lit(250.0))
+    active = F.stddev_samp(F.col("ret") - F.col("bench")) * F.sqrt(F.lit(float(sessions)))
     return both.agg(beta.alias("beta"), (year("ret") - rate - beta * (year("bench") - rate)).alias("alpha"), ((year("ret") - year("bench")) / F.nullif(active, F.lit(0.0))).alias("information_ratio"))
 
 
@@ -110,12 +110,16 @@ def excess_curve(curve: DataFrame, bench: DataFrame) -> DataFrame:
     return curve.join(bench, "date").select("date", "equity", "bench", (F.col("equity") / (1 + F.col("bench"))).alias("excess"))
 
 
+#: Returns that differ by no more than this are ties: sums of doubles in another order.
+TIE = 1e-12
+
+
 def win_rate(returns: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
-    """One row: share of sessions above the benchmark, or above 0 without one."""
+    """One row: share of sessions above the benchmark (by more than TIE), or above 0 without one."""
     if benchmark is None:
         return returns.agg((F.count_if(F.col("ret") > 0) / F.count(F.lit(1))).alias("win_rate"))
     both = returns.select("date", "ret").join(benchmark.select("date", F.col("ret").alias("bench")), "date")
-    return both.agg((F.count_if(F.col("ret") > F.col("bench")) / F.count(F.lit(1))).alias("win_rate"))
+    return both.agg((F.count_if(F.col("ret") > F.col("bench") + TIE) / F.count(F.lit(1))).alias("win_rate"))
 
 
 def report(**parts: Column) -> Column:

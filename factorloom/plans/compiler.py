@@ -140,24 +140,6 @@ def _rolling(f: Frame, row_no: Column) -> dict[str, Callable[..., Column]]:
         d = x - F.lag(x, n).over(f.series())
         return d if f.strict else F.when(row_no > n, d).otherwise(F.lit(0.0))
 
-    def values(x: Column, n: int) -> Column:
-        return F.collect_list(x).over(f.rows(n))
-
-    def rank(x: Column, n: int) -> Column:
-        v = values(x, n)
-        if f.strict:
-            return full(x, n, F.size(F.filter(v, lambda e: e < x)) / F.lit(max(1, n - 1)))
-        return F.size(F.filter(v, lambda e: e <= x)) / F.size(v)
-
-    def place(pick: Callable[[Column], Column]) -> Callable[[Column, int], Column]:
-        return lambda x, n: gate(1)(x, n, (F.array_position(values(x, n), pick(values(x, n))) - 1).cast("double"))
-
-    def mad(x: Column, n: int) -> Column:
-        m = F.avg(x).over(f.rows(n))
-        v = F.transform(F.arrays_zip(values(x, n).alias("v"), F.array_repeat(m, n).alias("m")), lambda e: F.abs(e["v"] - e["m"]))
-        v = F.slice(v, F.lit(1), F.size(values(x, n)))
-        return gate(1)(x, n, F.aggregate(v, F.lit(0.0), lambda acc, e: acc + e) / F.size(v))
-
     def weighted(x: Column, n: int) -> Column:
         lags = [x, *(F.lag(x, k).over(f.series()) for k in range(1, n))]
         if f.strict:
@@ -178,15 +160,9 @@ def _rolling(f: Frame, row_no: Column) -> dict[str, Callable[..., Column]]:
         "Var": lambda x, n: gate(2)(x, n, F.var_samp(x).over(f.rows(n))),
         "Max": lambda x, n: gate(1)(x, n, F.max(x).over(f.rows(n))),
         "Min": lambda x, n: gate(1)(x, n, F.min(x).over(f.rows(n))),
-        "Med": lambda x, n: gate(1)(x, n, F.percentile(x, 0.5).over(f.rows(n))),
-        "Quantile": lambda x, n, q: gate(1)(x, n, F.percentile(x, q).over(f.rows(n))),
-        "Mad": mad,
         "Skew": lambda x, n: gate(3)(x, n, F.coalesce(corrected_skew(x, f.rows(n)), F.lit(None))),
         "Kurt": lambda x, n: gate(4)(x, n, F.coalesce(corrected_kurtosis(x, f.rows(n)), F.lit(None))),
-        "Rank": rank,
         "Count": lambda x, n: (full if f.strict else (lambda _x, _n, v: v))(x, n, F.count_if(_true(x)).over(f.rows(n)).cast("double")),
-        "IdxMax": place(F.array_max),
-        "IdxMin": place(F.array_min),
         "EMA": lambda x, n: ema(x, n, f),
         "WMA": weighted,
         "Slope": lambda x, n: gate(2)(x, n, slope(x, n)),
@@ -195,6 +171,36 @@ def _rolling(f: Frame, row_no: Column) -> dict[str, Callable[..., Column]]:
     }
 
 
+def _listed(f: Frame) -> dict[str, Callable[..., Column]]:
+    """Calls that look at a frame's values one by one: v is the list of those that aren't missing, m their mean, x the row's own.
+
+    Lists and means are staged once for each series and window, whichever of these calls ask for them.
+    """
+
+    def gate(v: Column, n: int, value: Column) -> Column:
+        return F.when(F.size(v) == n, value) if f.strict else F.when(F.size(v) >= 1, value).otherwise(F.lit(0.0))
+
+    def quantile(x: Column, v: Column, m: Column, n: int, q: float = 0.5) -> Column:
+        ascending = F.sort_array(v)
+        at = (F.size(v) - 1) * F.lit(float(q))
+        low = F.floor(at)
+        below, above = F.get(ascending, low.cast("int")), F.get(ascending, F.ceil(at).cast("int"))
+        return gate(v, n, below + (above - below) * (at - low))
+
+    def rank(x: Column, v: Column, m: Column, n: int) -> Column:
+        if f.strict:
+            return gate(v, n, F.when(x.isNotNull(), F.size(F.filter(v, lambda e: e < x)) / F.lit(max(1, n - 1))))
+        return F.size(F.filter(v, lambda e: e <= x)) / F.nullif(F.size(v), F.lit(0))
+
+    def place(pick: Callable[[Column], Column]) -> Callable[..., Column]:
+        return lambda x, v, m, n: gate(v, n, (F.array_position(v, pick(v)) - 1).cast("double"))
+
+    def mad(x: Column, v: Column, m: Column, n: int) -> Column:
+        return gate(v, n, F.aggregate(v, F.lit(0.0), lambda acc, e: acc + F.abs(e - m)) / F.size(v))
+
+    return {"Med": quantile, "Quantile": quantile, "Mad": mad, "Rank": rank, "IdxMax": place(F.array_max), "IdxMin": place(F.array_min)}
+
+
 def _pairwise(f: Frame) -> dict[str, Callable[..., Column]]:
     def both(x: Column, y: Column, n: int) -> tuple[Column, Column, Column]:
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
@@ -251,9 +257,24 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
             order[n] = None
     out = panel.withColumn("__row", F.row_number().over(frame.series()))
     plain, rolling, pairs, across = _elementwise(frame), _rolling(frame, F.col("__row")), _pairwise(frame), _cross_sectional(frame)
+    listed = _listed(frame)
     column: dict[Node, Column] = {}
     depth: dict[Node, int] = {}
     staged: list[dict[str, Column]] = []
+    lists: dict[tuple[Node, int], tuple[Column, Column, int]] = {}
+
+    def put(level: int, made: Column) -> Column:
+        while len(staged) <= level:
+            staged.append({})
+        name = f"__{level}_{len(staged[level])}"
+        staged[level][name] = made
+        return F.col(name)
+
+    def frame_list(x: Node, n: int, level: int) -> tuple[Column, Column, int]:
+        """The list of a series' frame and its mean, and the level from which they can be read."""
+        if (x, n) not in lists:
+            lists[x, n] = put(level, F.collect_list(column[x]).over(frame.rows(n))), put(level, F.avg(column[x]).over(frame.rows(n))), level + 1
+        return lists[x, n]
 
     def number(n: Node, what: str) -> float:
         if n.op != "const":
@@ -273,7 +294,7 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
         if n.op in plain:
             column[n], depth[n] = plain[n.op](*(column[a] for a in n.args)), level
             continue
-        if n.op in pairs or n.op in rolling:
+        if n.op in pairs or n.op in rolling or n.op in listed:
             series = 2 if n.op in pairs else 1
             params = [number(a, n.op) for a in n.args[series:]]
             if not params and frame.strict:
@@ -281,16 +302,16 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
             params = params or _DEFAULTS.get(n.op, [20])
             if len(params) == 1 and n.op == "Quantile":
                 params.append(0.5)
-            made = (pairs.get(n.op) or rolling[n.op])(*(column[a] for a in n.args[:series]), int(params[0]), *params[1:])
+            if n.op in listed:
+                values, mean, level = frame_list(n.args[0], int(params[0]), level)
+                made = listed[n.op](column[n.args[0]], values, mean, int(params[0]), *params[1:])
+            else:
+                made = (pairs.get(n.op) or rolling[n.op])(*(column[a] for a in n.args[:series]), int(params[0]), *params[1:])
         elif n.op in across:
             made = across[n.op](column[n.args[0]])
         else:
             raise ExpressionError(f"unknown operator {n.op}")
-        while len(staged) <= level:
-            staged.append({})
-        name = f"__{level}_{len(staged[level])}"
-        staged[level][name] = made
-        column[n], depth[n] = F.col(name), level + 1
+        column[n], depth[n] = put(level, made), level + 1
     for stage in staged:
         out = out.withColumns(stage)
     kept = panel.columns if keep is None else keep

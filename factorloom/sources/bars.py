@@ -108,6 +108,12 @@ def load_bars(daily: DataFrame, adj: DataFrame | None = None, basic: DataFrame |
     return finalize_bars(out.withColumnRenamed("trade_date", "date").withColumnRenamed("vol", "volume"))
 
 
+def load_fund_bars(daily: DataFrame, adj: DataFrame, nav: DataFrame, codes: Sequence[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Daily rows of funds left-joined with adjustment factors, and with net asset values (ts_code, nav_date, unit_nav)."""
+    values = nav.select("ts_code", F.col("nav_date").alias("date"), "unit_nav")
+    return load_bars(daily, adj, None, codes, start, end).join(values, ["ts_code", "date"], "left")
+
+
 def routed_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Bars of several asset classes in one table, the class in `kind`; columns that a part lacks are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("kind", F.lit(kind)) for kind, df in parts])

@@ -8,7 +8,6 @@ The transport is a plain function, so tests and offline runs pass their own.
 from __future__ import annotations
 
 import json
-import re
 import threading
 import time
 import urllib.request
@@ -64,8 +63,8 @@ def post(url: str, body: dict, tries: int = 5, wait: float = 1.0, send: Callable
 
 
 class Span(InputPartition):
-    def __init__(self, start: date, end: date):
-        self.start, self.end = start, end
+    def __init__(self, start: date, end: date, calls: int = 200):
+        self.start, self.end, self.calls = start, end, calls
 
 
 def spans(start: date, end: date, days: int) -> list[Span]:
@@ -105,12 +104,17 @@ class ApiTableReader(DataSourceReader):
         self.schema, self.options = schema, dict(options)
 
     def partitions(self) -> list[Span]:
+        """Date windows, each with its share of the calls a minute: of as many as run at once (`tasks`; all, where not given)."""
         o = self.options
-        return spans(date.fromisoformat(o["start"]), date.fromisoformat(o["end"]), int(o.get("days", "30")))
+        out = spans(date.fromisoformat(o["start"]), date.fromisoformat(o["end"]), int(o.get("days", "30")))
+        at_once = max(1, min(len(out), int(o.get("tasks", str(len(out))))))
+        for span in out:
+            span.calls = max(1, int(o.get("calls_per_minute", "200")) // at_once)
+        return out
 
     def read(self, partition: Span) -> Iterator[tuple]:
         o, names = self.options, self.schema.fieldNames()
-        limiter = RateLimiter(int(o.get("calls_per_minute", "200")))
+        limiter = RateLimiter(partition.calls)
 
         def call(start: date, end: date, offset: int = 0) -> list[tuple]:
             limiter.acquire()
@@ -133,8 +137,3 @@ class ApiTableSource(DataSource):
 
     def reader(self, schema: StructType) -> ApiTableReader:
         return ApiTableReader(schema, self.options)
-
-
-def referenced_codes(source: str) -> list[str]:
-    """Security codes that a strategy's text names, in order, each once."""
-    return list(dict.fromkeys(re.findall(r"\b\d{6}\.(?:XSHG|XSHE|SH|SZ|BJ)\b", source)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,28 +37,27 @@ def merge(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
 def upsert(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], partition: str | None = None) -> None:
     """Merges into a parquet table; a repeated run changes nothing.
 
-    With a partition column only the partitions that new touches are rewritten (dynamic overwrite), else all. The
-    result is written beside the table first, as a table can't be overwritten while it is read.
+    With a partition column only the partitions that new touches are rewritten (dynamic overwrite), else all. Of rows of
+    new with equal keys one stays (use keep_last() to say which). As a table can't be overwritten while it is read, the
+    result is written beside it first, under a name of its own, and goes once the table is there: a run that breaks off in
+    between leaves it, whole.
     """
-    exists = True
-    try:
+    new = new.dropDuplicates(list(key))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = new
+    if files.exists(folder) and files.globStatus(folder.suffix("/*")):
         old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        exists = False
-    if not exists:
-        out = new
-    else:
         if partition:
             old = old.join(new.select(partition).distinct(), partition, "left_semi")
         out = merge(old, new, key)
-    tmp = f"{path.rstrip('/')}__next"
-    out.write.mode("overwrite").parquet(tmp)
-    writer = spark.read.parquet(tmp).write.mode("overwrite")
+    beside = f"{path.rstrip('/')}__next-{uuid.uuid4().hex}"
+    out.write.parquet(beside)
+    writer = spark.read.parquet(beside).write.mode("overwrite")
     if partition:
         writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
+    files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside), True)
 
 
 def high_water_marks(df: DataFrame, key: str, date: str, default: str) -> DataFrame:

@@ -41,4 +41,5 @@ def test_query(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, sf, name):
-    assert QUERIES[name](spark, sf).schema.fieldNames()
+    """Those without SQL give rows; test_values.py and test_engine_operators.py have their values."""
+    assert QUERIES[name](spark, sf).count()

@@ -33,7 +33,6 @@ def test_classes_and_lots(spark):
     assert [r[0] for r in got] == [200, -250, 0]
     assert spark.range(1).select(S.normalize_codes(F.array(F.lit(" 600000.xshg"), F.lit(""), F.lit("600000.SH")))).first()[0] == ["600000.SH"]
     assert spark.range(1).select(S.percent_text(F.lit(0.1234)), S.percent_text(F.lit(float("nan")))).first()[:] == ("12.34%", "--")
-    assert http_api.referenced_codes("x = '000001.XSHE'; y = ['600000.SH', '000001.XSHE']") == ["000001.XSHE", "600000.SH"]
 
 
 def test_finalize_bars(spark):

@@ -20,8 +20,8 @@ def test_invalid_expressions(text):
 
 
 def test_unknown_names():
-    assert "未知字段" in validate_expression("Mean($bogus, 5)").error
-    assert "未知算子" in validate_expression("Frobnicate($close, 5)").error
+    assert "unknown fields" in validate_expression("Mean($bogus, 5)").error
+    assert "unknown calls" in validate_expression("Frobnicate($close, 5)").error
     assert len(OPERATORS) == 48 and len(FIELDS) == 14
 
 
