@@ -14,6 +14,7 @@ from factorloom.sources.bars import load_bars, load_fund_bars, table
 from factorloom.sources.upsert import clean_rows, open_sessions
 
 from .portfolio import _ML, _dataset
+from .dsl import _OFF
 from .registry import SB, SD, dense_sql, query, rnd, sbars, sd
 
 _KEY = ("CAST(l_suppkey AS STRING) AS ts_code", "CAST(l_shipdate AS DATE) AS trade_date")
@@ -22,7 +23,14 @@ _DAILY = f"""WITH daily AS (SELECT {_SQL_KEY}, avg(l_extendedprice / l_quantity)
  sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount FROM lineitem GROUP BY 1, 2),
  adj AS (SELECT {_SQL_KEY}, 1 + avg(l_tax) AS adj_factor FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
  basic AS (SELECT {_SQL_KEY}, avg(l_discount) * 100 AS turnover_rate FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)"""
-_PRICES = ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("open", "high", "low", "close"))
+
+
+def _off(value: str, digits: int = 5) -> str:
+    """Rounded away from exact halves, as in dsl."""
+    return f"round(({value}) * {_OFF}::DOUBLE, {digits}) + 0.0"
+
+
+_PRICES = ", ".join(f"{_off(c)} AS {c}" for c in ("open", "high", "low", "close"))
 
 
 def _daily(spark, d) -> DataFrame:
@@ -41,11 +49,11 @@ def _basic(spark, d) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("ts_code", "date", *[rnd(c, 5).alias(c) for c in ("open", "high", "low", "close")], *[rnd(c, 4).alias(c) for c in ("volume", "vwap", "adj_factor", "turnover_rate", "split_ratio", *more)])
+    return df.select("ts_code", "date", *[rnd(F.col(c) * _OFF, 5).alias(c) for c in ("open", "high", "low", "close", "volume", "vwap", "adj_factor", "turnover_rate", "split_ratio", *more)])
 
 
-@query(f"""{_DAILY} SELECT ts_code, trade_date AS date, {_PRICES}, round(volume, 4) + 0.0 AS volume, round(CASE WHEN volume <> 0 THEN amount * 10 / volume ELSE 0 END, 4) + 0.0 AS vwap,
- round(coalesce(adj_factor, 1), 4) + 0.0 AS adj_factor, round(coalesce(turnover_rate, 0), 4) + 0.0 AS turnover_rate, 1.0::DOUBLE AS split_ratio
+@query(f"""{_DAILY} SELECT ts_code, trade_date AS date, {_PRICES}, {_off('volume')} AS volume, {_off('CASE WHEN volume <> 0 THEN amount * 10 / volume ELSE 0 END')} AS vwap,
+ {_off('coalesce(adj_factor, 1)')} AS adj_factor, {_off('coalesce(turnover_rate, 0)')} AS turnover_rate, {_off('1')} AS split_ratio
  FROM daily LEFT JOIN adj USING (ts_code, trade_date) LEFT JOIN basic USING (ts_code, trade_date) WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'""")
 def stock_bars_joined(spark, d):
     """Daily bars with adjustment factors and turnover from two left joins, in canonical columns."""
@@ -53,8 +61,8 @@ def stock_bars_joined(spark, d):
 
 
 @query(f"""{_DAILY}, nav AS (SELECT ps_code AS ts_code, day AS trade_date, nav FROM (SELECT l_suppkey::VARCHAR AS ps_code, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) / 1000 AS nav FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2))
- SELECT ts_code, trade_date AS date, {_PRICES}, round(volume, 4) + 0.0 AS volume, round(CASE WHEN volume <> 0 THEN amount * 10 / volume ELSE 0 END, 4) + 0.0 AS vwap,
- round(coalesce(adj_factor, 1), 4) + 0.0 AS adj_factor, 0.0::DOUBLE AS turnover_rate, 1.0::DOUBLE AS split_ratio, round(nav, 4) + 0.0 AS unit_nav
+ SELECT ts_code, trade_date AS date, {_PRICES}, {_off('volume')} AS volume, {_off('CASE WHEN volume <> 0 THEN amount * 10 / volume ELSE 0 END')} AS vwap,
+ {_off('coalesce(adj_factor, 1)')} AS adj_factor, 0.0::DOUBLE AS turnover_rate, {_off('1')} AS split_ratio, {_off('nav')} AS unit_nav
  FROM daily LEFT JOIN adj USING (ts_code, trade_date) LEFT JOIN nav USING (ts_code, trade_date)""")
 def fund_bars_joined(spark, d):
     """Daily bars of funds with factors and net asset values, whose date has another name."""
@@ -143,14 +151,14 @@ def _mixed(spark, d) -> DataFrame:
     return sbars(spark, d).select("asset", "date", F.when(F.col("volume") > 30, F.col("turn")).alias("x")).join(industries, "asset")
 
 
-@query(f"""{_MIXED} SELECT asset, date, round(coalesce((x - avg(x) OVER w) / coalesce(nullif(stddev_samp(x) OVER w, 0), 1), 0), 6) + 0.0 AS flat_as_one,
- round((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 6) + 0.0 AS population,
- round(coalesce(CASE WHEN industry IS NOT NULL THEN x - avg(x) OVER (PARTITION BY date, industry) ELSE 0 END, 0), 6) + 0.0 AS unmapped_as_zero FROM x WINDOW w AS (PARTITION BY date)""")
+@query(f"""{_MIXED} SELECT asset, date, {_off('coalesce((x - avg(x) OVER w) / coalesce(nullif(stddev_samp(x) OVER w, 0), 1), 0)', 6)} AS flat_as_one,
+ {_off('(x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0)', 6)} AS population,
+ {_off('coalesce(CASE WHEN industry IS NOT NULL THEN x - avg(x) OVER (PARTITION BY date, industry) ELSE 0 END, 0)', 6)} AS unmapped_as_zero FROM x WINDOW w AS (PARTITION BY date)""")
 def cs_variants(spark, d):
     """Scores where a flat day counts as 1 and a missing value as 0, scores of the population, industry means with unmapped assets as 0."""
     x = F.col("x")
     scores = {"flat_as_one": cross.cs_zscore(x, flat_as_one=True, missing_as_zero=True), "population": cross.cs_zscore(x, ddof=0), "unmapped_as_zero": cross.neutralize(x, "industry", unmapped_as_zero=True)}
-    return _mixed(spark, d).select("asset", "date", *[rnd(c).alias(n) for n, c in scores.items()])
+    return _mixed(spark, d).select("asset", "date", *[rnd(c * _OFF).alias(n) for n, c in scores.items()])
 
 
 @query("SELECT o_custkey AS ts_code, o_orderpriority AS industry FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) = 1")
@@ -161,13 +169,13 @@ def latest_industry(spark, d):
 
 
 @query(f"""{_DAILY}, b AS (SELECT {_SQL_KEY}, sum(l_discount) FILTER (l_returnflag = 'A') AS bonus FROM lineitem GROUP BY 1, 2)
- SELECT ts_code, trade_date AS date, round(close, 5) + 0.0 AS close, round(1 + coalesce(bonus, 0), 6) + 0.0 AS split_ratio FROM daily JOIN b USING (ts_code, trade_date)""")
+ SELECT ts_code, trade_date AS date, {_off('close')} AS close, {_off('1 + coalesce(bonus, 0)')} AS split_ratio FROM daily JOIN b USING (ts_code, trade_date)""")
 def bonus_shares(spark, d):
     """Split ratios from bonus shares of the plans that were carried out."""
     carried = F.when(F.col("l_returnflag") == "A", "实施").otherwise("预案")
     plans = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("ts_code"), F.col("l_shipdate").cast("date").alias("ex_date"), F.col("l_discount").alias("stk_div"), carried.alias("div_proc"))
     out = adjust.stock_splits(_daily(spark, d).withColumnRenamed("trade_date", "date"), plans)
-    return out.select("ts_code", "date", rnd("close", 5).alias("close"), rnd("split_ratio").alias("split_ratio"))
+    return out.select("ts_code", "date", rnd(F.col("close") * _OFF, 5).alias("close"), rnd(F.col("split_ratio") * _OFF, 5).alias("split_ratio"))
 
 
 def _over_mean(x: str) -> str:
