@@ -10,13 +10,15 @@ from .common import stage
 
 #: White space other than blanks that ends a word inside a line.
 _SPACES = "\t\x0b\x0c\r"
-#: Words share 2**20 slots, each with four bits for how often its words occur in all documents: a table of fixed size.
-SLOT_BITS, CLASS_BITS = 20, 4
+#: Words share 2**18 slots, each with four bits for how often its words occur in all documents: a table of fixed size, which stands
+#: in the plan, so that it is kept small.
+SLOT_BITS, CLASS_BITS = 18, 4
+_LONGS = (1 << (SLOT_BITS - 4)) - 1
 #: Last pairs of each line's prefix (near copies differ in rarer words) by which the first rounds find a line's likely partner;
 #: rows from which a list of such a pair is long; how many lines of a list, at most, each of these rounds takes as partners.
 LAST_PAIRS, LONG_LIST, PIVOTS = 3, 16, (8, 64)
-#: Slots of documents that hold lines to be verified: a broadcast of fixed size. It only saves work.
-DOC_SLOTS = 1 << 18
+#: Slots of documents that hold lines to be verified, and of lines that are decided: broadcasts of fixed size. They only save work.
+DOC_SLOTS = LINE_SLOTS = 1 << 18
 _KEY = ["__row", "line_no"]
 
 
@@ -36,19 +38,19 @@ def line_words(line: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> Column:
-    """2**16 longs as a literal array: for each of 16 slots in a long a class of four bits that rises with how often its words
+    """2**14 longs as a literal array: for each of 16 slots in a long a class of four bits that rises with how often its words
     occur in all documents, beginning at a sixteenth of a slot's mean. Classes stand with their top bit flipped, as tokens
     sort as signed numbers."""
     words = docs.select(F.explode(F.split(_blanks(F.coalesce("text", F.lit("")), "\n"), " ")).alias("w"))
     h = F.xxhash64("w")
-    slot = F.shiftleft(h.bitwiseAND(F.lit(0xFFFF)).cast("int"), 4).bitwiseOR(F.shiftright(h, 18).bitwiseAND(F.lit(15)).cast("int"))
+    slot = F.shiftleft(h.bitwiseAND(F.lit(_LONGS)).cast("int"), 4).bitwiseOR(F.shiftright(h, 18).bitwiseAND(F.lit(15)).cast("int"))
     counts = stage(words.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")), "line-rarity")
     total = counts.agg(F.sum("n")).first()[0] or 1
     level = F.floor(F.log2(F.col("n") * F.lit(float(1 << SLOT_BITS) / total))) + 4
     level = F.greatest(F.lit(0), F.least(F.lit((1 << CLASS_BITS) - 1), level)).cast("long").bitwiseXOR(F.lit(8))
     packed = counts.groupBy(F.shiftright("slot", 4).alias("at")).agg(F.bit_or(_shift_left(level, F.col("slot").bitwiseAND(F.lit(15)) * CLASS_BITS)).alias("levels"))
-    table = [0] * (1 << (SLOT_BITS - 4))
-    for at, levels in packed.collect():  # at most 2**16 pairs
+    table = [0] * (_LONGS + 1)
+    for at, levels in packed.collect():  # at most 2**14 pairs
         table[at] = levels
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
@@ -57,7 +59,7 @@ def line_tokens(line: Column, table: Column) -> Column:
     """A line's words as longs, which sort by rarity (the word's class), then by hash."""
 
     def token(h: Column) -> Column:
-        level = F.call_function("shiftrightunsigned", F.get(table, h.bitwiseAND(F.lit(0xFFFF)).cast("int")), F.shiftright(h, 16).bitwiseAND(F.lit(60)).cast("int"))
+        level = F.call_function("shiftrightunsigned", F.get(table, h.bitwiseAND(F.lit(_LONGS)).cast("int")), F.shiftright(h, 16).bitwiseAND(F.lit(60)).cast("int"))
         return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
 
     return F.transform(F.transform(line_words(line), lambda w: F.xxhash64(w)), token)
@@ -139,7 +141,11 @@ def open_pairs(sets: DataFrame, done: DataFrame | None, percent: int) -> DataFra
         flagged = sets.withColumn("r", F.lit(None).cast("long"))
     else:
         known = done.select(F.col("__row").alias("r"), F.col("line_no").alias("l"))
-        flagged = sets.join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left")
+        slot = lambda row, line: F.pmod(F.xxhash64(row, line), F.lit(LINE_SLOTS)).cast("int")
+        slots = F.broadcast(known.select(slot("r", "l").alias("slot")).distinct())  # at most LINE_SLOTS rows
+        # Only lines that share a slot with a decided one move to meet it.
+        some = sets.join(slots, slot("__row", "line_no") == F.col("slot"), "left_semi").join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left").drop("l")
+        flagged = sets.join(slots, slot("__row", "line_no") == F.col("slot"), "left_anti").withColumn("r", F.lit(None).cast("long")).unionByName(some)
     # Both sides of the join read one shuffle, so whether a line still asks stands in the lowest bit beside its size.
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
     rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("before"))).alias("pos", "at"))
