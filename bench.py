@@ -12,8 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from factorloom import catalog  # noqa: E402
 from factorloom.session import session  # noqa: E402
 
-#: Panel load, expression evaluation, evaluation, composition, backtest, replay, learning.
-HEADLINE = ("bars_daily", "densify_panel", "forward_adjust", "dsl_nested_atoms", "dsl_all_atoms", "ic_summary", "factor_grade", "quantile_turnover", "composite_score", "vector_backtest_equal", "summary_252", "trade_ledger", "replay_equity", "asof_last_value", "interval_membership", "ridge_scores")
+#: Panel load, expression evaluation, evaluation, composition, backtest, learning.
+HEADLINE = ("bars_daily", "densify_panel", "forward_adjust", "dsl_nested_atoms", "dsl_all_atoms", "ic_summary", "factor_grade", "quantile_turnover", "composite_score", "vector_backtest_equal", "summary_252", "trade_ledger", "asof_last_value", "interval_membership_all", "learning_rows", "ridge_scores")
 
 
 def main() -> None:
