@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, rindex_dedup, topk
+from . import binary_output, chat, disclosure, exact_dedup, filter_audit, line_dedup, mixing, ngram_join, packing, quality, rindex_dedup, topk
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_token_output, op3_pack_sequences, op4_exact_top_k, op5_exact_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_quality)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.span_digests(disclosure.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_token_output, op3_pack_sequences, op4_exact_top_k, op5_exact_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_quality, op11_filter_audit, op12_personal_data)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": """
@@ -93,5 +101,6 @@ ORACLES: dict[str, str] = {
                (t.doc_id IS NOT DISTINCT FROM g.keep_id AND row_number() OVER (PARTITION BY t.norm, t.doc_id) = 1) AS kept,
                sha256(t.norm) AS text_sha256
         FROM t JOIN g ON t.norm = g.norm""",
+    "op11_filter_audit": filter_audit.ORACLE,
 }
 
