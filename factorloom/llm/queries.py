@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, disclosure, exact_dedup, filter_audit, line_dedup, mixing, ngram_join, packing, quality, rindex_dedup, topk
+from . import binary_output, chat, disclosure, exact_dedup, filter_audit, line_dedup, mixing, ngram_join, packing, quality, rindex_dedup, token_alignment, topk
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,12 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.span_digests(disclosure.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_token_output, op3_pack_sequences, op4_exact_top_k, op5_exact_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_quality, op11_filter_audit, op12_personal_data)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_alignment.align_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.path("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_token_output, op3_pack_sequences, op4_exact_top_k, op5_exact_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_quality, op11_filter_audit, op12_personal_data, op13_token_alignment)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": """
