@@ -25,6 +25,24 @@ def test_unknown_names():
     assert len(OPERATORS) == 48 and len(FIELDS) == 14
 
 
+@pytest.mark.parametrize("text", ["Mean($close 5)", "$close, $open", "Mean($close, )", "Mean($close, 5) 3", "Mask($close, $open)", "Mean($close)", "Mean($close, $open)", "Mean($close, 2.5)", "Mean($close, 0)", "Quantile($close, 5, 2)", "If($close, 1)", "Mean(close, 5)", "", "Corr($close, 5)"])
+def test_what_validates_parses_and_compiles(panel, text):
+    assert not validate_expression(text).ok
+    if text not in ("Mask($close, $open)", "Mean($close, 2.5)", "Mean($close, 0)", "Quantile($close, 5, 2)"):  # the compiler has no opinion on these
+        with pytest.raises((ExpressionError, TypeError, IndexError)):
+            compile_factors(panel, {"v": text.replace("$open", "$volume")})
+
+
+@pytest.mark.parametrize("text", ["Sqrt($close)", "Median($close, 3)", "-$close % 2", "!($close > 1) || $volume == 2", "Quantile($close, 3, 0.25)", "Ref($close, 0)", "CSRank(Corr($close, $volume, 4))", "If($close > 2, $close, 1e3)"])
+def test_what_compiles_validates(panel, text):
+    assert validate_expression(text).ok
+    compile_factors(panel, {"v": text})
+
+
+def test_lenient_windows_may_be_left_out():
+    assert validate_expression("Mean($close)", strict=False).ok and not validate_expression("Mean($close)").ok
+
+
 def test_precedence_and_signs():
     assert str(parse("1 + 2 * 3")) == "Add(1, Mul(2, 3))"
     assert str(parse("-2 * $close")) == "Mul(-2, $close)"
