@@ -67,11 +67,12 @@ def repeated_rows(facts: DataFrame, numbered: DataFrame) -> DataFrame:
 
     spark, found = facts.sparkSession, []
     texts = numbered.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    open_rows = stage(alive.select("row", "doc_id", *keys).join(texts, "row"), "audit-texts", "zstd")
+    # Merged at any size: what is left grows with the input, so its broadcast would end somewhere.
+    open_rows = stage(alive.select("row", "doc_id", *keys).join(texts.hint("merge"), "row"), "audit-texts", "zstd")
     while not open_rows.isEmpty():
         first = open_rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "row")).alias("f")).select("f.row", F.col("f.doc_id").alias("first_id"))
         first = open_rows.join(first, "row").select(*keys, "first_id", F.col("text").alias("first_text"))
-        told = open_rows.join(first, keys).select("row", "doc_id", "first_id", (F.col("text") == F.col("first_text")).alias("same"))
+        told = open_rows.join(first.hint("merge"), keys).select("row", "doc_id", "first_id", (F.col("text") == F.col("first_text")).alias("same"))
         told = stage(told, "audit-told")
         found.append(told.where("same AND doc_id > first_id").select("row"))
         if told.where("NOT same").isEmpty():
