@@ -18,6 +18,11 @@ def calendar_bounds(panel: DataFrame, asset: str = "asset", date: str = "date")
     return panel.agg(F.min(date).alias("first"), F.max(date).alias("last"), F.count_distinct(date).alias("sessions"), F.count_distinct(asset).alias("instruments"))
 
 
+def instruments(panel: DataFrame, asset: str = "asset", date: str = "date") -> DataFrame:
+    """(asset, first, last): each instrument with the range of its sessions."""
+    return panel.where(F.col(date).isNotNull()).groupBy(asset).agg(F.min(date).alias("first"), F.max(date).alias("last"))
+
+
 def densify(panel: DataFrame, asset: str = "asset", date: str = "date", whole: bool = False) -> DataFrame:
     """A row for each asset and session in its own range (or, when whole, in the calendar's); missing cells are NULL.
 
