@@ -18,6 +18,8 @@ SLOTS, DIM, NONZERO = 1 << 15, 32, 4
 #: Labelled rows that the network is fitted on, at most.
 MOST_LABELLED = 20_000
 _GROUP = 512
+#: Parts that the tasks' tables are added up in first.
+SALTS = 64
 
 
 def index_vectors(slots: int = SLOTS, dim: int = DIM, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,8 @@ def add_contexts(total: np.ndarray, raw: np.ndarray, offsets: np.ndarray, places
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Context vectors of all slots over the whole corpus, as unit vectors: a table of fixed size.
 
-    Each task sums its texts into one table; tables are summed by groups of slots, and only the last one comes here.
+    Each task sums its texts into one table; tables are summed by groups of slots, in two levels, and only the last one
+    comes here.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([p.tobytes() for p in sums.values()], pa.binary())], names=["slots", "sums"])
 
     schema = "slots int, sums binary"
-    rows = docs.select("text").mapInArrow(gather, schema).repartition("slots").mapInArrow(add_up, schema).collect()  # SLOTS x DIM numbers in all
+    # First the tables of every SALTS-th task meet, group by group, then theirs: no task is sent those of all.
+    salted = docs.select("text").mapInArrow(gather, schema).repartition("slots", F.spark_partition_id() % SALTS).mapInArrow(add_up, schema)
+    rows = salted.repartition("slots").mapInArrow(add_up, schema).collect()  # SLOTS x DIM numbers in all
     total = np.zeros((SLOTS // _GROUP, _GROUP * DIM))
     for g, raw in rows:
         total[g] = np.frombuffer(raw, dtype="<i8")
@@ -216,6 +221,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     shared = spark.sparkContext.broadcast(vectors)  # SLOTS x DIM numbers
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         dense = dense_index()
         for batch in batches:
             for a, b, raw, offsets in blocks(batch.column(0)):
@@ -236,6 +242,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     text_at = [f.name for f in kept].index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         dense = dense_index()
         for batch in batches:
             for a, b, raw, offsets in blocks(batch.column(text_at)):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import os
 import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are cut where pre-tokens always end, and pieces that many texts share are encoded once: before ASCII white space
 #: that follows anything but white space, and after a run of letters that no further letter can follow.
@@ -15,7 +18,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _RUN = re.compile(rf"[ \t-\r]*(?:[{_LETTERS}]++(?![^\x00-\x7f])|[^ \t-\r{_LETTERS}][^ \t-\r]*|[^ \t-\r]+)|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 #: Runs that a worker remembers, by count and by length; further ones are encoded each time.
-CACHE_RUNS, CACHE_CHARS = 500_000, 40
+CACHE_RUNS, CACHE_CHARS = 200_000, 40
 
 _encoders: dict[str, Encoder] = {}
 
@@ -58,8 +61,14 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Gives a worker's encoders back, before it turns to another memory-hungry operator."""
-    _encoders.clear()
+    """Gives a worker's encoders back, and its free memory to the machine, before it turns to another memory-hungry operator."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def slices(texts: Sequence[str | None], most_chars: int = 1_000_000, most: int = 300):
