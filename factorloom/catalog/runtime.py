@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from factorloom.operators import runtime
 from factorloom.operators.calendar import instruments, sessions
 from factorloom.plans.compiler import Frame
+from factorloom.sources.bars import table
+from factorloom.sources.upsert import keep_last
+from factorloom.streaming import stateful
 
 from .registry import SB, SD, dense_sql, query, rnd, sbars
 
@@ -32,3 +35,12 @@ def runtime_scores(spark, d):
 @query(f"WITH {SB} SELECT asset, min(date) AS first, max(date) AS last FROM sb GROUP BY 1")
 def instrument_ranges(spark, d):
     return instruments(sbars(spark, d))
+
+
+@query("""WITH b AS (SELECT user_id AS asset, CAST(ts AS DATE) AS date, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(value) AS volume, sum(value) AS amount FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)
+ SELECT asset, date, open, high, low, close, volume, round(amount, 4) + 0.0 AS amount FROM b""")
+def stateful_bars(spark, d):
+    """The processor that corrects bars of streams, over a whole table: each bar's last revision."""
+    ticks = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = keep_last(stateful.corrected_bars(ticks), ["asset", "date"], ["revision"])
+    return last.select("asset", "date", "open", "high", "low", "close", "volume", rnd("amount", 4).alias("amount"))

@@ -37,6 +37,9 @@ class CorrectedBars(StatefulProcessor):
     as known when the bar goes out.
     """
 
+    def __init__(self, ends: bool = False):
+        self.ends = ends  # whether input ends with what is given: a table, whose last days nothing follows
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.days = handle.getMapState("days", "day int", BAR_STATE)
@@ -78,7 +81,7 @@ class CorrectedBars(StatefulProcessor):
         known = self.newest.get()[0] if self.newest.exists() else None
         newest = max(touched) if known is None else max(known, *touched)
         self.newest.update((newest,))
-        over = {d for d in (touched if known is None else {*touched, known}) if d < newest and self.days.containsKey((d,))}
+        over = {d for d in (touched if known is None else {*touched, known}) if (d < newest or self.ends) and self.days.containsKey((d,))}
         due = [d for d in sorted(over) if d in touched or self.days.getValue((d,))[8] < 0]
         yield self._frame([self._put_out(key, d) for d in due])
 
@@ -98,10 +101,12 @@ def corrected_bars(ticks: DataFrame, late: str = "4 days", asset: str = "user_id
     """The stream of bars and their corrections: of an (asset, date), the row of the highest revision is the one that counts.
 
     Ticks are taken until the watermark, `late` behind the newest tick of all, has passed them; those without time or
-    value are passed over.
+    value are passed over. Of a table, all days are put out.
     """
+    if not ticks.isStreaming:
+        ticks.sparkSession.streams.active  # noqa: B018  starts what keeps track of state stores, which a stream would have done
     rows = ticks.select(F.col(asset).cast("long").alias("asset"), "ts", F.col("value").cast("double").alias("value")).where("ts IS NOT NULL AND value IS NOT NULL")
-    return rows.withWatermark("ts", late).groupBy("asset").transformWithStateInPandas(CorrectedBars(), BAR_ROWS, "append", "eventTime")
+    return rows.withWatermark("ts", late).groupBy("asset").transformWithStateInPandas(CorrectedBars(ends=not ticks.isStreaming), BAR_ROWS, "append", "eventTime")
 
 
 MEAN_ROWS = "asset long, event_id long, ts timestamp, value double, mean double, n long"
