@@ -22,6 +22,8 @@ GRAM = 32
 PIECE = 1 << 20
 #: Bytes of contexts in one index, about; contexts of one anchor that are more than these go another exact way.
 INDEX_BYTES, MOST_CONTEXTS = 1 << 20, 20_000
+#: Texts and contexts that a task remembers, so that it settles by itself what comes again.
+MOST_SEEN = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -39,8 +41,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     """The windows of `length` bytes of each text, gathered by the k-gram of least hash in each (the leftmost of equals).
 
     Returns for each gathering: the text, the start of its first window in the text, how many windows follow that, the
-    k-gram's hash, and a hash of the bytes under the windows. Equal windows have equal k-grams at equal places.
+    k-gram's hash, and a digest of 128 bits of the bytes under the windows, in halves. Equal windows have equal k-grams at
+    equal places; k-grams whose hashes meet cost time only.
     """
+    import xxhash
+
     out: list[tuple[np.ndarray, ...]] = []
     n = len(raw)
     reach = length - GRAM + 1  # k-grams in a window
@@ -69,10 +74,12 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(good)) - 1
         lo, hi = good[first], good[last]
-        content = mix64((sums[hi + length] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-        out.append((text[first], lo + at - offsets[text[first]], hi - lo, g[chosen[first]], content))
+        view = memoryview(part.tobytes())
+        digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
+        content = np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, 2)
+        out.append((text[first], lo + at - offsets[text[first]], hi - lo, g[chosen[first]], content[:, 0], content[:, 1]))
     if not out:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -185,9 +192,9 @@ def repeated_spans(numbered: DataFrame, length: int = 100, most_contexts: int =
     numbered: row (unique), doc_id, text. Earlier: in a smaller doc_id (null first), a smaller row, or at an earlier
     start; windows are judged on the input and never cross texts.
     """
-    # Equal texts are known by 128 bits.
+    # Equal texts and equal contexts are known by 128 bits.
     cid = [F.xxhash64("text").alias("cid"), F.xxhash64(F.lit(7), "text").alias("cid2")]
-    names = ["gram", "cid", "cid2", "start", "more", "content", "settled"]
+    names = ["gram", "cid", "cid2", "start", "more", "content", "content2", "settled"]
     docs = numbered.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = stage(docs.select("row", "doc_id", *cid, F.octet_length("text").cast("long").alias("n_bytes")), "repeat-docs")
     firsts = known.where(F.col("n_bytes") >= length).groupBy("cid", "cid2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("cid", "cid2", "first.doc_id", "first.row")
@@ -196,7 +203,7 @@ def repeated_spans(numbered: DataFrame, length: int = 100, most_contexts: int =
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        contexts: set[int] = set()
+        contexts: set[tuple[int, int]] = set()
         last, ordered = None, True
         for batch in batches:
             rows, order = batch.column(3).to_numpy(), batch.column(4)
@@ -209,21 +216,24 @@ def repeated_spans(numbered: DataFrame, length: int = 100, most_contexts: int =
                 for i, c in enumerate(zip(ids[a:b].tolist(), more_ids[a:b].tolist(), strict=True)):
                     fresh[i] = c not in seen  # a text that this task has had
                     seen.add(c)
-                text, start, more, gram, content = anchors(raw, offsets, length)
-                keep = fresh[text]
-                text, start, more, gram, content = (x[keep] for x in (text, start, more, gram, content))
+                found = anchors(raw, offsets, length)
+                keep = fresh[found[0]]
+                text, start, more, gram, content, content2 = (x[keep] for x in found)
                 own = rows[a:b][text]
                 # While documents come in order, a context that this task has had stands earlier: it is settled here, under a
                 # k-gram of its own, so that a passage of very many documents is a row for each task in its list.
                 settled = np.zeros(len(gram), dtype=bool)
                 if ordered:
-                    codes = mix64(gram ^ mix64(content))
-                    fresh_context = np.zeros(len(gram), dtype=bool)
-                    fresh_context[np.unique(codes, return_index=True)[1]] = True
-                    settled = ~fresh_context | np.fromiter((c in contexts for c in codes.tolist()), dtype=bool, count=len(codes))
-                    contexts.update(codes[~settled].tolist())
+                    settled = np.ones(len(gram), dtype=bool)
+                    for i, c in enumerate(zip(content.tolist(), content2.tolist(), strict=True)):
+                        if c not in contexts:
+                            contexts.add(c)
+                            settled[i] = False
                     gram = np.where(settled, mix64(own.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)), gram)
-                columns = [gram.view(np.int64), ids[a:b][text], more_ids[a:b][text], start, more, content.view(np.int64)]
+                if len(seen) + len(contexts) > MOST_SEEN:  # what comes again is settled beyond the task then
+                    seen.clear()
+                    contexts.clear()
+                columns = [gram.view(np.int64), ids[a:b][text], more_ids[a:b][text], start, more, content.view(np.int64), content2.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(own, mask=~settled)], names=names)
 
     found = docs.select("text", *cid, "row", "doc_id").mapInArrow(gather, ", ".join(f"{c} long" for c in names))
@@ -235,7 +245,7 @@ def repeated_spans(numbered: DataFrame, length: int = 100, most_contexts: int =
     lists = lists.where("settled IS NULL")
 
     # Of equal contexts the earliest keeps its windows for now; all windows of the others start earlier too.
-    order = Window.partitionBy("gram", "content").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start")
+    order = Window.partitionBy("gram", "content", "content2").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start")
     ranked = lists.withColumn("nth", F.row_number().over(order))
     later = ranked.where("nth > 1").select("row", F.col("start").alias("from"), (F.col("start") + F.col("more") + length).alias("to"))
     lead = ranked.where("nth = 1").withColumn("contexts", F.count(F.lit(1)).over(same)).where("contexts > 1")

@@ -192,6 +192,14 @@ def test_top_k(spark):
     topk.CANDIDATES, topk.QUERIES = 64, 3
     try:
         assert set(rows_of(topk.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score")) == want
+        more = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (50, [0.25, 1.0]), (50, [0.25, 1.0])]
+        again = spark.createDataFrame(more, "vec_id long, embedding array<float>")
+        got = Counter(rows_of(topk.top_k(again, F.col("vec_id") % 50 == 0, k=3), "query_id", "rank", "vec_id", "score"))
+        twice: Counter = Counter()
+        for i, (q, v) in enumerate(more):
+            scored = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(v, w)), c) for j, (c, w) in enumerate(more) if j != i)
+            twice.update((q, k + 1, c, -s) for k, (s, c) in enumerate(scored[:3]) if q % 50 == 0)
+        assert got == twice and sum(got.values()) == 12
     finally:
         topk.CANDIDATES, topk.QUERIES = topk_small
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -391,6 +399,20 @@ def test_suffix_dedup_of_long_passages_and_texts(spark, tmp_path):
         assert got == repeats(rows, length)
 
 
+@pytest.mark.parametrize("length", [100, 1024, 2048, 4096])
+def test_suffix_dedup_of_patterned_texts(spark, tmp_path, length):
+    """The Thue-Morse sequence and its complement, which share no window as long as they are, and more of either."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    word = word[:length] if length == 100 else word
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(0, word), (1, other), (2, "x" + word), (3, other + word)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rindex_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "d")), length).collect())
+    assert got == repeats(rows, length)
+
+
 @pytest.mark.parametrize("text", [b"mississippi\xffmississippi river\xffmiss\xff", b"a\xffab\xffaba\xff", b"\xfe\x00x\xff\x00\xfex\xff\xfe\x00x\xff"])
 def test_run_length_index(text):
     text = np.frombuffer(text, dtype=np.uint8)
