@@ -26,13 +26,14 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.coalesce(whole, F.lit(False))
 
 
-def whole_numbers(rows: list[np.ndarray], other: list[np.ndarray], width: int) -> type:
-    """int64 where sums of `width` products of components of both are sure to fit it, else object: Python's exact integers."""
-    most = [max((float(np.abs(np.floor(v)).max()) for v in x if len(v)), default=0.0) for x in (rows, other)]
-    return np.int64 if max(*most, most[0] * most[1] * max(1, width)) < 2.0**62 else object
+def outliers(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Which rows have a component so large that the sum of `width` products with the like of it may not fit 64 bits."""
+    most = np.array([np.abs(np.floor(v)).max() if len(v) else 0.0 for v in rows])
+    return most * most * max(1, width) >= 2.0**62
 
 
 def as_integers(v: np.ndarray, kind: type) -> np.ndarray:
+    """Floors as int64, or as Python's exact integers."""
     v = np.floor(v)
     return v.astype(np.int64) if kind is np.int64 else np.array([int(x) for x in v.tolist()], dtype=object)
 
@@ -52,14 +53,14 @@ def scores(query_terms: list[tuple[np.ndarray, np.ndarray]], postings: dict[int,
     return out
 
 
-def best(row: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id, without the query's own id; ids ascend."""
-    pool = np.flatnonzero(ids != own) if (ids == own).any() else None
+def best(row: np.ndarray, own: int | None, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the earlier place, without the query's own."""
+    pool = np.delete(np.arange(len(row)), own) if own is not None else None
     s = row if pool is None else row[pool]
     if len(s) > k:
         least = np.partition(s, len(s) - k)[len(s) - k]
         above, at = np.flatnonzero(s > least), np.flatnonzero(s == least)
-        take = np.concatenate([above, at[: k - len(above)]])  # ids ascend, so the first of equals are the smallest
+        take = np.concatenate([above, at[: k - len(above)]])
     else:
         take = np.arange(len(s))
     return take if pool is None else pool[take]
@@ -68,7 +69,8 @@ def best(row: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """The k candidates of highest integer inner product for each query row.
 
-    vectors: vec_id, embedding (more columns are ignored). Candidates are all rows but those with the query's vec_id.
+    vectors: vec_id, embedding (more columns are ignored). Candidates are all rows but the query's own; others with
+    its vec_id are.
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Rows with a null vec_id, a null
     vector, or null or non-finite components take no part; components that one vector lacks count as 0. Sums are exact
     whatever the size of the components; a score among the best that a long can't hold is an error. Repeated rows are
@@ -76,7 +78,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     Queries and candidates are dealt into blocks, and each pair of blocks is one group: scores are accumulated term at
     a time over the block's postings, the best k selected by partition, and the winners of the blocks merged by a
-    window per query, which holds k rows for each block.
+    window per query, which holds k rows for each block. Rows with components beyond what 64 bits can add up are scored
+    apart, in exact integers, and the others of their block as ever.
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled_vector(F.col("embedding"), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"))
@@ -90,24 +93,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["query"].to_numpy()
-        q, c = pdf[asks], pdf[~asks].sort_values("vec_id", kind="stable")
+        q, c = pdf[asks], pdf[~asks].sort_values(["vec_id", "row"], kind="stable")
         out: list[tuple[int, int, int, int]] = []
         if len(q) and len(c):
-            ids = c["vec_id"].to_numpy()
+            ids, rows_of_c = c["vec_id"].to_numpy(), c["row"].to_numpy()
             width = max(map(len, c["vec"]))
             given = [np.asarray(v, dtype=np.float64) for v in c["vec"]]
             asked = [np.asarray(v, dtype=np.float64) for v in q["vec"]]
-            kind = whole_numbers(given, asked, width)
-            dense = np.zeros((len(c), width), dtype=kind)
-            for i, v in enumerate(given):
-                dense[i, : len(v)] = as_integers(v, kind)
-            postings = {t: (at := np.flatnonzero(col), col[at]) for t, col in enumerate(np.ascontiguousarray(dense.T))}
-            sparse = [(np.flatnonzero(v), v[v != 0]) for v in (as_integers(v, kind) for v in asked)]
-            for lo in range(0, len(q), AT_ONCE):
-                got = scores(sparse[lo : lo + AT_ONCE], postings, len(c), kind)
-                for i, row in enumerate(got, lo):
-                    own, query_row = int(q["vec_id"].iloc[i]), int(q["row"].iloc[i])
-                    out += [(own, query_row, int(ids[j]), int(row[j])) for j in best(row, ids, own, k)]
+            far_c, far_q = outliers(given, width), outliers(asked, width)
+            for large_c, kinds in ((False, (np.int64, object)), (True, (object, object))):
+                mine = np.flatnonzero(far_c == large_c)
+                place = {r: i for i, r in enumerate(rows_of_c[mine].tolist())}
+                for large_q, kind in zip((False, True), kinds, strict=True):
+                    turn = np.flatnonzero(far_q == large_q)
+                    if not len(mine) or not len(turn):
+                        continue
+                    dense = np.zeros((len(mine), width), dtype=kind)
+                    for i, j in enumerate(mine):
+                        dense[i, : len(given[j])] = as_integers(given[j], kind)
+                    postings = {t: (at := np.flatnonzero(col), col[at]) for t, col in enumerate(np.ascontiguousarray(dense.T))}
+                    sparse = [(np.flatnonzero(v), v[v != 0]) for v in (as_integers(asked[j], kind) for j in turn)]
+                    for lo in range(0, len(turn), AT_ONCE):
+                        got = scores(sparse[lo : lo + AT_ONCE], postings, len(mine), kind)
+                        for i, row in zip(turn[lo : lo + AT_ONCE], got, strict=True):
+                            query_id, query_row = int(q["vec_id"].iloc[i]), int(q["row"].iloc[i])
+                            out += [(query_id, query_row, int(ids[mine[j]]), int(row[j])) for j in best(row, place.get(query_row), k)]
         if any(not -(2**63) <= r[3] < 2**63 for r in out):
             raise OverflowError("a score is beyond what a long holds")
         return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"], dtype="int64")
