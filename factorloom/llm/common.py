@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -77,6 +78,9 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    # Plans, broadcasts and shuffles that nothing needs any more are held until the driver collects its garbage.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
