@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.operators import compose, evaluate
+from factorloom.operators import compose, evaluate, gp
 from factorloom.operators.calendar import densify, forward_returns, sessions
 from factorloom.operators.cross import cs_rank, cs_zscore, median_impute, neutralize, quantile_bins, top_n
 from factorloom.plans.compiler import compile_factors
@@ -197,3 +197,30 @@ def composite(spark, d):
 @query(f"{COMPOSITE} SELECT date, asset, round(score, 6) + 0.0 AS score FROM sc")
 def composite_score(spark, d):
     return composite(spark, d).withColumn("score", rnd("score"))
+
+
+_PROGRAMS = {
+    "Sub($csrank_f, $csrank_turn)": "cf - ct",
+    "Mul($neu_f, $f)": "nf * f",
+    "Div($f, Sub($turn, $neu_turn))": "CASE WHEN abs(turn - nt) > 1e-10 THEN f / (turn - nt) WHEN f IS NULL OR turn IS NULL THEN NULL ELSE 0 END",
+    "Log(Add($f, $turn))": "ln(abs(f + turn) + 1e-10)",
+}
+_CUT = "CASE WHEN ordinal >= floor(n * 0.85) THEN 'test' WHEN ordinal >= floor(n * (1 - 0.15 - 0.15)) THEN 'valid' ELSE 'train' END"
+_PCT = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY date, {x}) - 1) / 2.0::DOUBLE) / count({x}) OVER (PARTITION BY date) END"
+_NEU = "coalesce({x} - avg({x}) OVER (PARTITION BY date, asset % 4), 0)"
+
+
+@query(f"""{FR}, t AS (SELECT *, {_PCT.format(x='f')} AS cf, {_PCT.format(x='turn')} AS ct, {_NEU.format(x='f')} AS nf, {_NEU.format(x='turn')} AS nt FROM fr),
+ v AS ({' UNION ALL '.join(f"SELECT date, asset, ret, '{p}' AS program, {e} AS value FROM t" for p, e in _PROGRAMS.items())}),
+ o AS (SELECT * FROM v WHERE value IS NOT NULL AND ret IS NOT NULL),
+ r AS (SELECT *, (rank() OVER (PARTITION BY date, program ORDER BY value) + (count(*) OVER (PARTITION BY date, program, value) - 1) / 2.0::DOUBLE) AS a, (rank() OVER (PARTITION BY date, program ORDER BY ret) + (count(*) OVER (PARTITION BY date, program, ret) - 1) / 2.0::DOUBLE) AS b FROM o),
+ i AS (SELECT date, program, {_CORR.format(a='a', b='b')} AS ic FROM r GROUP BY 1, 2 HAVING count(*) >= 10),
+ c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fr)),
+ s AS (SELECT program, ic, {_CUT} AS split FROM i JOIN c USING (date))
+ SELECT program, round(avg(ic) FILTER (split = 'train'), 6) + 0.0 AS train, round(avg(ic) FILTER (split = 'valid'), 6) + 0.0 AS valid, round(avg(ic) FILTER (split = 'test'), 6) + 0.0 AS test FROM s GROUP BY 1""")
+def gp_generation(spark, d):
+    """Fitness of one generation over atoms, their ranks and their values by industry, on three parts of the calendar."""
+    panel = factor_returns(spark, d).withColumn("industry", F.col("asset") % 4)
+    panel, _ = gp.with_terminals(panel, ["f", "turn"], "industry")
+    got = gp.split_fitness(panel, list(_PROGRAMS), "ret")
+    return got.select("program", *[rnd(s).alias(s) for s in gp.SPLITS])
