@@ -368,5 +368,6 @@ def first_of_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     found = similar_components(numbered.select("doc_id", "text", "__row"), size, percent, keep=("__row",))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
     first = found.where("component_key IS NOT NULL").groupBy("component_key").agg(F.min(place).alias("first")).select(F.col("first.__row").alias("__row"))
-    kept = stage(first.unionByName(found.where("component_key IS NULL").select("__row")), "kept-rows")
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    # Fewer rows go than stay, so those that go are what texts are held against.
+    gone = stage(found.where("component_key IS NOT NULL").select("__row").join(first, "__row", "left_anti"), "gone-rows")
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
