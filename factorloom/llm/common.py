@@ -79,8 +79,10 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     # Plans, broadcasts and shuffles that nothing needs any more are held until the driver collects its garbage.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    heap = spark.sparkContext._jvm.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > heap.maxMemory() // 3:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
