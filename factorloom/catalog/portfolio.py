@@ -1,4 +1,4 @@
-"""Portfolios, performance, replay, learning."""
+"""Portfolios, performance, ledgers, learning."""
 
 from __future__ import annotations
 
@@ -150,38 +150,6 @@ def win_rate(spark, d):
     return metrics.win_rate(_backtest(spark, d), _bench(spark, d)).select(rnd("win_rate").alias("win_rate"))
 
 
-_BENCH_SQL = f"""{EQ}, b0 AS (SELECT date, close * adj_factor AS value FROM sb WHERE asset = 7 AND month(date) % 3 = 0), bs AS (SELECT coalesce(arg_max(value, date) FILTER (date < DATE '1996-01-01'), arg_min(value, date) FILTER (date >= DATE '1996-01-01')) AS base FROM b0),
- ds AS (SELECT date FROM p_cal WHERE date >= DATE '1996-01-01'), al AS (SELECT date, b0.value FROM ds FULL JOIN (SELECT * FROM b0 WHERE date >= DATE '1996-01-01') b0 USING (date)),
- bc AS (SELECT date, coalesce(last_value(value IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), base) / base - 1 AS bench FROM al, bs)"""
-
-
-def _benchmark(spark, d):
-    from factorloom.sources.bars import load_benchmark
-
-    bars = sbars(spark, d).where(F.month("date") % 3 == 0).withColumn("ts_code", F.col("asset").cast("string"))
-    days = sessions(sbars(spark, d)).where("date >= '1996-01-01'")
-    return metrics.benchmark_curve(days, load_benchmark(bars, "7", "1996-01-01", "2100-01-01"))
-
-
-@query(f"{_BENCH_SQL} SELECT date, round(bench, 6) + 0.0 AS bench FROM bc")
-def benchmark_ffill(spark, d):
-    return _benchmark(spark, d).select("date", rnd("bench").alias("bench"))
-
-
-@query(f"{_BENCH_SQL} SELECT date, round(equity, 6) + 0.0 AS equity, round(equity / (1 + bench), 6) + 0.0 AS excess FROM eq JOIN bc USING (date)")
-def excess_curve(spark, d):
-    out = metrics.excess_curve(metrics.equity_curve(_backtest(spark, d)), _benchmark(spark, d))
-    return out.select("date", rnd("equity").alias("equity"), rnd("excess").alias("excess"))
-
-
-def _benchmark_all(bars: DataFrame) -> DataFrame:
-    """The benchmark curve of asset 7 over all its bars; gaps are sessions without one."""
-    from factorloom.sources.bars import load_benchmark
-
-    days = sessions(bars).where("date >= '1996-01-01'")
-    return metrics.benchmark_curve(days, load_benchmark(bars.withColumn("ts_code", F.col("asset").cast("string")), "7", "1996-01-01", "2100-01-01"))
-
-
 @query("""WITH b AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / nullif(sum(l_quantity), 0) * (1 + avg(l_tax)) AS value FROM lineitem WHERE l_suppkey = 7 GROUP BY 1),
  ds AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01'),
  bs AS (SELECT coalesce(arg_max(value, date) FILTER (date < DATE '1996-01-01'), arg_min(value, date) FILTER (date >= DATE '1996-01-01')) AS base FROM b),
@@ -235,19 +203,6 @@ def trade_stats_roundtrip(spark, d):
     return s.select("profit_count", "loss_count", rnd("win_rate").alias("win_rate"), rnd("profit_loss_ratio").alias("profit_loss_ratio"), rnd("avg_win", 3).alias("avg_win"))
 
 
-@query()
-def replay_equity(spark, d):
-    """Three portfolios replayed order by order over daily bars, all that each column ranks highest; a stateful operator, tested against hand-made sessions."""
-    bars = ubars(spark, d).where("open > 0").select("date", "asset", "open", "close", "amount", "volume")
-    days = sessions(bars)
-    due = bars.join(F.broadcast(days), "date").where("ordinal % 5 = 0")  # a row per session
-    from factorloom.operators.cross import top_n
-
-    picks = [top_n(due, column, 8).select(F.lit(run).alias("run_id"), "date", "asset", F.lit(0.12).alias("weight")) for run, column in (("a", "close"), ("b", "amount"), ("c", "volume"))]
-    goals = picks[0].unionByName(picks[1]).unionByName(picks[2])
-    return replay.replay(bars, goals).where("event = 'equity'").select("run_id", "date", rnd("value", 2).alias("value"))
-
-
 @query(f"""WITH {UB}, l AS (SELECT asset, date, unnest([('close', close), ('amount', amount), ('volume', volume)]) AS x FROM ub)
  SELECT date, asset, max(CASE WHEN x[1] = 'close' THEN x[2] END) AS close, max(CASE WHEN x[1] = 'volume' THEN x[2] END) AS volume FROM l GROUP BY 1, 2""".replace("x[1]", "x.n").replace("x[2]", "x.v").replace("('close', close)", "{'n': 'close', 'v': close}").replace("('amount', amount)", "{'n': 'amount', 'v': amount}").replace("('volume', volume)", "{'n': 'volume', 'v': volume}"))
 def feature_matrix(spark, d):

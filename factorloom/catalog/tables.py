@@ -9,7 +9,7 @@ from factorloom.functions import scalars as S
 from factorloom.operators import adjust, asof, calendar
 from factorloom.operators.fundamentals import get_fundamentals, query as fundamentals, valuation
 from factorloom.sources import upsert
-from factorloom.sources.bars import date_chunks, parse_date, routed_union, table
+from factorloom.sources.bars import parse_date, routed_union, table
 from factorloom.streaming.bars import sessions_of, windowed_bars
 
 from .registry import SB, SD, UB, UD, query, rnd, sbars, sd, ubars, ud
@@ -49,11 +49,6 @@ def table_high_water_mark(spark, d):
     return upsert.table_start(table(spark, d, "events").select(F.col("ts").cast("date").alias("day")), "day", "1990-01-01")
 
 
-@query("SELECT CAST(s AS DATE) AS chunk_start, least(CAST(s AS DATE) + 89, DATE '2001-03-17') AS chunk_end FROM generate_series(DATE '1995-01-01', DATE '2001-03-17', INTERVAL 90 DAY) t(s)")
-def calendar_chunks(spark, d):
-    return date_chunks(spark, "1995-01-01", "2001-03-17", 90)
-
-
 @query(f"{UD} SELECT asset, date, close, (close IS NULL) AS missing FROM p")
 def densify_panel(spark, d):
     return ud(spark, d).select("asset", "date", "close", F.col("close").isNull().alias("missing"))
@@ -81,15 +76,6 @@ def split_ratio_jump(spark, d):
     return adjust.split_ratios(bars, cash).select("asset", "date", rnd("split_ratio").alias("split_ratio"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v, 'old' AS src FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, 'new' AS src FROM orders WHERE o_orderkey % 5 = 0)
- SELECT k, v, src FROM n UNION ALL SELECT k, v, src FROM o WHERE k NOT IN (SELECT k FROM n)""")
-def upsert_merge(spark, d):
-    o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit("old").alias("src"))
-    new = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") * 2).alias("v"), F.lit("new").alias("src"))
-    return upsert.merge(old, new, ["k"])
-
-
 @query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v, 'old' AS src FROM orders WHERE o_orderstatus IS DISTINCT FROM 'O'), n AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, 'new' AS src FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')
  SELECT k, v, src FROM n UNION ALL SELECT k, v, src FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = o.k)""")
 def upsert_merge_all(spark, d):
@@ -125,19 +111,6 @@ def code_convert(spark, d):
     return _codes(spark, d).select("c_custkey", t.alias("tushare"), S.to_joinquant_code(F.col("code")).alias("joinquant"), S.to_store_code(t).alias("store"))
 
 
-_SPANS = "SELECT l_suppkey AS asset, (CAST(l_shipdate AS DATE) - (l_orderkey % 40)::INTEGER) AS in_date, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + (l_orderkey % 90)::INTEGER END AS out_date, l_orderkey AS k FROM lineitem WHERE l_orderkey % 50 = 7"
-
-
-@query(f"""WITH s AS ({_SPANS}), o AS (SELECT o_orderkey, (o_custkey % 100 + 1) AS asset, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 4 = 1)
- SELECT o_orderkey, count(*) AS n, min(k) AS first_k FROM o JOIN s ON s.asset = o.asset AND s.in_date <= o.day AND (s.out_date IS NULL OR s.out_date > o.day) GROUP BY 1""")
-def interval_membership(spark, d):
-    """Point in interval, as an equi-join on (key, bucket of time)."""
-    li, day = table(spark, d, "lineitem"), F.col("l_shipdate").cast("date")
-    spans = li.where("l_orderkey % 50 = 7").select(F.col("l_suppkey").alias("asset"), F.date_sub(day, (F.col("l_orderkey") % 40).cast("int")).alias("in_date"), F.when(F.col("l_orderkey") % 11 != 0, F.date_add(day, (F.col("l_orderkey") % 90).cast("int"))).alias("out_date"), F.col("l_orderkey").alias("k"))
-    points = table(spark, d, "orders").where("o_orderkey % 4 = 1").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("asset"), F.col("o_orderdate").cast("date").alias("day"))
-    return asof.interval_join(points, spans, ["asset"], "day", "in_date", "out_date").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"))
-
-
 @query("""WITH s AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS in_date, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL ELSE CAST(l_shipdate AS DATE) + l_quantity::INTEGER END AS out_date, l_orderkey AS k FROM lineitem),
  o AS (SELECT o_orderkey, o_custkey % (SELECT max(l_suppkey) FROM lineitem) + 1 AS asset, CAST(o_orderdate AS DATE) AS day FROM orders)
  SELECT o_orderkey, count(*) AS n, min(k) AS first_k FROM o JOIN s ON s.asset = o.asset AND s.in_date <= o.day AND (s.out_date IS NULL OR s.out_date > o.day) GROUP BY 1""")

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Bin of a missing value.
 MISSING = 0
+#: Trees after which their sum becomes a column, in a checkpoint, where the session has a folder for those; until then, and where
+#: it has none, it is worked out from the rows' bins in each pass.
+FOLD = 10
 
 
 @dataclass(frozen=True)
@@ -246,26 +249,30 @@ def fit_boosted(rows: DataFrame, columns: Sequence[str], label: str, key: Sequen
     current = base_rows.select(F.xxhash64(*[F.col(f"`{c}`") for c in key]).alias("__id"), "__y", "__held", F.array(*[binned(F.col(f"`{c}`"), e) for c, e in zip(columns, edges, strict=True)]).alias("bins"), F.lit(base).alias("f")).persist()
     left = lambda f, b: F.col("bins")[f] <= F.lit(b)
     missing = lambda f: F.col("bins")[f] == F.lit(MISSING)
-    rng, trees, errors = random.Random(p.seed), [], []
+    rng, trees, errors, late = random.Random(p.seed), [], [], []
+    margin = F.col("f")
+    may_cut = rows.sparkSession.sparkContext.getCheckpointDir() is not None
     try:
         for k in range(p.rounds):
             share = F.pmod(F.xxhash64("__id", F.lit(p.seed), F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
             drawn = current.where(~F.col("__held") & (share < p.rows)) if p.rows < 1 else current.where(~F.col("__held"))
             picked = sorted(rng.sample(range(len(columns)), max(1, round(p.columns * len(columns)))))
-            tree = grow_tree(drawn.select("bins", (F.col("f") - F.col("__y")).alias("g"), F.lit(1.0).alias("h")), picked, p)
+            tree = grow_tree(drawn.select("bins", (margin - F.col("__y")).alias("g"), F.lit(1.0).alias("h")), picked, p)
             if not tree.splits:
                 break
             trees.append(tree)
-            after = current.withColumn("f", F.col("f") + tree.column(left, missing)).persist()
-            error = after.where("__held").agg(F.avg(F.pow(F.col("f") - F.col("__y"), 2))).first()[0] if p.patience and valid is not None else None
-            if error is None:
-                after.count()  # before what it is made from goes
-            current.unpersist()
-            current = after
-            if error is not None:
-                errors.append(error)
-                if len(errors) - 1 - errors.index(min(errors)) >= p.patience:
-                    break
+            late.append(tree)
+            margin = margin + tree.column(left, missing)
+            if may_cut and len(late) >= FOLD:
+                before, current = current, current.withColumn("f", margin).checkpoint()
+                before.unpersist()
+                margin, late = F.col("f"), []
+            if p.patience and valid is not None:
+                error = current.where("__held").agg(F.avg(F.pow(margin - F.col("__y"), 2))).first()[0]
+                if error is not None:
+                    errors.append(error)
+                    if len(errors) - 1 - errors.index(min(errors)) >= p.patience:
+                        break
     finally:
         current.unpersist()
     kept = trees[: errors.index(min(errors)) + 1] if errors else trees

@@ -26,19 +26,15 @@ def instruments(panel: DataFrame, asset: str = "asset", date: str = "date") -> D
 def densify(panel: DataFrame, asset: str = "asset", date: str = "date", whole: bool = False) -> DataFrame:
     """A row for each asset and session in its own range (or, when whole, in the calendar's); missing cells are NULL.
 
-    Each asset's range of ordinals is spread out to rows, which get their dates from the calendar by an equi-join; that is
-    broadcast, as it has one row per session. Only (asset, date) keys meet in the join that fills the grid.
+    One aggregate by asset gives each its days. From their union comes the calendar, one row that holds the sorted sessions
+    and is broadcast; each asset's range is a slice of it. Only (asset, date) keys meet in the join that fills the grid.
     """
-    calendar = F.broadcast(sessions(panel, date).select(F.col(date).alias("__day"), F.col("ordinal").alias("__ordinal")))
-    ends = panel.where(F.col(date).isNotNull()).groupBy(asset).agg(F.min(date).alias("__first"), F.max(date).alias("__last"))
-    at = lambda name: calendar.select(F.col("__day").alias(f"__{name}"), F.col("__ordinal").alias(f"__{name}_at"))
-    if whole:
-        n = F.broadcast(calendar.agg(F.max("__ordinal").alias("__last_at")))  # one row
-        ranges = ends.crossJoin(n).withColumn("__first_at", F.lit(0))
-    else:
-        ranges = ends.join(F.broadcast(at("first")), "__first").join(F.broadcast(at("last")), "__last")
-    grid = ranges.select(asset, F.explode(F.sequence("__first_at", "__last_at")).alias("__ordinal")).join(calendar, "__ordinal").select(asset, F.col("__day").alias(date))
-    return grid.join(panel, [asset, date], "left")
+    own = panel.where(F.col(date).isNotNull()).groupBy(asset).agg(F.collect_set(date).alias("__own"))  # at most a day per session
+    calendar = own.select(F.explode("__own").alias("__day")).distinct().agg(F.array_sort(F.collect_set("__day")).alias("__days"))
+    ranges = own.crossJoin(F.broadcast(calendar))  # one row
+    at = lambda end: F.array_position("__days", end("__own")).cast("int")
+    days = F.col("__days") if whole else F.slice("__days", at(F.array_min), at(F.array_max) - at(F.array_min) + 1)
+    return ranges.select(asset, F.explode(days).alias(date)).join(panel, [asset, date], "left")
 
 
 def nth_session(calendar: DataFrame, period: str, n: int, date: str = "date") -> DataFrame:

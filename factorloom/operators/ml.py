@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .boosting import PRESETS, BoostedModel, fit_boosted
 from .calendar import forward_returns, sessions
 from .cross import cs_zscore, median_impute
 
@@ -42,42 +44,53 @@ def _model(kind: str, seed: int):
         return LinearRegression(elasticNetParam=1.0 if kind == "lasso" else 0.0, regParam=0.001 if kind == "lasso" else 1.0, solver="auto", **to)
     if kind == "rf":
         return RandomForestRegressor(numTrees=50, maxDepth=6, seed=seed, **to)
-    if kind in ("gbdt", "xgboost", "lightgbm"):  # boosted trees of pyspark.ml stand for all three
+    if kind == "gbdt":
         return GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.1, seed=seed, validationIndicatorCol="__early", **to)
     raise ValueError(f"unknown model {kind}")
 
 
-def train(dataset: DataFrame, columns: Sequence[str], kind: str = "ridge", seed: int = 7, date: str = "date") -> PipelineModel:
-    """Fits on the training sessions; boosted trees stop early on the last 15 % of them."""
+def train(dataset: DataFrame, columns: Sequence[str], kind: str = "ridge", seed: int = 7, date: str = "date", asset: str = "asset", **changes) -> PipelineModel | BoostedModel:
+    """Fits on the training sessions; boosted trees stop early on the last 15 % of them. xgboost, lightgbm and histogram are
+    second-order boosters of this library (see boosting.PRESETS; changes go to their Params), the others models of pyspark.ml."""
     rows = dataset.where("split = 'train'")
     last = chronological_split(rows.drop("split"), valid=0.0, test=0.15, date=date)
     rows = last.withColumn("__early", F.col("split") == "test")
+    if kind in PRESETS:
+        return fit_boosted(rows, columns, "label", [date, asset], replace(PRESETS[kind], seed=seed, **changes), valid=F.col("__early"))
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), _model(kind, seed)]).fit(rows)
 
 
-def predict(model: PipelineModel, dataset: DataFrame, date: str = "date") -> DataFrame:
+def predict(model: PipelineModel | BoostedModel, dataset: DataFrame, date: str = "date") -> DataFrame:
     """dataset with prediction and score, its z-score of the session (flat sessions give 0)."""
-    out = model.transform(dataset.withColumn("__early", F.lit(False))).drop("features", "__early")
+    if isinstance(model, BoostedModel):
+        out = model.predict(dataset)
+    else:
+        out = model.transform(dataset.withColumn("__early", F.lit(False))).drop("features", "__early")
     return out.withColumn("score", cs_zscore(F.col("prediction"), date, flat_as_one=True, missing_as_zero=True))
 
 
-def importances(model: PipelineModel, columns: Sequence[str]) -> dict[str, float]:
+def importances(model: PipelineModel | BoostedModel, columns: Sequence[str]) -> dict[str, float]:
     """Of each column: tree importance, or the absolute coefficient."""
+    if isinstance(model, BoostedModel):
+        return model.importances()
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return {c: abs(float(v)) for c, v in zip(columns, values.toArray(), strict=True)}
 
 
-def save_model(model: PipelineModel, path: str, meta: dict) -> None:
+def save_model(model: PipelineModel | BoostedModel, path: str, meta: dict) -> None:
     """The model, and what it needs to be used again (columns, horizon, metrics) as JSON beside it."""
-    model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    boosted = isinstance(model, BoostedModel)
+    if not boosted:
+        model.write().overwrite().save(f"{path}/model")
+    said = json.dumps({"meta": meta, "boosted": model.to_json() if boosted else None}, sort_keys=True)
+    spark.createDataFrame([(said,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
-    spark = SparkSession.getActiveSession()
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+def load_model(path: str) -> tuple[PipelineModel | BoostedModel, dict]:
+    said = json.loads(SparkSession.getActiveSession().read.text(f"{path}/meta").first()[0])
+    return BoostedModel.from_json(said["boosted"]) if said["boosted"] else PipelineModel.load(f"{path}/model"), said["meta"]
 
 
 def expanding_zscore(panel: DataFrame, columns: Sequence[str], lookback: int, date: str = "date", asset: str = "asset") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import boosting as bo
+from factorloom.operators import ml
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +106,20 @@ def test_presets_learn_and_are_kept(data):
     assert bo.fit_boosted(df, ["a", "b", "c"], "y", ["id"], p, valid=held) == model  # reruns agree
 
 
+def test_trained_by_name(spark, data, tmp_path):
+    days = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 10).cast("int"))
+    panel = data[0].where("y IS NOT NULL").select(days.alias("date"), F.col("id").alias("asset"), "a", "b", "c", F.col("y").alias("label"))
+    split = ml.chronological_split(panel)
+    model = ml.train(split, ["a", "b", "c"], "histogram", rounds=6, rate=0.5)
+    ml.save_model(model, str(tmp_path / "m"), {"horizon": 1})
+    again, meta = ml.load_model(str(tmp_path / "m"))
+    assert again == model and meta == {"horizon": 1} and ml.importances(again, ["a", "b", "c"])["a"] > 0.3
+    test = ml.predict(again, split.where("split = 'test'"))
+    assert test.select(F.corr("prediction", "label")).first()[0] > 0.8
+    with pytest.raises(ValueError):
+        ml.train(split, ["a"], "no such model")
+
+
 def test_early_stopping_keeps_the_best(data):
     df, _ = data
     noise = df.select("id", "a", "b", "c", F.when(F.col("y").isNotNull(), (F.hash("id") % 1000) / 1000.0).alias("y"))

@@ -7,7 +7,6 @@ from collections import defaultdict
 import pytest
 
 from factorloom.catalog import QUERIES
-from factorloom.operators import replay
 
 LINES = "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp"
@@ -68,19 +67,3 @@ def test_benchmark_ffill_all(spark, tables):
     got = {r.date: r.bench for r in QUERIES["benchmark_ffill_all"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 2e-6 for t in want)
     assert any(t not in value for t in want) and {t.month % 3 for t in value} == {0, 1, 2}
-
-
-def test_replay_follows_every_pick(spark, sf, monkeypatch):
-    from factorloom.catalog.registry import ubars
-
-    given = {}
-    whole = replay.replay
-    monkeypatch.setattr(replay, "replay", lambda bars, goals: given.update(goals=goals) or whole(bars, goals))
-    QUERIES["replay_equity"](spark, sf)
-    bars = [r for r in ubars(spark, sf).collect() if r.open is not None and r.open > 0]
-    want = set()
-    for t in sorted({r.date for r in bars})[::5]:
-        for run, column in (("a", "close"), ("b", "amount"), ("c", "volume")):
-            ranked = sorted((r for r in bars if r.date == t), key=lambda r: (-getattr(r, column), r.asset))
-            want |= {(run, t, r.asset) for r in ranked[:8]}
-    assert {(r.run_id, r.date, r.asset) for r in given["goals"].collect()} == want
