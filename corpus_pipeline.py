@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_scoped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are encoded and packed into sequences of 1024 ids, a row for each piece."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0, cache_runs=200_000)  # workers keep other stages' memory, too
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -72,7 +72,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: A fitted network stands at the beginning, which SQL can't express; tests hold each stage against brute force.
+#: A fitted network stands at the beginning, which SQL can't express; tests hold the stages after it against plain Python.
 ORACLE_SQL = None
 
 

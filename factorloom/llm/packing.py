@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stage
-from .tokens import encoder, slices
+from .tokens import CACHE_RUNS, encoder, slices
 
 #: Combinations that enter the plan by least squares; with their lengths they bound the broadcast table.
 MOST_COMBINATIONS = 4096
@@ -118,7 +118,7 @@ def plan_tables(histogram: np.ndarray, window: int, first_sequence: int) -> tupl
     return slots, tail, parts, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, cache_runs: int = CACHE_RUNS) -> DataFrame:
     """Packs the ids of documents into sequences of at most `window` ids.
 
     docs: doc_id, text (more columns are ignored). A document is its ids and end_id; null texts count as empty and null
@@ -129,6 +129,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
     alone (fewer than `window`) come to the driver, where plan_windows() fills windows exactly. Ranks among rests of
     equal length, by sums over the tasks that encoded them, say which rest goes where. Rests that the plan leaves are
     laid end to end and cut at windows; the last, short window is cut into powers of two. No sequence needs padding.
+
+    cache_runs: pieces of texts whose ids a worker remembers, some 250 bytes each; fewer cost time, not results.
     """
     spark = docs.sparkSession
     if window & (window - 1):
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, code = TaskContext.get().partitionId(), encoder(tokenizer)
+        part, code = TaskContext.get().partitionId(), encoder(tokenizer, cache_runs)
         ranks, full = [0] * window, 0
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()

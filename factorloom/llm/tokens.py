@@ -18,7 +18,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _RUN = re.compile(rf"[ \t-\r]*(?:[{_LETTERS}]++(?![^\x00-\x7f])|[^ \t-\r{_LETTERS}][^ \t-\r]*|[^ \t-\r]+)|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 #: Runs that a worker remembers, by count and by length; further ones are encoded each time.
-CACHE_RUNS, CACHE_CHARS = 200_000, 40
+CACHE_RUNS, CACHE_CHARS = 500_000, 40
 
 _encoders: dict[str, Encoder] = {}
 
@@ -26,12 +26,13 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, one byte string per text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_runs: int = CACHE_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.most_runs = most_runs
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -46,17 +47,17 @@ class Encoder:
         new = list(set().union(*runs).difference(cache))
         cache.update(zip(new, self._encode(new), strict=True))
         out = [b"".join(map(cache.__getitem__, r)) for r in runs]
-        full = len(cache) > CACHE_RUNS
+        full = len(cache) > self.most_runs
         for k in new:
             if full or len(k) > CACHE_CHARS:
                 del cache[k]
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_runs: int = CACHE_RUNS) -> Encoder:
     """The worker's encoder for a tokenizer file; it outlives tasks."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most_runs)
     return _encoders[path]
 
 
