@@ -21,6 +21,12 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _aside(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs whose columns by names that a stage makes itself stand under others, and what gives docs' columns back."""
+    moved = {c: f"{c}__own" for c in docs.columns if c in made}
+    return docs.withColumnsRenamed(moved), lambda out: out.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def _scoped(stage: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(spark, "pipeline")
@@ -36,13 +42,15 @@ def _scoped(stage: Stage) -> Stage:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score_quality(docs, labels, threshold=0.3).where("predicted = 1").select(*docs.columns)
+    docs, back = _aside(docs, ("held_out", "score", "predicted"))
+    return back(quality.score_quality(docs, labels, threshold=0.3).where("predicted = 1"))
 
 
 @_scoped
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that share four fifths of their words with an earlier line go; documents stay."""
-    return _recounted(line_dedup.dedup_lines(docs, percent=80).select(*docs.columns))
+    docs, back = _aside(docs, ("n_lines", "n_removed"))
+    return _recounted(back(line_dedup.dedup_lines(docs, percent=80)))
 
 
 @_scoped
