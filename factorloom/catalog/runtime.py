@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.operators import frames, lots, runtime, sketches, universe
+from factorloom.operators import frames, lots, market_data, runtime, sketches, universe
 from factorloom.operators.calendar import instruments, sessions
 from factorloom.plans.compiler import Frame
 from factorloom.sources.bars import table
@@ -130,3 +130,13 @@ def fifo_lots(spark, d):
     trades = line.select(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), signed.alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     got = lots.fifo_matches(trades)
     return got.select("asset", "buy_id", "sell_id", "quantity", rnd((F.col("sell_price") - F.col("buy_price")) * F.col("quantity") * 0.73105857863, 4).alias("pnl"))
+
+
+@query(f"""WITH {SB}, b AS (SELECT *, coalesce(adj_factor, 1) AS a FROM sb WHERE date <= DATE '1997-06-01'), n AS (SELECT asset, arg_max(a, date) AS now FROM b GROUP BY 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS nth FROM b WHERE date < DATE '1997-06-01')
+ SELECT lpad(asset::VARCHAR, 6, '0') || '.XSHG' AS code, date, round(close * a / now * 0.73105857863, 5) + 0.0 AS close, volume FROM r JOIN n USING (asset) WHERE nth <= 6""")
+def strategy_history(spark, d):
+    """The last six bars of every supplier before a day, as a strategy gets them."""
+    bars = sbars(spark, d).withColumn("ts_code", F.concat(F.lpad(F.col("asset").cast("string"), 6, "0"), F.lit(".SH"))).drop("asset")
+    got = market_data.MarketData(bars=bars).attribute_history(None, 6, "1997-06-01", ("close", "volume"))
+    return got.select("code", "date", rnd(F.col("close") * 0.73105857863, 5).alias("close"), "volume")
