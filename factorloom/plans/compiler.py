@@ -87,14 +87,18 @@ def _elementwise(f: Frame) -> dict[str, Callable[..., Column]]:
     }
 
 
-def corrected_skew(x: Column, w: WindowSpec) -> Column:
-    n = F.count(x).over(w)
-    return F.when(n > 2, F.skewness(x).over(w) * F.sqrt(n * (n - 1)) / (n - 2))
+#: Gives the value of an aggregate over the last rows of a series, or of a function of the whole series (None).
+Over = Callable[[Column, "int | None"], Column]
 
 
-def corrected_kurtosis(x: Column, w: WindowSpec) -> Column:
-    n = F.count(x).over(w)
-    return F.when(n > 3, ((n + 1) * F.kurtosis(x).over(w) + 6) * (n - 1) / ((n - 2) * (n - 3)))
+def corrected_skew(x: Column, rows: int, over: Over) -> Column:
+    n = over(F.count(x), rows)
+    return F.when(n > 2, over(F.skewness(x), rows) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def corrected_kurtosis(x: Column, rows: int, over: Over) -> Column:
+    n = over(F.count(x), rows)
+    return F.when(n > 3, ((n + 1) * over(F.kurtosis(x), rows) + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
 def ema_terms(alpha: float) -> int:
@@ -102,68 +106,68 @@ def ema_terms(alpha: float) -> int:
     return 2 + math.ceil(math.log(1e-17) / math.log(1 - alpha)) if alpha < 1 else 1
 
 
-def ema(x: Column, n: int, f: Frame) -> Column:
+def ema(x: Column, n: int, over: Over) -> Column:
     """Exponential mean of span n from the first value on; missing rows are passed over, and have none themselves.
 
     Folded over as many rows as double precision can tell, so that a long series costs a bounded frame for each row.
     """
     alpha = 2.0 / (n + 1)
-    seen = F.collect_list(x).over(f.rows(ema_terms(alpha)))
+    seen = over(F.collect_list(x), ema_terms(alpha))
     folded = F.aggregate(F.slice(seen, 2, ema_terms(alpha)), F.get(seen, F.lit(0)), lambda acc, v: acc * (1 - alpha) + v * alpha)
     return F.when(x.isNotNull(), folded)
 
 
-def _rolling(f: Frame, row_no: Column) -> dict[str, Callable[..., Column]]:
-    """Calls over one series; x is a column, n the window."""
+def _rolling(f: Frame, row_no: Column, over: Over) -> dict[str, Callable[..., Column]]:
+    """Calls over one series; x is a column, n the window. Calls that need the same aggregate of the same frame share it."""
 
     def full(x: Column, n: int, value: Column) -> Column:
-        return F.when(F.count(x).over(f.rows(n)) == n, value)
+        return F.when(over(F.count(x), n) == n, value)
 
     def gate(least: int) -> Callable[[Column, int, Column], Column]:
         if f.strict:
             return full
-        return lambda x, n, value: F.when(F.count(x).over(f.rows(n)) >= least, value).otherwise(F.lit(0.0))
+        return lambda x, n, value: F.when(over(F.count(x), n) >= least, value).otherwise(F.lit(0.0))
 
     def total(x: Column, n: int) -> Column:
-        s = F.sum(F.coalesce(x, F.lit(0.0))).over(f.rows(n))
-        return F.when(F.count(F.lit(1)).over(f.rows(n)) == n, s) if f.strict else s
+        s = over(F.sum(F.coalesce(x, F.lit(0.0))), n)
+        return F.when(over(F.count(F.lit(1)), n) == n, s) if f.strict else s
 
     def mean(x: Column, n: int) -> Column:
-        return total(x, n) / (F.lit(float(n)) if f.strict else F.count(F.lit(1)).over(f.rows(n)))
+        return total(x, n) / (F.lit(float(n)) if f.strict else over(F.count(F.lit(1)), n))
 
     def shift(x: Column, n: int) -> Column:
         if n <= 0:
             return x
-        return F.lag(x, n).over(f.series()) if f.strict else F.lag(x, n, 0.0).over(f.series())
+        return over(F.lag(x, n) if f.strict else F.lag(x, n, 0.0), None)
 
     def delta(x: Column, n: int) -> Column:
-        d = x - F.lag(x, n).over(f.series())
+        d = x - over(F.lag(x, n), None)
         return d if f.strict else F.when(row_no > n, d).otherwise(F.lit(0.0))
 
     def weighted(x: Column, n: int) -> Column:
-        lags = [x, *(F.lag(x, k).over(f.series()) for k in range(1, n))]
+        lags = [x, *(over(F.lag(x, k), None) for k in range(1, n))]
         if f.strict:
             return sum((c * float(n - k) for k, c in enumerate(lags[1:], 1)), lags[0] * float(n)) / (n * (n + 1) / 2)
         top = sum((F.coalesce(c, F.lit(0.0)) * float(n - k) for k, c in enumerate(lags[1:], 1)), F.coalesce(x, F.lit(0.0)) * float(n))
         rows = F.least(row_no, F.lit(n))
         return top / (rows * (F.lit(2 * n + 1) - rows) / 2)  # the weights n, n-1, ... of the rows there are
 
-    fit = lambda name: lambda x, n: getattr(F, name)(x, row_no).over(f.rows(n))
+    fit = lambda name: lambda x, n: over(getattr(F, name)(x, row_no), n)
     slope, intercept, r2 = fit("regr_slope"), fit("regr_intercept"), fit("regr_r2")
-    flat = lambda x, n: F.var_pop(x).over(f.rows(n)) == 0
+    flat = lambda x, n: over(F.var_pop(x), n) == 0
     return {
         "Ref": shift,
         "Delta": delta,
         "Mean": mean,
         "Sum": total,
-        "Std": lambda x, n: gate(2)(x, n, F.stddev_samp(x).over(f.rows(n))),
-        "Var": lambda x, n: gate(2)(x, n, F.var_samp(x).over(f.rows(n))),
-        "Max": lambda x, n: gate(1)(x, n, F.max(x).over(f.rows(n))),
-        "Min": lambda x, n: gate(1)(x, n, F.min(x).over(f.rows(n))),
-        "Skew": lambda x, n: gate(3)(x, n, F.coalesce(corrected_skew(x, f.rows(n)), F.lit(None))),
-        "Kurt": lambda x, n: gate(4)(x, n, F.coalesce(corrected_kurtosis(x, f.rows(n)), F.lit(None))),
-        "Count": lambda x, n: (full if f.strict else (lambda _x, _n, v: v))(x, n, F.count_if(_true(x)).over(f.rows(n)).cast("double")),
-        "EMA": lambda x, n: ema(x, n, f),
+        "Std": lambda x, n: gate(2)(x, n, over(F.stddev_samp(x), n)),
+        "Var": lambda x, n: gate(2)(x, n, over(F.var_samp(x), n)),
+        "Max": lambda x, n: gate(1)(x, n, over(F.max(x), n)),
+        "Min": lambda x, n: gate(1)(x, n, over(F.min(x), n)),
+        "Skew": lambda x, n: gate(3)(x, n, F.coalesce(corrected_skew(x, n, over), F.lit(None))),
+        "Kurt": lambda x, n: gate(4)(x, n, F.coalesce(corrected_kurtosis(x, n, over), F.lit(None))),
+        "Count": lambda x, n: (full if f.strict else (lambda _x, _n, v: v))(x, n, over(F.count_if(_true(x)), n).cast("double")),
+        "EMA": lambda x, n: ema(x, n, over),
         "WMA": weighted,
         "Slope": lambda x, n: gate(2)(x, n, slope(x, n)),
         "Rsquare": lambda x, n: gate(2)(x, n, F.when(flat(x, n), F.lit(0.0)).otherwise(r2(x, n))),
@@ -201,20 +205,19 @@ def _listed(f: Frame) -> dict[str, Callable[..., Column]]:
     return {"Med": quantile, "Quantile": quantile, "Mad": mad, "Rank": rank, "IdxMax": place(F.array_max), "IdxMin": place(F.array_min)}
 
 
-def _pairwise(f: Frame) -> dict[str, Callable[..., Column]]:
+def _pairwise(f: Frame, over: Over) -> dict[str, Callable[..., Column]]:
     def both(x: Column, y: Column, n: int) -> tuple[Column, Column, Column]:
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return x, y, F.count(x).over(f.rows(n))
+        return x, y, over(F.count(x), n)
 
     def corr(x: Column, y: Column, n: int) -> Column:
         x, y, seen = both(x, y, n)
-        w = f.rows(n)
-        r = F.covar_pop(x, y).over(w) / F.nullif(F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w), F.lit(0.0))
+        r = over(F.covar_pop(x, y), n) / F.nullif(over(F.stddev_pop(x), n) * over(F.stddev_pop(y), n), F.lit(0.0))
         return F.when((seen == n) & F.lit(n > 2), r) if f.strict else F.coalesce(F.when(seen >= 3, r), F.lit(0.0))
 
     def cov(x: Column, y: Column, n: int) -> Column:
         x, y, seen = both(x, y, n)
-        c = F.covar_samp(x, y).over(f.rows(n))
+        c = over(F.covar_samp(x, y), n)
         return F.when((seen == n) & F.lit(n > 1), c) if f.strict else F.coalesce(F.when(seen >= 3, c), F.lit(0.0))
 
     return {"Corr": corr, "Cov": cov}
@@ -256,8 +259,7 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
         for n in nodes(tree):
             order[n] = None
     out = panel.withColumn("__row", F.row_number().over(frame.series()))
-    plain, rolling, pairs, across = _elementwise(frame), _rolling(frame, F.col("__row")), _pairwise(frame), _cross_sectional(frame)
-    listed = _listed(frame)
+    plain, across, listed = _elementwise(frame), _cross_sectional(frame), _listed(frame)
     column: dict[Node, Column] = {}
     depth: dict[Node, int] = {}
     staged: list[dict[str, Column]] = []
@@ -270,6 +272,18 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
         staged[level][name] = made
         return F.col(name)
 
+    shared: dict[tuple[str, int | None], Column] = {}
+    level = 0
+
+    def over(aggregate: Column, rows: int | None) -> Column:
+        """An aggregate of the last rows (None: a function of the series), staged once at the level of the call that asks first."""
+        key = str(aggregate), rows
+        if key not in shared:
+            shared[key] = put(level, aggregate.over(frame.series() if rows is None else frame.rows(rows)))
+        return shared[key]
+
+    rolling, pairs = _rolling(frame, F.col("__row"), over), _pairwise(frame, over)
+
     def frame_list(x: Node, n: int, level: int) -> tuple[Column, Column, int]:
         """The list of a series' frame and its mean, and the level from which they can be read."""
         if (x, n) not in lists:
@@ -307,6 +321,7 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
                 made = listed[n.op](column[n.args[0]], values, mean, int(params[0]), *params[1:])
             else:
                 made = (pairs.get(n.op) or rolling[n.op])(*(column[a] for a in n.args[:series]), int(params[0]), *params[1:])
+                level += 1
         elif n.op in across:
             made = across[n.op](column[n.args[0]])
         else:
