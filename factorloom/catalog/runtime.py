@@ -8,6 +8,7 @@ from factorloom.operators import frames, lots, market_data, runtime, sketches, u
 from factorloom.operators.calendar import instruments, sessions
 from factorloom.plans.compiler import Frame
 from factorloom.sources.bars import table
+from factorloom.sources.report_sink import metrics_json
 from factorloom.sources.upsert import keep_last
 from factorloom.streaming import stateful
 
@@ -140,3 +141,11 @@ def strategy_history(spark, d):
     bars = sbars(spark, d).withColumn("ts_code", F.concat(F.lpad(F.col("asset").cast("string"), 6, "0"), F.lit(".SH"))).drop("asset")
     got = market_data.MarketData(bars=bars).attribute_history(None, 6, "1997-06-01", ("close", "volume"))
     return got.select("code", "date", rnd(F.col("close") * 0.73105857863, 5).alias("close"), "volume")
+
+
+@query("""WITH m AS (SELECT l_suppkey, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, CASE WHEN min(l_discount) > 0 THEN 'always' END AS discount FROM lineitem GROUP BY 1)
+ SELECT l_suppkey, to_json({'n': n, 'least': least, 'most': most, 'discount': discount})::VARCHAR AS metrics FROM m""")
+def metrics_report(spark, d):
+    """Each supplier's figures as one JSON object, as reports hold them."""
+    m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.when(F.min("l_discount") > 0, F.lit("always")).alias("discount"))
+    return metrics_json(m, "l_suppkey")
