@@ -1,4 +1,4 @@
-"""Libraries of factors and strategies: small parquet tables with upsert by name."""
+"""Libraries of factors and strategies: small tables with upsert by name."""
 
 from __future__ import annotations
 
@@ -9,24 +9,27 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorloom.plans.parser import validate_expression
-from factorloom.sources.upsert import keep_last, upsert
+from factorloom.sources.upsert import keep_last
+from factorloom.sources.versioned import VersionedTable
 
 FACTORS = "name string, expression string, category string, universe string, ic_mean double, icir double, rank_ic_mean double, coverage double, turnover double, status string, factor_type string, strategy string, metrics_json string, updated long"
 
 
 class Library:
-    """Records by name in a parquet folder; saving a name again replaces it."""
+    """Records by name in versions of a parquet table; saving a name again replaces it, and readers see whole versions."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str = FACTORS):
-        self.spark, self.path, self.schema = spark, path, schema
+        self.spark, self.schema, self.table = spark, T.StructType.fromDDL(schema), VersionedTable(spark, path, ["name"])
 
     def save(self, records: DataFrame) -> None:
-        upsert(self.spark, self.path, keep_last(records, ["name"], ["updated"]), ["name"])
+        cols = [(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        self.table.upsert(keep_last(records, ["name"], ["updated"]).select(*cols))
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.table.read() if self.table.versions() else self.spark.createDataFrame([], self.schema)
 
     def find(self, name: str) -> DataFrame:
         return self.all().where(F.col("name") == name)
