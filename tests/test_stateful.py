@@ -5,6 +5,7 @@ import random
 import time
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 from factorloom.streaming import stateful
@@ -111,3 +112,45 @@ def test_streams_joined_within(spark, tmp_path):
     both = stateful.join_within(spark.createDataFrame(left + batches[6], SCHEMA), spark.createDataFrame(right + batches[6], SCHEMA), "user_id", "0 hours", "2 hours")
     assert got == sorted((r["event_id"], r["right_event_id"]) for r in both.collect())
     assert got == sorted((a[0], b[0]) for a in left + batches[6] for b in right + batches[6] if a[2] == b[2] and datetime.timedelta(0) <= b[1] - a[1] <= datetime.timedelta(hours=2))
+
+
+class CountedState:
+    """State of one asset in memory, counting the calls that would be trips to the JVM."""
+
+    def __init__(self, calls):
+        self.calls, self.map, self.value = calls, {}, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "updateValue":
+                self.map[args[0]] = args[1]
+            if name == "update":
+                self.value = args[0]
+            return {"exists": self.value is not None, "get": self.value, "containsKey": args[:1] and args[0] in self.map, "getValue": args[:1] and self.map.get(args[0]), "iterator": iter(list(self.map.items()))}.get(name)
+
+        return call
+
+
+def counted_bars(ends):
+    calls, timers = [], []
+    state = lambda *_: CountedState(calls)
+    handle = type("Handle", (), {"getMapState": state, "getValueState": state, "registerTimer": lambda _, at: timers.append(at)})()
+    bars = stateful.CorrectedBars(ends)
+    bars.init(handle)
+    return bars, calls, timers
+
+
+def test_state_is_read_and_written_once_for_a_batch():
+    frames = [pd.DataFrame({"ts": [T0 + datetime.timedelta(hours=5 * k) for k in ks], "value": [float(k % 7) for k in ks]}) for ks in (range(30), range(30, 60))]
+    table, calls, timers = counted_bars(True)
+    whole = pd.concat(table.handleInputRows((1,), iter(frames), None))
+    assert not calls and not timers  # nothing follows a table
+    assert len(whole) == 13 and list(whole["close"])[:2] == [4.0, 2.0] and list(whole["pre_close"])[1:] == list(whole["close"])[:-1]
+    stream, calls, timers = counted_bars(False)
+    first = pd.concat(stream.handleInputRows((1,), iter(frames), None))
+    assert first.equals(whole.iloc[:-1]) and len(timers) == 13
+    assert len(calls) <= 13 + 6  # a write for each day, and what is kept of the asset
+    late = pd.DataFrame({"ts": [T0 + datetime.timedelta(hours=1)], "value": [99.0]})
+    again = pd.concat(stream.handleInputRows((1,), iter([late]), None))
+    assert [(r.high, r.volume, r.revision) for r in again.itertuples()] == [(99.0, 6, 1)] and len(timers) == 13
