@@ -140,3 +140,18 @@ def test_lots(spark):
     said = spark.sql("SELECT * FROM fifo_lots(TABLE(SELECT * FROM trades_of_lots) PARTITION BY asset ORDER BY (at, id))")
     assert sorted(map(tuple, said.collect())) == sorted(want)
     assert lots.fifo_matches(df.limit(0)).count() == 0
+
+
+def test_lots_over_batches_of_any_size(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(a, i, float(rng.choice([4, 1.5, -2, -3.25])), float(i)) for a in (None, 0, 1, 2**40) for i in range(50)]
+    trades = pa.Table.from_pylist([dict(zip(("asset", "id", "quantity", "price"), r, strict=True)) for r in rows])
+    got = [[r for b in lots.match_sorted(iter(trades.to_batches(n))) for r in map(tuple, zip(*b.to_pydict().values(), strict=True))] for n in (1, 7, 1000)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == {None, 0, 1, 2**40}
+    assert all(r[1] < r[2] for r in got[0])
+    df = spark.createDataFrame([(a, i, i, q, p) for a, i, q, p in rows], "asset long, at int, id long, quantity double, price double")
+    assert sorted(map(tuple, lots.fifo_matches(df).collect()), key=str) == sorted(got[0], key=str)
+    plan = lots.fifo_matches(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan
