@@ -12,7 +12,7 @@ from factorloom.plans.compiler import compile_factors
 from factorloom.sources.bars import table
 
 from .evaluation import COMPOSITE, composite, factor_returns
-from .registry import SB, UB, dense_sql, query, rnd, sbars, sd, ubars
+from .registry import SB, UB, dense_sql, query, rnd, sbars, ubars
 
 _N, _EVERY = 10, 3
 
@@ -243,8 +243,9 @@ _ML = ["m", "v", "t"]
 
 
 def _dataset(spark, d):
-    f = compile_factors(sd(spark, d), {"m": "$close / Mean($close, 6) - 1", "v": "$volume / Mean($volume, 6) - 1", "t": "$turn - Mean($turn, 6)"}, keep=["asset", "date"])
-    return ml.build_dataset(f, densify(sbars(spark, d), whole=True), _ML, horizon=1)
+    bars = ml.made_once(sbars(spark, d))  # features and prices are both made of them
+    f = compile_factors(densify(bars), {"m": "$close / Mean($close, 6) - 1", "v": "$volume / Mean($volume, 6) - 1", "t": "$turn - Mean($turn, 6)"}, keep=["asset", "date"])
+    return ml.build_dataset(f, densify(bars, whole=True), _ML, horizon=1)
 
 
 @query()

@@ -20,22 +20,26 @@ from .cross import cs_zscore, median_impute
 
 def chronological_split(panel: DataFrame, valid: float = 0.15, test: float = 0.15, date: str = "date") -> DataFrame:
     """panel with split train, valid or test by session: the last shares of the calendar are held out."""
-    calendar = sessions(panel, date)
-    n = calendar.agg(F.count(F.lit(1)).alias("__n"))
+    calendar = sessions(panel, date).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))  # panel is read once for both
     cut = F.when(F.col("ordinal") >= F.floor(F.col("__n") * (1 - test)), "test").when(F.col("ordinal") >= F.floor(F.col("__n") * (1 - test - valid)), "valid").otherwise("train")
-    named = calendar.crossJoin(F.broadcast(n)).select(date, cut.alias("split"))  # one row
+    named = calendar.select(date, cut.alias("split"))
     return panel.join(F.broadcast(named), date)  # a row per session
 
 
+def made_once(df: DataFrame) -> DataFrame:
+    """df made now, by the executors, for what reads it more than once; Spark drops it when nothing refers to it any more."""
+    return df.localCheckpoint()
+
+
 def build_dataset(factors: DataFrame, prices: DataFrame, columns: Sequence[str], horizon: int = 5, valid: float = 0.15, test: float = 0.15, date: str = "date", asset: str = "asset") -> DataFrame:
     """(date, asset, columns, label, split): imputed features and forward returns; rows without a label go.
 
     Features of a session join the return that begins there on (asset, date); imputation is by session, so nothing of
-    a later session enters.
+    a later session enters. Rows are made once: their calendar, training and scoring all read them.
     """
     label = forward_returns(prices, (horizon,), asset, date).select(date, asset, F.col(f"ret_{horizon}").alias("label"))
     rows = median_impute(factors.select(date, asset, *columns), list(columns), date)
-    return chronological_split(rows.join(label.where(F.col("label").isNotNull()), [date, asset]), valid, test, date)
+    return chronological_split(made_once(rows.join(label.where(F.col("label").isNotNull()), [date, asset])), valid, test, date)
 
 
 def _model(kind: str, seed: int):
@@ -51,13 +55,20 @@ def _model(kind: str, seed: int):
 
 def train(dataset: DataFrame, columns: Sequence[str], kind: str = "ridge", seed: int = 7, date: str = "date", asset: str = "asset", **changes) -> PipelineModel | BoostedModel:
     """Fits on the training sessions; boosted trees stop early on the last 15 % of them. xgboost, lightgbm and histogram are
-    second-order boosters of this library (see boosting.PRESETS; changes go to their Params), the others models of pyspark.ml."""
-    rows = dataset.where("split = 'train'")
-    last = chronological_split(rows.drop("split"), valid=0.0, test=0.15, date=date)
-    rows = last.withColumn("__early", F.col("split") == "test")
-    if kind in PRESETS:
-        return fit_boosted(rows, columns, "label", [date, asset], replace(PRESETS[kind], seed=seed, **changes), valid=F.col("__early"))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), _model(kind, seed)]).fit(rows)
+    second-order boosters of this library (see boosting.PRESETS; changes go to their Params), the others models of pyspark.ml.
+
+    Fitting passes over its rows many times, so the training rows are made once and kept until it ends.
+    """
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys([date, asset, *columns, "label"])]
+    kept = dataset.where("split = 'train'").select(*needed).persist()
+    try:
+        last = chronological_split(kept, valid=0.0, test=0.15, date=date)
+        rows = last.withColumn("__early", F.col("split") == "test")
+        if kind in PRESETS:
+            return fit_boosted(rows, columns, "label", [date, asset], replace(PRESETS[kind], seed=seed, **changes), valid=F.col("__early"))
+        return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), _model(kind, seed)]).fit(rows)
+    finally:
+        kept.unpersist()
 
 
 def predict(model: PipelineModel | BoostedModel, dataset: DataFrame, date: str = "date") -> DataFrame:

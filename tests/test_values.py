@@ -165,3 +165,37 @@ def test_approximate_counts_are_near(spark, sf):
     exact = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("n"))
     both = QUERIES["approx_distinct"](spark, sf).join(exact, "l_suppkey", "full").collect()
     assert both and all(abs(r["orders"] - r["n"]) <= max(2, 0.1 * r["n"]) for r in both)
+
+
+def test_training_and_scoring_make_their_rows_once(spark):
+    from factorloom.operators import ml
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    days = spark.range(40).selectExpr("date_add(DATE '2024-01-01', int(id)) AS date")
+    panel = days.crossJoin(spark.range(12).withColumnRenamed("id", "asset")).select("date", "asset", (F.hash("date", "asset") % 97 / 7.0).alias("x"), (F.hash("asset", "date") % 89 + 200.0).alias("close"))
+    factors = panel.select("date", "asset", "x").mapInArrow(counted, "date date, asset long, x double")
+    data = ml.build_dataset(factors, panel.select("date", "asset", "close"), ["x"], horizon=1)
+    for kind in ("ridge", "gbdt"):
+        assert ml.predict(ml.train(data, ["x"], kind), data.where("split = 'test'")).count() == data.where("split = 'test'").count() > 0
+    assert seen.value <= 2 * 480  # for the medians, and for the rows
+
+
+def test_training_makes_lazy_rows_once(spark):
+    from factorloom.operators import ml
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(600).selectExpr("date_add(DATE '2024-01-01', int(id div 12)) AS date", "id % 12 AS asset", "double(hash(id) % 97) AS x", "double(hash(id, 1) % 89) AS label", "'train' AS split")
+    ml.train(rows.mapInArrow(counted, rows.schema), ["x"], "gbdt")
+    assert seen.value == 600
