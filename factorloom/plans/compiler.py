@@ -1,7 +1,8 @@
 """Compiles factor expressions to window columns, each distinct subtree once.
 
-Rolling calls become window functions over (asset, date); calls over several rows of one frame share it, so Spark plans
-one Window node and one exchange for all of them. Subtrees are added in stages by depth, as plain columns.
+Rolling calls are formulas over aggregates of each asset's last rows. A window numbers the rows by date, for which Spark deals and
+sorts them once; one pass over the sorted batches (see sliding) then makes all aggregates of a stage, each (aggregate, series,
+frame) once. Where only earlier rows are asked for, they come by lag. Subtrees are added in stages by depth, as plain columns.
 
 Two modes. strict: a value needs a full window of observed rows, else NULL (Mean and Sum count missing rows as 0 in a full
 window). lenient: windows grow from the first row, undefined values are 0.
@@ -10,7 +11,8 @@ window). lenient: windows grow from the first row, undefined values are 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from .parser import CROSS_SECTIONAL, ExpressionError, Node, nodes, parse
+from .sliding import ROW, Ask, slide
 
 _TINY = 1e-10
 #: A default window of each kind of rolling call in lenient mode.
@@ -37,9 +40,6 @@ class Frame:
     def series(self) -> WindowSpec:
         return Window.partitionBy(self.asset).orderBy(self.date)
 
-    def rows(self, n: int) -> WindowSpec:
-        return self.series().rowsBetween(-(n - 1), 0)
-
     def day(self) -> WindowSpec:
         return Window.partitionBy(self.date)
 
@@ -87,18 +87,19 @@ def _elementwise(f: Frame) -> dict[str, Callable[..., Column]]:
     }
 
 
-#: Gives the value of an aggregate over the last rows of a series, or of a function of the whole series (None).
-Over = Callable[[Column, "int | None"], Column]
+#: Gives what sliding.Ask says of a series over its last rows, or of two: kind, series, rows, then y or param by name.
+Over = Callable[..., Column]
 
 
 def corrected_skew(x: Column, rows: int, over: Over) -> Column:
-    n = over(F.count(x), rows)
-    return F.when(n > 2, over(F.skewness(x), rows) * F.sqrt(n * (n - 1)) / (n - 2))
+    n, m2 = over("count", x, rows), over("m2", x, rows)
+    return F.when(n > 2, F.try_divide(F.sqrt(n) * over("m3", x, rows), F.sqrt(m2 * m2 * m2)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def corrected_kurtosis(x: Column, rows: int, over: Over) -> Column:
-    n = over(F.count(x), rows)
-    return F.when(n > 3, ((n + 1) * over(F.kurtosis(x), rows) + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    n, m2 = over("count", x, rows), over("m2", x, rows)
+    excess = F.try_divide(n * over("m4", x, rows), m2 * m2) - 3.0
+    return F.when(n > 3, ((n + 1) * excess + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
 def ema_terms(alpha: float) -> int:
@@ -106,118 +107,107 @@ def ema_terms(alpha: float) -> int:
     return 2 + math.ceil(math.log(1e-17) / math.log(1 - alpha)) if alpha < 1 else 1
 
 
-def ema(x: Column, n: int, over: Over) -> Column:
-    """Exponential mean of span n from the first value on; missing rows are passed over, and have none themselves.
-
-    Folded over as many rows as double precision can tell, so that a long series costs a bounded frame for each row.
-    """
-    alpha = 2.0 / (n + 1)
-    seen = over(F.collect_list(x), ema_terms(alpha))
-    folded = F.aggregate(F.slice(seen, 2, ema_terms(alpha)), F.get(seen, F.lit(0)), lambda acc, v: acc * (1 - alpha) + v * alpha)
-    return F.when(x.isNotNull(), folded)
-
-
 def _rolling(f: Frame, row_no: Column, over: Over) -> dict[str, Callable[..., Column]]:
     """Calls over one series; x is a column, n the window. Calls that need the same aggregate of the same frame share it."""
 
     def full(x: Column, n: int, value: Column) -> Column:
-        return F.when(over(F.count(x), n) == n, value)
+        return F.when(over("count", x, n) == n, value)
 
     def gate(least: int) -> Callable[[Column, int, Column], Column]:
         if f.strict:
             return full
-        return lambda x, n, value: F.when(over(F.count(x), n) >= least, value).otherwise(F.lit(0.0))
+        return lambda x, n, value: F.when(over("count", x, n) >= least, value).otherwise(F.lit(0.0))
 
     def total(x: Column, n: int) -> Column:
-        s = over(F.sum(F.coalesce(x, F.lit(0.0))), n)
-        return F.when(over(F.count(F.lit(1)), n) == n, s) if f.strict else s
+        s = over("sum", x, n)
+        return F.when(row_no >= n, s) if f.strict else s
 
     def mean(x: Column, n: int) -> Column:
-        return total(x, n) / (F.lit(float(n)) if f.strict else over(F.count(F.lit(1)), n))
+        return total(x, n) / (F.lit(float(n)) if f.strict else F.least(row_no, F.lit(n)))
 
     def shift(x: Column, n: int) -> Column:
         if n <= 0:
             return x
-        return over(F.lag(x, n) if f.strict else F.lag(x, n, 0.0), None)
+        return over("lag", x, n, param=None if f.strict else 0.0)
 
     def delta(x: Column, n: int) -> Column:
-        d = x - over(F.lag(x, n), None)
+        d = x - over("lag", x, n)
         return d if f.strict else F.when(row_no > n, d).otherwise(F.lit(0.0))
 
     def weighted(x: Column, n: int) -> Column:
-        lags = [x, *(over(F.lag(x, k), None) for k in range(1, n))]
+        lags = [x, *(over("lag", x, k) for k in range(1, n))]
         if f.strict:
             return sum((c * float(n - k) for k, c in enumerate(lags[1:], 1)), lags[0] * float(n)) / (n * (n + 1) / 2)
         top = sum((F.coalesce(c, F.lit(0.0)) * float(n - k) for k, c in enumerate(lags[1:], 1)), F.coalesce(x, F.lit(0.0)) * float(n))
         rows = F.least(row_no, F.lit(n))
         return top / (rows * (F.lit(2 * n + 1) - rows) / 2)  # the weights n, n-1, ... of the rows there are
 
-    fit = lambda name: lambda x, n: over(getattr(F, name)(x, row_no), n)
-    slope, intercept, r2 = fit("regr_slope"), fit("regr_intercept"), fit("regr_r2")
-    flat = lambda x, n: over(F.var_pop(x), n) == 0
+    def spread(x: Column, n: int) -> Column:
+        return F.try_divide(over("m2", x, n), over("count", x, n) - 1)
+
+    def at(x: Column) -> Column:
+        return F.when(x.isNotNull(), row_no.cast("double"))
+
+    def slope(x: Column, n: int) -> Column:
+        return F.try_divide(over("ck", at(x), n, y=x), over("m2", at(x), n))
+
+    def intercept(x: Column, n: int) -> Column:
+        return over("mean", x, n) - slope(x, n) * over("mean", at(x), n)
+
+    def r2(x: Column, n: int) -> Column:
+        ck = over("ck", at(x), n, y=x)
+        return F.try_divide(F.try_divide(ck * ck, over("m2", at(x), n)), over("m2", x, n))
+
+    def rank(x: Column, n: int) -> Column:
+        if f.strict:
+            return full(x, n, F.when(x.isNotNull(), over("below", x, n) / F.lit(max(1, n - 1))))
+        return F.try_divide(over("upto", x, n), over("count", x, n))
+
+    def quantile(x: Column, n: int, q: float = 0.5) -> Column:
+        return gate(1)(x, n, over("quantile", x, n, param=float(q)))
+
+    plain = lambda kind: lambda x, n: gate(1)(x, n, over(kind, x, n))
+    flat = lambda x, n: over("m2", x, n) == 0
     return {
         "Ref": shift,
         "Delta": delta,
         "Mean": mean,
         "Sum": total,
-        "Std": lambda x, n: gate(2)(x, n, over(F.stddev_samp(x), n)),
-        "Var": lambda x, n: gate(2)(x, n, over(F.var_samp(x), n)),
-        "Max": lambda x, n: gate(1)(x, n, over(F.max(x), n)),
-        "Min": lambda x, n: gate(1)(x, n, over(F.min(x), n)),
-        "Skew": lambda x, n: gate(3)(x, n, F.coalesce(corrected_skew(x, n, over), F.lit(None))),
-        "Kurt": lambda x, n: gate(4)(x, n, F.coalesce(corrected_kurtosis(x, n, over), F.lit(None))),
-        "Count": lambda x, n: (full if f.strict else (lambda _x, _n, v: v))(x, n, over(F.count_if(_true(x)), n).cast("double")),
-        "EMA": lambda x, n: ema(x, n, over),
+        "Std": lambda x, n: gate(2)(x, n, F.sqrt(spread(x, n))),
+        "Var": lambda x, n: gate(2)(x, n, spread(x, n)),
+        "Max": plain("max"),
+        "Min": plain("min"),
+        "Skew": lambda x, n: gate(3)(x, n, corrected_skew(x, n, over)),
+        "Kurt": lambda x, n: gate(4)(x, n, corrected_kurtosis(x, n, over)),
+        "Count": lambda x, n: (full if f.strict else (lambda _x, _n, v: v))(x, n, over("sum", _flag(_true(x)), n)),
+        "EMA": lambda x, n: over("ema", x, n),
         "WMA": weighted,
         "Slope": lambda x, n: gate(2)(x, n, slope(x, n)),
         "Rsquare": lambda x, n: gate(2)(x, n, F.when(flat(x, n), F.lit(0.0)).otherwise(r2(x, n))),
         "Resi": lambda x, n: gate(2)(x, n, x - (intercept(x, n) + slope(x, n) * row_no)),
+        "Med": quantile,
+        "Quantile": quantile,
+        "Mad": plain("mad"),
+        "Rank": rank,
+        "IdxMax": plain("idxmax"),
+        "IdxMin": plain("idxmin"),
     }
 
 
-def _listed(f: Frame) -> dict[str, Callable[..., Column]]:
-    """Calls that look at a frame's values one by one: v is the list of those that aren't missing, m their mean, x the row's own.
-
-    Lists and means are staged once for each series and window, whichever of these calls ask for them.
-    """
-
-    def gate(v: Column, n: int, value: Column) -> Column:
-        return F.when(F.size(v) == n, value) if f.strict else F.when(F.size(v) >= 1, value).otherwise(F.lit(0.0))
-
-    def quantile(x: Column, v: Column, m: Column, n: int, q: float = 0.5) -> Column:
-        ascending = F.sort_array(v)
-        at = (F.size(v) - 1) * F.lit(float(q))
-        low = F.floor(at)
-        below, above = F.get(ascending, low.cast("int")), F.get(ascending, F.ceil(at).cast("int"))
-        return gate(v, n, below + (above - below) * (at - low))
-
-    def rank(x: Column, v: Column, m: Column, n: int) -> Column:
-        if f.strict:
-            return gate(v, n, F.when(x.isNotNull(), F.size(F.filter(v, lambda e: e < x)) / F.lit(max(1, n - 1))))
-        return F.size(F.filter(v, lambda e: e <= x)) / F.nullif(F.size(v), F.lit(0))
-
-    def place(pick: Callable[[Column], Column]) -> Callable[..., Column]:
-        return lambda x, v, m, n: gate(v, n, (F.array_position(v, pick(v)) - 1).cast("double"))
-
-    def mad(x: Column, v: Column, m: Column, n: int) -> Column:
-        return gate(v, n, F.aggregate(v, F.lit(0.0), lambda acc, e: acc + F.abs(e - m)) / F.size(v))
-
-    return {"Med": quantile, "Quantile": quantile, "Mad": mad, "Rank": rank, "IdxMax": place(F.array_max), "IdxMin": place(F.array_min)}
-
-
 def _pairwise(f: Frame, over: Over) -> dict[str, Callable[..., Column]]:
     def both(x: Column, y: Column, n: int) -> tuple[Column, Column, Column]:
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return x, y, over(F.count(x), n)
+        return x, y, over("count", x, n)
 
     def corr(x: Column, y: Column, n: int) -> Column:
         x, y, seen = both(x, y, n)
-        r = over(F.covar_pop(x, y), n) / F.nullif(over(F.stddev_pop(x), n) * over(F.stddev_pop(y), n), F.lit(0.0))
+        std = lambda c: F.sqrt(F.try_divide(over("m2", c, n), seen))
+        r = F.try_divide(F.try_divide(over("ck", x, n, y=y), seen), std(x) * std(y))
         return F.when((seen == n) & F.lit(n > 2), r) if f.strict else F.coalesce(F.when(seen >= 3, r), F.lit(0.0))
 
     def cov(x: Column, y: Column, n: int) -> Column:
         x, y, seen = both(x, y, n)
-        c = over(F.covar_samp(x, y), n)
+        c = F.try_divide(over("ck", x, n, y=y), seen - 1)
         return F.when((seen == n) & F.lit(n > 1), c) if f.strict else F.coalesce(F.when(seen >= 3, c), F.lit(0.0))
 
     return {"Corr": corr, "Cov": cov}
@@ -246,6 +236,42 @@ def _cross_sectional(f: Frame) -> dict[str, Callable[[Column], Column]]:
     return {"CSRank": rank, "CSZScore": zscore, "Neu": neutral}
 
 
+#: Names of staged columns.
+_STAGED = re.compile(r"__\d+_[ax]?\d+")
+
+
+def _names(columns: Iterable[Column]) -> set[str]:
+    return {name for c in columns for name in _STAGED.findall(str(c))}
+
+
+class Stage:
+    """Columns that only need those of earlier levels: what is asked of series, then any other."""
+
+    def __init__(self, level: int) -> None:
+        self.level = level
+        self.inputs: dict[str, Column] = {}
+        self.names: dict[str, str] = {}
+        self.asks: list[Ask] = []
+        self.columns: dict[str, Column] = {}
+        self.crosses = False
+
+    def _input(self, x: Column) -> str:
+        name = self.names.setdefault(str(x), f"__{self.level}_x{len(self.names)}")
+        self.inputs.setdefault(name, x.cast("double"))
+        return name
+
+    def ask(self, kind: str, x: Column, rows: int, y: Column | None, param: float | None) -> Column:
+        name = f"__{self.level}_a{len(self.asks)}"
+        self.asks.append(Ask(name, kind, rows, self._input(x), None if y is None else self._input(y), param))
+        return F.col(name)
+
+    def put(self, made: Column, crosses: bool) -> Column:
+        name = f"__{self.level}_{len(self.columns)}"
+        self.columns[name] = made
+        self.crosses = self.crosses or crosses
+        return F.col(name)
+
+
 def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Frame = Frame(), keep: list[str] | None = None) -> DataFrame:
     """panel with one column per named expression.
 
@@ -258,37 +284,30 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
     for tree in trees.values():
         for n in nodes(tree):
             order[n] = None
-    out = panel.withColumn("__row", F.row_number().over(frame.series()))
-    plain, across, listed = _elementwise(frame), _cross_sectional(frame), _listed(frame)
+    kept = panel.columns if keep is None else keep
+    read = {n.value for n in order if n.op == "field"} | {frame.asset, frame.date, frame.industry, *kept}
+    out = panel.select(*[F.col(f"`{c}`") for c in panel.columns if c in read]).withColumn(ROW, F.row_number().over(frame.series()))
+    plain, across = _elementwise(frame), _cross_sectional(frame)
     column: dict[Node, Column] = {}
     depth: dict[Node, int] = {}
-    staged: list[dict[str, Column]] = []
-    lists: dict[tuple[Node, int], tuple[Column, Column, int]] = {}
+    staged: list[Stage] = []
 
-    def put(level: int, made: Column) -> Column:
+    def stage_at(level: int) -> Stage:
         while len(staged) <= level:
-            staged.append({})
-        name = f"__{level}_{len(staged[level])}"
-        staged[level][name] = made
-        return F.col(name)
+            staged.append(Stage(len(staged)))
+        return staged[level]
 
-    shared: dict[tuple[str, int | None], Column] = {}
+    shared: dict[tuple, Column] = {}
     level = 0
 
-    def over(aggregate: Column, rows: int | None) -> Column:
-        """An aggregate of the last rows (None: a function of the series), staged once at the level of the call that asks first."""
-        key = str(aggregate), rows
+    def over(kind: str, x: Column, rows: int, y: Column | None = None, param: float | None = None) -> Column:
+        """What sliding.Ask says of a series, staged once at the level of the call that asks first."""
+        key = kind, str(x), rows, str(y), param
         if key not in shared:
-            shared[key] = put(level, aggregate.over(frame.series() if rows is None else frame.rows(rows)))
+            shared[key] = stage_at(level).ask(kind, x, rows, y, param)
         return shared[key]
 
-    rolling, pairs = _rolling(frame, F.col("__row"), over), _pairwise(frame, over)
-
-    def frame_list(x: Node, n: int, level: int) -> tuple[Column, Column, int]:
-        """The list of a series' frame and its mean, and the level from which they can be read."""
-        if (x, n) not in lists:
-            lists[x, n] = put(level, F.collect_list(column[x]).over(frame.rows(n))), put(level, F.avg(column[x]).over(frame.rows(n))), level + 1
-        return lists[x, n]
+    rolling, pairs = _rolling(frame, F.col(ROW), over), _pairwise(frame, over)
 
     def number(n: Node, what: str) -> float:
         if n.op != "const":
@@ -308,7 +327,8 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
         if n.op in plain:
             column[n], depth[n] = plain[n.op](*(column[a] for a in n.args)), level
             continue
-        if n.op in pairs or n.op in rolling or n.op in listed:
+        crosses = n.op in across
+        if n.op in pairs or n.op in rolling:
             series = 2 if n.op in pairs else 1
             params = [number(a, n.op) for a in n.args[series:]]
             if not params and frame.strict:
@@ -316,21 +336,33 @@ def compile_factors(panel: DataFrame, expressions: Mapping[str, str], frame: Fra
             params = params or _DEFAULTS.get(n.op, [20])
             if len(params) == 1 and n.op == "Quantile":
                 params.append(0.5)
-            if n.op in listed:
-                values, mean, level = frame_list(n.args[0], int(params[0]), level)
-                made = listed[n.op](column[n.args[0]], values, mean, int(params[0]), *params[1:])
-            else:
-                made = (pairs.get(n.op) or rolling[n.op])(*(column[a] for a in n.args[:series]), int(params[0]), *params[1:])
-                level += 1
-        elif n.op in across:
+            made = (pairs.get(n.op) or rolling[n.op])(*(column[a] for a in n.args[:series]), int(params[0]), *params[1:])
+            level += 1
+        elif crosses:
             made = across[n.op](column[n.args[0]])
         else:
             raise ExpressionError(f"unknown operator {n.op}")
-        column[n], depth[n] = put(level, made), level + 1
-    for stage in staged:
-        out = out.withColumns(stage)
-    kept = panel.columns if keep is None else keep
-    return out.select(*[F.col(f"`{c}`") for c in kept], *[finite(column[t].cast("double")).alias(name) for name, t in trees.items()])
+        column[n], depth[n] = stage_at(level).put(made, crosses), level + 1
+    values = {name: finite(column[t].cast("double")) for name, t in trees.items()}
+    wanted = [_names(values.values())]  # by the number of stages still to come: the staged columns that are read then
+    for stage in reversed(staged):
+        wanted.append(wanted[-1] | _names(stage.columns.values()) | _names(stage.inputs.values()))
+    sorted_rows, moved = True, False  # the row numbers' window has dealt and sorted them; whether batches passed a function
+    for later, stage in zip(reversed(wanted[:-1]), staged, strict=True):
+        if stage.columns and not stage.crosses:
+            out = out.withColumns(stage.columns)
+        if stage.asks and not moved and all(a.kind == "lag" for a in stage.asks):
+            out = out.withColumns(stage.inputs).withColumns({a.name: F.lag(a.x, a.n, a.param).over(frame.series()) for a in stage.asks}).drop(*stage.inputs)
+        elif stage.asks:
+            if not sorted_rows:
+                out = out.repartition(frame.asset).sortWithinPartitions(frame.asset, ROW)
+            later = later | (_names(stage.columns.values()) if stage.crosses else set())
+            read_on = [c for c in out.columns if c in later or not _STAGED.fullmatch(c)]
+            out = slide(out.select(*[F.col(f"`{c}`") for c in read_on], *[x.alias(name) for name, x in stage.inputs.items()]), stage.asks, set(stage.inputs))
+            sorted_rows = moved = True
+        if stage.crosses:
+            out, sorted_rows = out.withColumns(stage.columns), False
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[value.alias(name) for name, value in values.items()])
 
 
 def depth_of(text: str) -> int:
