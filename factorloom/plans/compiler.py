@@ -155,8 +155,8 @@ def _rolling(f: Frame, row_no: Column, over: Over) -> dict[str, Callable[..., Co
         return over("mean", x, n) - slope(x, n) * over("mean", at(x), n)
 
     def r2(x: Column, n: int) -> Column:
-        ck = over("ck", at(x), n, y=x)
-        return F.try_divide(F.try_divide(ck * ck, over("m2", at(x), n)), over("m2", x, n))
+        r = F.try_divide(over("ck", x, n, y=at(x)), F.sqrt(over("m2", at(x), n) * over("m2", x, n)))
+        return r * r
 
     def rank(x: Column, n: int) -> Column:
         if f.strict:
@@ -180,7 +180,7 @@ def _rolling(f: Frame, row_no: Column, over: Over) -> dict[str, Callable[..., Co
         "Skew": lambda x, n: gate(3)(x, n, corrected_skew(x, n, over)),
         "Kurt": lambda x, n: gate(4)(x, n, corrected_kurtosis(x, n, over)),
         "Count": lambda x, n: (full if f.strict else (lambda _x, _n, v: v))(x, n, over("sum", _flag(_true(x)), n)),
-        "EMA": lambda x, n: over("ema", x, n),
+        "EMA": lambda x, n: over("ema", x, n, param=float(ema_terms(2.0 / (n + 1)))),
         "WMA": weighted,
         "Slope": lambda x, n: gate(2)(x, n, slope(x, n)),
         "Rsquare": lambda x, n: gate(2)(x, n, F.when(flat(x, n), F.lit(0.0)).otherwise(r2(x, n))),

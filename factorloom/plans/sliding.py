@@ -7,6 +7,8 @@ formulas of Spark's own aggregates. Spark deals and sorts the rows; a task holds
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -27,7 +29,7 @@ class Ask:
     count; sum and avg; min and max; mean, m2, m3, m4 (central moments times count); ck (of x and y, which are missing in the same
     rows: sum of products of deviations); quantile (param: which); below and upto (values less than the row's own, or no greater);
     idxmax and idxmin (place of the first among those not missing); mad (mean distance from avg); ema (of span n, over the whole
-    series); lag (the value n rows before, param where the series has no such row).
+    series, param: rows that matter); lag (the value n rows before, param where the series has no such row).
     """
 
     name: str
@@ -106,9 +108,9 @@ class _Batch:
             m2 += d * (d - dn)
             if order > 2:
                 d2, dn2 = d * d, dn * dn
-                m3 += d * (d2 - dn2) - 3.0 * dn * m2
+                m3 = m3 - 3.0 * dn * m2 + d * (d2 - dn2)
                 if order > 3:
-                    m4 += d * (d * d2 - dn * dn2) - 4.0 * dn * m3 - 6.0 * dn2 * m2
+                    m4 = m4 - 4.0 * dn * m3 - 6.0 * dn2 * m2 + d * (d * d2 - dn * dn2)
         return mean, m2, m3, m4
 
     def ck(self, x: str, y: str, n: int) -> np.ndarray:
@@ -164,27 +166,36 @@ class _Batch:
             out += np.where(known, np.abs(v - mean), 0.0)
         return out / np.maximum(self.once("count", x, n), 1)
 
-    def ema(self, x: str, n: int, last: float | None) -> tuple[np.ndarray, float | None]:
-        """Means, and the last one; `last`: that of the batch before."""
+    def ema(self, x: str, n: int, terms: int, state: list | None) -> tuple[np.ndarray, list]:
+        """Means, and the state after them: the last mean, and the last `terms` rows (None: missing). Where a mean isn't finite, it is
+        that of these rows alone, so that an infinite value is forgotten when its weight would be nothing."""
         alpha = 2.0 / (n + 1)
         v, known = self.back(x, 0)
+        last, seen = state or (None, deque(maxlen=terms))
         out = []
         for first, value, there in zip((self.row == 1).tolist(), v.tolist(), known.tolist(), strict=True):
             if first:
                 last = None
+                seen.clear()
+            seen.append(value if there else None)
             if there:
                 last = value if last is None else last * (1 - alpha) + value * alpha
+                if not math.isfinite(last):
+                    last = None
+                    for e in seen:
+                        if e is not None:
+                            last = e if last is None else last * (1 - alpha) + e * alpha
             out.append(last if there else 0.0)
-        return np.array(out, dtype=float), last
+        return np.array(out, dtype=float), [last, seen]
 
 
-def _answer(rows: _Batch, ask: Ask, last: dict[Ask, float | None]) -> Values:
+def _answer(rows: _Batch, ask: Ask, last: dict[Ask, list]) -> Values:
     x, n = ask.x, ask.n
     if ask.kind == "lag":
         values, known = rows.back(x, n)
         return (values, known) if ask.param is None else (np.where(rows.row > n, values, ask.param), known | (rows.row <= n))
     if ask.kind == "ema":
-        values, last[ask] = rows.ema(x, n, last.get(ask))
+        values, last[ask] = rows.ema(x, n, int(ask.param), last.get(ask))
         return values, rows.back(x, 0)[1]
     some = rows.once("count", x, n) > 0
     if ask.kind in ("count", "sum", "below", "upto"):
@@ -208,7 +219,7 @@ def slide_sorted(batches: Iterator[pa.RecordBatch], asks: tuple[Ask, ...], kept:
     for a in asks:
         orders[a.x, a.n] = max(orders.get((a.x, a.n), 2), {"m3": 3, "m4": 4}.get(a.kind, 2))
     tail: dict[str, Values] = {c: (np.zeros(before), np.zeros(before, dtype=bool)) for c in inputs}
-    last: dict[Ask, float | None] = {}
+    last: dict[Ask, list] = {}
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -40,3 +40,12 @@ def test_frames_reach_over_batches(spark, panel, strict):
     finally:
         spark.conf.set(key, before)
     assert all(any(r[c] not in (None, 0.0) for r in whole.values()) for c in CALLS)
+
+
+def test_infinite_values_are_forgotten(spark):
+    rows = [(1, i, float("inf") if i == 3 else float(i % 5)) for i in range(160)]
+    panel = spark.createDataFrame(rows, "asset long, date int, x double")
+    got = {r["date"]: r for r in compile_factors(panel, {"one": "EMA($x, 1)", "five": "EMA($x, 5)", "r2": "Rsquare($x, 4)"}).collect()}
+    assert got[3]["one"] is None and got[4]["one"] == 4.0
+    assert got[2]["five"] is not None and got[50]["five"] is None and got[159]["five"] is not None
+    assert got[5]["r2"] is None and got[7]["r2"] is not None
