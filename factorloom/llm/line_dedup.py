@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import release, scope, stage
 
 #: White space other than blanks that ends a word inside a line.
 _SPACES = "\t\x0b\x0c\r"
-#: Words share 2**18 slots, each with four bits for how often its words occur in all documents: a table of fixed size, which stands
-#: in the plan, so that it is kept small.
+#: Words share 2**18 slots, each with four bits for how many lines hold its words: a table of fixed size, as it stands in the plan.
 SLOT_BITS, CLASS_BITS = 18, 4
-_LONGS = (1 << (SLOT_BITS - 4)) - 1
 #: Last pairs of each line's prefix (near copies differ in rarer words) by which the first rounds find a line's likely partner;
 #: rows from which a list of such a pair is long; how many lines of a list, at most, each of these rounds takes as partners.
 LAST_PAIRS, LONG_LIST, PIVOTS = 3, 16, (8, 64)
+#: Sets of up to so many words are told apart well enough by parities in 64 slots; larger ones have them in 128.
+SMALL_SET = 56
 #: Slots of documents that hold lines to be verified, and of lines that are decided: broadcasts of fixed size. They only save work.
 DOC_SLOTS = LINE_SLOTS = 1 << 18
 _KEY = ["__row", "line_no"]
@@ -26,10 +28,11 @@ def _shift_left(x: Column, n: Column) -> Column:
     return F.call_function("shiftleft", x, n.cast("int"))
 
 
-def _blanks(text: Column, more: str = "") -> Column:
-    for x in _SPACES + more:
-        text = F.replace(text, F.lit(x), F.lit(" "))
-    return text
+def _blanks(text: Column) -> Column:
+    any_of, plain = F.lit(False), text
+    for x in _SPACES:
+        any_of, plain = any_of | text.contains(x), F.replace(plain, F.lit(x), F.lit(" "))
+    return F.when(any_of, plain).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
@@ -37,54 +40,68 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(_blanks(line), " "), "")
 
 
-def rarity_table(docs: DataFrame) -> Column:
-    """2**14 longs as a literal array: for each of 16 slots in a long a class of four bits that rises with how often its words
-    occur in all documents, beginning at a sixteenth of a slot's mean. Classes stand with their top bit flipped, as tokens
-    sort as signed numbers."""
-    words = docs.select(F.explode(F.split(_blanks(F.coalesce("text", F.lit("")), "\n"), " ")).alias("w"))
-    h = F.xxhash64("w")
-    slot = F.shiftleft(h.bitwiseAND(F.lit(_LONGS)).cast("int"), 4).bitwiseOR(F.shiftright(h, 18).bitwiseAND(F.lit(15)).cast("int"))
-    counts = stage(words.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")), "line-rarity")
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """A row for each line with words: __row, doc_id, line_no, and h, the hashes of its distinct words."""
+    lines = docs.select("__row", "doc_id", F.posexplode(F.split(_blanks(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
+    h = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    return lines.where(F.trim("line") != "").select("__row", "doc_id", "line_no", F.array_remove(h, F.xxhash64(F.lit(""))).alias("h"))
+
+
+def _numbers(values: Iterable[int]) -> Column:
+    """An array of longs that stands in the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def rarity_table(hashes: DataFrame) -> Column:
+    """2**18 longs as a literal array: for each slot a class of four bits that rises with how many lines hold its words,
+    beginning at a sixteenth of a slot's mean. A word's slot is its hash's highest bits; the class is kept as what turns the
+    hash's four highest bits into the class, with the top bit flipped, as tokens sort as signed numbers."""
+    counts = hashes.select(F.explode("h").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "line-rarity")
     total = counts.agg(F.sum("n")).first()[0] or 1
     level = F.floor(F.log2(F.col("n") * F.lit(float(1 << SLOT_BITS) / total))) + 4
     level = F.greatest(F.lit(0), F.least(F.lit((1 << CLASS_BITS) - 1), level)).cast("long").bitwiseXOR(F.lit(8))
-    packed = counts.groupBy(F.shiftright("slot", 4).alias("at")).agg(F.bit_or(_shift_left(level, F.col("slot").bitwiseAND(F.lit(15)) * CLASS_BITS)).alias("levels"))
-    table = [0] * (_LONGS + 1)
-    for at, levels in packed.collect():  # at most 2**14 pairs
-        table[at] = levels
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    # 2**12 rows at most go to the driver, each 64 slots of four bits in four longs.
+    four = [F.bit_or(F.when(F.shiftright("slot", 4).bitwiseAND(F.lit(3)) == i, _shift_left(level, F.col("slot").bitwiseAND(F.lit(15)) * CLASS_BITS)).otherwise(0)) for i in range(4)]
+    table = [0] * (1 << SLOT_BITS)
+    for at, *longs in counts.groupBy(F.shiftright("slot", 6).alias("at")).agg(*four).collect():
+        for k in range(64):
+            table[64 * at + k] = longs[k // 16] >> k % 16 * CLASS_BITS & 15
+    return _numbers(x ^ i >> SLOT_BITS - CLASS_BITS for i, x in enumerate(table))
 
 
-def line_tokens(line: Column, table: Column) -> Column:
-    """A line's words as longs, which sort by rarity (the word's class), then by hash."""
+def token(h: Column, table: Column) -> Column:
+    """A word's hash as a long whose highest four bits are the word's class, so that words sort by rarity."""
+    # Functions over arrays evaluate each of their parts by itself, so they have few; a column that can't be null sorts as plain longs.
+    changed = _shift_left(F.get(table, F.shiftrightunsigned(h, 64 - SLOT_BITS)), F.lit(64 - CLASS_BITS)).bitwiseXOR(h)
+    return F.coalesce(changed, F.lit(0).cast("long"))
 
-    def token(h: Column) -> Column:
-        level = F.call_function("shiftrightunsigned", F.get(table, h.bitwiseAND(F.lit(_LONGS)).cast("int")), F.shiftright(h, 16).bitwiseAND(F.lit(60)).cast("int"))
-        return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
 
-    return F.transform(F.transform(line_words(line), lambda w: F.xxhash64(w)), token)
+def _parities(bits: Column) -> Column:
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.get(bits, t.bitwiseAND(F.lit(127)))))
 
 
 def line_sets(docs: DataFrame, percent: int) -> DataFrame:
     """The distinct word sets of all lines, each at its first line: __row, doc_id, line_no, n (words), p0 and p1 (parities of
-    the words' counts in 128 slots), and the prefix tokens, rarest first.
+    the words' counts in 64 slots, and in the upper half of 128, null for small sets), and the prefix tokens, rarest first.
 
     Equal sets are known by 128 bits. They meet after each task has kept its own first of them, so a line that a third of all
-    rows hold is a row for each task.
+    rows hold is a row for each task. Texts are cut into words once: what counts their rarity and what sorts by it read hashes.
     """
-    table = rarity_table(docs)
-    lines = docs.select("__row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.where(F.trim(_blanks(F.col("line"))) != "")
-    sets = lines.select("__row", "doc_id", "line_no", line_tokens(F.col("line"), table).alias("tokens"))
-    sets = sets.select("__row", "doc_id", "line_no", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
+    spark = docs.sparkSession
+    with scope("line-hashes"):
+        hashes = stage(line_hashes(docs), "line-hashes")
+    table = rarity_table(hashes)
+    sets = hashes.select("__row", "doc_id", "line_no", F.sort_array(F.transform("h", lambda h: token(h, table))).alias("tokens"))
     n = F.size("tokens")
     prefix = n - F.floor((n * F.lit(percent) + 99) / 100).cast("int") + 1
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    every = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(_shift_left(one, t.bitwiseAND(F.lit(63)))))
-    second = F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(_shift_left(F.shiftright(t, 6).bitwiseAND(one), t.bitwiseAND(F.lit(63)))))
+    bits = [(1 << i) - (i == 63) * (1 << 64) for i in range(64)]
+    every, second = _parities(_numbers(bits * 2)), F.when(n > SMALL_SET, _parities(_numbers([0] * 64 + bits)))
     sets = sets.select("__row", "doc_id", "line_no", n.alias("n"), every.alias("p0"), second.alias("p1"), F.xxhash64("tokens").alias("h0"), F.xxhash64(F.lit(7), "tokens").alias("h1"), F.slice("tokens", F.lit(1), prefix).alias("prefix"))
     first = Window.partitionBy("h0", "h1", "n").orderBy(F.col("doc_id").asc_nulls_first(), "__row", "line_no")
-    return sets.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("h0", "h1", "nth")
+    sets = stage(sets.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("h0", "h1", "nth"), "line-sets")
+    release(spark, "line-hashes")
+    return sets
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -95,17 +112,22 @@ def _earlier(a: str, b: str) -> Column:
 
 
 def _differ(a: str, b: str) -> Column:
-    """In how many of 128 slots the parities of two sets differ: in no more than the sets differ in words."""
-    x0, x1, y0, y1 = F.col(f"{a}.p0"), F.col(f"{a}.p1"), F.col(f"{b}.p0"), F.col(f"{b}.p1")
-    return F.bit_count(x0.bitwiseXOR(y0).bitwiseXOR(x1).bitwiseXOR(y1)) + F.bit_count(x1.bitwiseXOR(y1))
+    """In how many of 128 slots (of 64, if one is small) the parities of two sets differ: in no more than the sets differ in words."""
+    every, second = F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0")), F.coalesce(F.col(f"{a}.p1").bitwiseXOR(F.col(f"{b}.p1")), F.lit(0).cast("long"))
+    return F.bit_count(every.bitwiseXOR(second)) + F.bit_count(second)
+
+
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m words link if they share so many."""
+    return shared * F.lit(100 + percent).cast("long") >= (n + m) * F.lit(percent).cast("long")
 
 
 def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
     """Length, positional and parity filters for sets a of n and b of m words that share the tokens at their pos."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    need = F.floor((F.lit(percent) * (n + m) + (99 + percent)) / F.lit(100 + percent))
     most = F.least(n - x("pos"), m - y("pos")) + F.least(x("pos"), y("pos"))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most >= need) & (_differ(a, b) <= n + m - 2 * need)
+    alike = F.shiftright((n + m - _differ(a, b)).cast("int"), 1)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & _enough(most, n, m, percent) & _enough(alike, n, m, percent)
 
 
 def long_lists(sets: DataFrame) -> DataFrame:
@@ -147,14 +169,14 @@ def open_pairs(sets: DataFrame, done: DataFrame | None, percent: int) -> DataFra
         some = sets.join(slots, slot("__row", "line_no") == F.col("slot"), "left_semi").join(known, (F.col("__row") == F.col("r")) & (F.col("line_no") == F.col("l")), "left").drop("l")
         flagged = sets.join(slots, slot("__row", "line_no") == F.col("slot"), "left_anti").withColumn("r", F.lit(None).cast("long")).unionByName(some)
     # Both sides of the join read one shuffle, so whether a line still asks stands in the lowest bit beside its size.
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-    rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("before"))).alias("pos", "at"))
-    rows = rows.select("__row", "doc_id", "line_no", "n2", "p0", "p1", "pos", "at.token", "at.before")
+    rows = flagged.select("__row", "doc_id", "line_no", (F.col("n") * 2 + F.col("r").isNull().cast("int")).alias("n2"), "p0", "p1", "prefix", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("__row", "doc_id", "line_no", "n2", "p0", "p1", "pos", "token", F.get("prefix", F.col("pos") - 1).alias("before"))
     n, m = F.shiftright("a.n2", 1), F.shiftright("b.n2", 1)
     asks = F.col("a.n2").bitwiseAND(F.lit(1)) * m > 0
-    # Lines that share the token before, too, meet there.
+    # Lines that share the token before, too, meet there. Those that link meet at the first token they share, with none before it.
     new = (F.col("a.before") != F.col("b.before")) | (F.col("a.pos") == 0) | (F.col("b.pos") == 0)
-    both = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & asks & new & _may_link("a", "b", n, m, percent) & _earlier("a", "b"))
+    first = _enough(F.least(n - F.col("a.pos"), m - F.col("b.pos")), n, m, percent)
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & asks & first & new & _may_link("a", "b", n, m, percent) & _earlier("a", "b"))
     return both.select(F.col("a.__row").alias("__row"), F.col("a.line_no").alias("line_no"), F.col("b.__row").alias("early_row"), F.col("b.line_no").alias("early_line")).distinct()
 
 
@@ -166,12 +188,11 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     slots = F.broadcast(ends.select(slot(F.col("wanted_row")).alias("slot")).distinct())  # at most DOC_SLOTS rows
     some = docs.select("__row", "text").join(slots, slot(F.col("__row")) == F.col("slot"), "left_semi")
     some = some.join(ends, F.col("__row") == F.col("wanted_row")).select("__row", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
-    some = stage(some.select("__row", "line_no", F.get("lines", F.col("line_no")).alias("line")), "line-texts")
-    early = some.select(F.col("__row").alias("early_row"), F.col("line_no").alias("early_line"), F.col("line").alias("early"))
+    some = stage(some.select("__row", "line_no", F.array_distinct(line_words(F.get("lines", F.col("line_no")))).alias("x")), "line-texts")
+    early = some.select(F.col("__row").alias("early_row"), F.col("line_no").alias("early_line"), F.col("x").alias("y"))
     both = pairs.join(early, ["early_row", "early_line"]).join(some, _KEY)
-    both = both.select(*_KEY, F.array_distinct(line_words(F.col("line"))).alias("x"), F.array_distinct(line_words(F.col("early"))).alias("y"))
-    both = both.select(*_KEY, F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("words"))
-    return both.where(F.col("shared") * 100 >= (F.col("words") - F.col("shared")) * percent).select(*_KEY).distinct()
+    # 100 shared >= percent (words - shared), with what is shared named once: filters make their expressions anew wherever one is named.
+    return both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select(*_KEY).distinct()
 
 
 def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -186,7 +207,7 @@ def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     leave open, and those of short lists, are joined with all earlier lines of their lists under the length, positional and
     parity filters (sets differ in no fewer words than slots in parity). What passes is verified on the words themselves.
     """
-    sets = stage(line_sets(docs, percent), "line-sets")
+    sets = line_sets(docs, percent)
     rows = stage(long_lists(sets), "line-long")
     done = asking = None
     for pivots in PIVOTS:

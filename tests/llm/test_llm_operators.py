@@ -282,6 +282,30 @@ def test_line_dedup_of_repeated_rows(hard, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_small_and_large_sets(spark, tmp_path):
+    """Sets on both sides of SMALL_SET, which have parities in 64 and in 128 slots, and one far above it."""
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, "\n".join(" ".join([*words[i % 7 : i % 7 + 48 + (i * 5 + k) % 17], *(f"x{i}-{k}-{j}" for j in range((i + k) % 9))]) for k in range(3))) for i in range(40)]
+    rows += [(50 + i, " ".join(f"v{j}" for j in range(i * 30, i * 30 + 300))) for i in range(4)]
+    assert {len(x.split()) > line_dedup.SMALL_SET for _, t in rows for x in t.split("\n")} == {True, False}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    gone = near_lines(rows)
+    got = dict(rows_of(line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "d"))), "doc_id", "text"))
+    assert got == {i: "\n".join(x for m, x in enumerate(t.split("\n")) if (i, m) not in gone) for i, t in rows}
+
+
+def test_line_dedup_makes_words_once(spark, tmp_path):
+    """Pairs that can't link where they first meet are not put out, and what pairs share is named once in the plan."""
+    sets = [(row, row, 0, 10, 0, 0, [row, 100, 101]) for row in (1, 2)]
+    late = [(row, row, 0, 10, 0, 0, [10 * row, 10 * row + 1, 200]) for row in (3, 4)]
+    schema = "__row long, doc_id long, line_no int, n int, p0 long, p1 long, prefix array<long>"
+    assert rows_of(line_dedup.open_pairs(spark.createDataFrame(sets + late, schema), None, 80), "__row", "early_row") == [(2, 1)]  # 3 and 4 share 8 words at most
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e f")], "__row long, text string")
+    linked = line_dedup.verified(docs, spark.createDataFrame([(2, 0, 1, 0)], "__row long, line_no int, early_row long, early_line int"), 80)
+    assert linked._jdf.queryExecution().optimizedPlan().toString().count("array_intersect(") == 1
+    assert rows_of(linked, "__row", "line_no") == [(2, 0)]
+
+
 def test_words_of_a_regular_pattern_are_told_apart():
     """The Thue-Morse sequence and its complement: alike to any hash that is a polynomial modulo 2**64."""
     from factorloom.llm.textblocks import word_hashes
