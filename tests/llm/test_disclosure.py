@@ -125,3 +125,44 @@ def test_sanitised(table, empty):
     assert "jo@ex.org" not in got[203] and "Zorblax" not in got[203] and "[email]" in got[203]
     assert got[220] == "Zorblax without the address" and got[221] is None and got[None] == "call [phone] now"
     assert disclosure.find_personal_data(empty).count() == 0 == disclosure.sanitise(empty).count()
+
+
+def odd_rows():
+    """Entities with words far away in characters, very long words, contexts that recur between documents, and terms elsewhere."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"v{rng.randint(0, 400)}" for _ in range(n))
+    out = [(i, some(rng.randint(5, 40))) for i in range(150)]
+    for i in range(150, 156):
+        out.append((i, f"{some(7)} Farly{' ' * 700}fa@ex.org{' ' * 900}Fardly {some(9)}"))
+        out.append((i + 10, f"{some(3)} {'Lo' * 40}ng lo@ex.org {some(12)}"))
+        out.append((i + 20, f"{'q' * 300} {'é' * 300} Wide wi@ex.org {some(4)}{i}"))
+    same = "se@ex.org Severally " + "aa " * 20
+    out += [(190 + i, f"{same}; {some(12)} se@ex.org Severally {some(12)}") for i in range(3)]
+    out += [(200, "; ".join(f"mo@ex.org Mostly {some(12)}" for _ in range(4)))]
+    return out
+
+
+def test_words_at_any_distance_and_all_contexts(spark, tmp_path):
+    spark.createDataFrame(odd_rows(), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in table.collect()]
+    want = by_hand(rows, 8, 3, 0.85)
+    said = set()
+    for r in disclosure.find_personal_data(table).collect():
+        text = rows[[d for d, _ in rows].index(r["doc_id"])][1]
+        k = [d for d, _ in rows].index(r["doc_id"])
+        assert [(s["start"], s["kind"], s["end"]) for s in r["spans"]] == sorted(plain(text) + list(want[k]))
+        said |= {text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4}
+    assert {"Farly", "Fardly", "Lo" * 40 + "ng", "q" * 300, "é" * 300, "Wide", "Severally", "Mostly"} <= said
+
+
+def test_terms_wherever_they_stand_beside_an_entity(spark):
+    filler = " ".join(f"u{i}" for i in range(40))
+    texts = [f"Zorblax {filler} x{i}a x{i}b x{i}c Zorblax jo@ex.org y{i} {filler} zorblax, ZORBLAX" for i in range(4)]
+    rows = [*enumerate(texts), (4, "Zorblax elsewhere"), *((i, filler) for i in range(5, 60))]
+    found = {r["doc_id"]: r["spans"] for r in disclosure.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        terms = [text[s["start"] : s["end"]] for s in found[i] if s["kind"] == 4]
+        assert terms == (["Zorblax", "Zorblax", "ZORBLAX"] if i < 4 else [])  # "zorblax," is another word
+    gone = {r["doc_id"]: r["text"] for r in disclosure.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), remove_at=0.85).collect()}
+    assert "Zorblax" not in gone[0] and gone[4] == "Zorblax elsewhere"
